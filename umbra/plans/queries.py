@@ -1 +1,207 @@
-QUERIES = {}
+"""One query per operator over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import mask as M
+
+ENTITIES = [("Acme Holdings 7 Pte Ltd", "Client"), ("Acme Holdings", "Entity"), ("Acme", "=Azure")]
+#: Frequent words of the documents, as a list to find and to mask.
+WORDS = [("therefore", "Entity"), ("the", "Client"), ("of", "=Azure"), ("que", "Name 1")]
+#: Makes every detector find something: the same text in both engines.
+MEMO = """concat('Invoice for Acme Holdings ', cast(c_nationkey as {s}), ' Pte Ltd re ', c_name,
+ ', UEN ', lpad(cast(c_custkey as {s}),9,'0'), 'A, ABN 34 009 200 ', lpad(cast(c_custkey % 1000 as {s}),3,'0'),
+ ', tel +65 8', lpad(cast(c_custkey % 1000 as {s}),3,'0'), '-', lpad(cast((c_custkey*7) % 10000 as {s}),4,'0'),
+ ', mail user', cast(c_custkey as {s}), '@acme',
+ case when c_custkey % 2 = 0 then '' else cast(c_nationkey as {s}) end, '.example.com, at ',
+ cast(1 + c_custkey % 99 as {s}), ' Raffles Place, Singapore ', lpad(cast(c_custkey as {s}),6,'0'), '. FY 2025-2026.')"""
+ADDRESSES = [
+    "32 Raffles Place, Singapore 048624", "12 The Esplanade, Perth WA 6000", "12 The Esplanade, Perth WA 6000, Australia", "54 Rose Street", "Taiwan", "the United Kingdom", "UK", "U.S.A.",
+    "Middle  East/Africa", "Australia/New Zealand", "Singapore 048424", "Manulife Tower", "the Netherlands", "1 Rue X, France/Nowhere", "9 Road, Asia",
+]
+TERMS = ["Vessel", "Cyan Vessel Holdings", "LTD", "Co.", "Acme Ltd", "Manulife Tower", "a 1 b 2 c 3", "two\nlines", "x" * 61, "(Background)", "Q1", "Tower of London"]
+RANGES = ["2025-2026", "2025-2027", "2504-0018", "1999.2000", "2026 2025", "2020-2020", "abc"]
+NAMES = [("ORA_Financials.xlsx", "ORA", "Onyx Ridge"), ("Cyan_group_listing.docx", "Cyan", "Azure"), ("Cyanide.pdf", "Cyan", "Azure"), ("Bed-Rock plan.docx", "Bed Rock", "Azure"), ("bedrock.docx", "Bed Rock", "Azure")]
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+
+
+def _memos(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey as doc_id", MEMO.format(s="string") + " as text")
+
+
+def _literals(spark: SparkSession, rows: list[str]) -> DataFrame:
+    return spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string")
+
+
+def _found(df: DataFrame, category: str, start: bool = False) -> DataFrame:
+    cols = ["doc_id", F.col("start").cast("int").alias("start"), "text"] if start else ["doc_id", "text"]
+    return M.claims(df).where(F.col("category") == category).select(*cols)
+
+
+def scan_email(spark, d):
+    return _found(_docs(spark, d), "Email", True)
+
+
+def scan_phone(spark, d):
+    return _found(_docs(spark, d), "Phone", True)
+
+
+def scan_uen(spark, d):
+    return _found(_memos(spark, d), "UEN", True)
+
+
+def scan_abn(spark, d):
+    return _found(_memos(spark, d), "ABN", True)
+
+
+def scan_sg_address(spark, d):
+    return _found(_memos(spark, d), "Address", True)
+
+
+def scan_known_entities(spark, d):
+    text = F.col("text")
+    hits = F.flatten(F.array(*(M.spans(text, S.flexible(F.lit(v)), F.lit(0), F.lit(c), "list") for v, c in WORDS)))
+    return _docs(spark, d).select("doc_id", F.explode(hits).alias("s")).groupBy("doc_id", F.col("s.category").alias("category")).agg(F.count("*").alias("n"))
+
+
+def claims_resolved(spark, d):
+    return M.claims(_memos(spark, d), ENTITIES).select("doc_id", "seq", "tier", "start", "end", "text", "category")
+
+
+def distinct_items(spark, d):
+    out = M.items(_memos(spark, d).withColumn("text", F.concat("text", F.lit("\n"), "text")))
+    return out.select("doc_id", "category", "text")
+
+
+def placeholders_scrambled(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    mail = F.concat(F.lit("user"), F.col("c_custkey").cast("string"), F.lit("@acme.example.com"))
+    return c.select("c_custkey", S.fake_name(F.col("c_name")).alias("name"), S.fake_email(mail).alias("email"))
+
+
+def placeholders_lettered(spark, d):
+    s = spark.read.parquet(f"{d}/supplier.parquet").join(spark.read.parquet(f"{d}/nation.parquet"), F.col("s_nationkey") == F.col("n_nationkey"))
+    found = s.select(F.col("s_suppkey").alias("doc_id"), F.lit(0).alias("seq"), F.col("s_name").alias("text"), F.col("n_name").alias("category"), F.lit("ner").alias("source"), F.col("s_name").alias("group_key"))
+    return M.with_placeholders(found).select("doc_id", "category", "placeholder")
+
+
+def redact_hash(spark, d):
+    return _memos(spark, d).select("doc_id", S.hashtags(F.col("text")).alias("redacted"))
+
+
+def address_collapse(spark, d):
+    return _literals(spark, ADDRESSES).select("i", S.collapse_address(F.col("x")).alias("address"))
+
+
+def year_range(spark, d):
+    return _literals(spark, RANGES).select("i", S.is_year_range(F.col("x")).alias("is_range"), S.digits(F.col("x")).alias("n_digits"))
+
+
+def plausibility_flags(spark, d):
+    x = F.col("x")
+    flags = [S.is_building(x).alias("building"), S.is_defined_term(x).alias("defined"), S.is_corporate_suffix(x).alias("suffix"), S.is_implausible(x).alias("implausible")]
+    return _literals(spark, TERMS).select("i", *flags)
+
+
+def context_snippet(spark, d):
+    return M.items(_docs(spark, d)).where("category = 'Email'").select("doc_id", "text", "context")
+
+
+def _segments(spark, d):
+    return _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("seg_no", "text"))
+
+
+def segment_offsets(spark, d):
+    out = M.segment_offsets(_segments(spark, d), "doc_id", "seg_no")
+    return out.select("doc_id", F.col("seg_no").cast("int").alias("seg_no"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+def sheet_lookup(spark, d):
+    ranges = M.segment_offsets(_segments(spark, d), "doc_id", "seg_no").withColumn("name", F.concat(F.lit("line "), F.col("seg_no").cast("string")))
+    listed = ranges.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "name"))).alias("ranges"))
+    hits = _found(_docs(spark, d), "Email", True)
+    return hits.join(listed, "doc_id").select("doc_id", "start", M.locate(F.col("start"), F.col("ranges")).alias("sheet"))
+
+
+def _reviewed(spark, d):
+    return M.with_placeholders(M.items(_memos(spark, d), ENTITIES))
+
+
+def mask_text(spark, d):
+    pairs = F.array(*(F.struct(F.lit(o).alias("o"), F.lit(p).alias("p")) for o, p in (("that", "<$1\\>"), ("the", "Client A"), ("que", "Name 1"), ("of", "Azure"))))
+    return _docs(spark, d).select("doc_id", F.md5(M.masked(F.col("text"), pairs)).alias("masked_md5"))
+
+
+def apply_review(spark, d):
+    """Masked memos: nothing of what was found is left in them."""
+    out = M.apply(_memos(spark, d), _reviewed(spark, d))
+    left = F.col("masked").rlike(r"user\d+@acme|\d{9}A|34 009 200 \d{3}|\+65 8\d{3}-\d{4}|Raffles|Acme")
+    return out.select("doc_id", "changed", left.alias("left"))
+
+
+def mapping_log(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_custkey as doc_id", "o_orderkey as seq", "o_orderpriority as text", "o_orderstatus as placeholder")
+    return M.mapping_log(o).select("original", "placeholder", F.col("at.doc_id").alias("first_doc"), F.col("at.seq").alias("first_seq"))
+
+
+def review_merge(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    items = c.selectExpr("c_custkey as id", "c_name as placeholder")
+    return M.review(items, c.where("c_custkey % 3 = 0").selectExpr("c_custkey as id", "c_custkey % 2 = 0 as include", "case when c_custkey % 5 = 0 then 'X' end as placeholder"))
+
+
+def sanitize_names(spark, d):
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(NAMES)], "i int, name string, o string, p string")
+    ext = S.extension(F.col("name"))
+    stem = F.regexp_extract("name", r"^(.*?)(\.[^.]+)?$", 1)
+    return rows.select("i", F.concat(M.sanitize_name(stem, F.array(F.struct("o", "p"))), ext).alias("name"))
+
+
+def verify_leaks(spark, d):
+    return M.leaks(_docs(spark, d), WORDS).select("doc_id", "n_leaks")
+
+
+def verify_clean(spark, d):
+    docs = _docs(spark, d)
+    return docs.join(M.leaks(docs, WORDS), "doc_id", "left_anti").select("doc_id")
+
+
+def category_summary(spark, d):
+    both = M.claims(_docs(spark, d)).unionByName(M.claims(_memos(spark, d), ENTITIES))
+    return M.by_category(both).orderBy(S.category_key(F.col("category")))
+
+
+def blob_dedupe(spark, d):
+    out = M.dedupe_blobs(_docs(spark, d), F.col("text"), "doc_id")
+    return out.select("digest", "first_id", "n", F.array_join(F.col("all_ids").cast("array<string>"), ",").alias("all_ids"))
+
+
+def usable_text(spark, d):
+    spoilt = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\x01\x02\x03"), F.substring("text", 1, 20))).otherwise(F.col("text"))
+    return _docs(spark, d).select("doc_id", S.is_usable(spoilt).alias("usable"))
+
+
+def ocr_lines(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr(
+        "l_orderkey as block", "l_suppkey % 2 as par", "cast(l_quantity as int) % 2 as line", "l_linenumber as word", "concat(l_returnflag, cast(l_partkey as string)) as text",
+        "cast(l_quantity as int) * 2 as conf", "cast(l_partkey as int) as left", "cast(l_suppkey as int) as top", "cast(l_quantity as int) as width", "l_linenumber as height")
+    return M.ocr_lines(li)
+
+
+def zip_names(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey", "concat(cast(o_custkey as string), '.txt') as name")
+    return M.zip_names(o, "name", "o_orderkey").select("o_orderkey", "zip_name")
+
+
+_ALL = (
+    scan_email, scan_phone, scan_uen, scan_abn, scan_sg_address, scan_known_entities, claims_resolved, distinct_items, placeholders_scrambled, placeholders_lettered, redact_hash, address_collapse,
+    year_range, plausibility_flags, context_snippet, segment_offsets, sheet_lookup, mask_text, apply_review, mapping_log, review_merge, sanitize_names, verify_leaks, verify_clean, category_summary,
+    blob_dedupe, usable_text, ocr_lines, zip_names,
+)
+QUERIES = {f.__name__: f for f in _ALL}
