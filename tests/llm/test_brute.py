@@ -176,7 +176,7 @@ def test_line_dedup(docs, made, monkeypatch):
                 kept.append(i)
             lines.append(w)
         want[d] = (len(own), kept)
-    for hot in (32, 1):
+    for hot in (256, 1):
         monkeypatch.setattr(line_dedup, "HOT", hot)
         assert by_id(line_dedup.kept_lines(docs), "n_lines", "kept") == want
     texts = by_id(line_dedup.line_dedup(docs), "text", "n_kept")

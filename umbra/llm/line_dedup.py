@@ -18,7 +18,7 @@ OVER, UNDER = 4, 5
 #: Cells that tokens are hashed to in order to count them; the counts order tokens by rarity.
 CELLS = 4096
 #: A token in the prefixes of more classes is handled by the semi join.
-HOT = 32
+HOT = 256
 #: Rows of ids, of under 50 bytes, up to which they are broadcast.
 SMALL = 1_000_000
 
@@ -76,11 +76,17 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     prefix = F.col("n") - F.floor((OVER * F.col("n") + UNDER - 1) / UNDER).cast("int") + 1
     rows = tokens.select("id", "n", sig.alias("sig"), F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("pos", "key"))
     counted = rows.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
+    # One query over one exchange: candidate pairs (x, y) of the others, and the rows of hot tokens.
     a, b = counted.where(F.col("c") <= HOT).alias("a"), counted.where(F.col("c") <= HOT).alias("b")
     left = lambda x: F.col(f"{x}.n") - F.col(f"{x}.pos")
     possible = (F.col("a.id") < F.col("b.id")) & _filters("a", "b") & (F.least(left("a"), left("b")) >= _need(F.col("a.n") + F.col("b.n")))
-    pairs = stored(a.join(b, (F.col("a.key") == F.col("b.key")) & possible).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct(), "pairs")
-    hot = stored(counted.where(F.col("c") > HOT).select("key", "id", "n", "sig"), "hot-tokens")
+    null = F.lit(None).cast("long")
+    cold = a.join(b, (F.col("a.key") == F.col("b.key")) & possible).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
+    cold = cold.select("x", "y", null.alias("key"), null.alias("n"), null.alias("sig"), null.alias("pos"))
+    warm = counted.where(F.col("c") > HOT).select(F.col("id").alias("x"), null.alias("y"), "key", F.col("n").cast("long").alias("n"), "sig", F.col("pos").cast("long").alias("pos"))
+    both = stored(cold.unionByName(warm), "candidates")
+    pairs = both.where("key is null").select("x", "y")
+    hot = both.where("key is not null").select("key", F.col("x").alias("id"), "n", "sig")
     ids = stored(pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).unionByName(hot.select("id")).distinct(), "ids")
     few = ids.count() <= SMALL
     sets = stored(classes.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "doc", "at", F.array_distinct(words).alias("words")), "sets")
