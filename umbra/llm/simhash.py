@@ -16,7 +16,7 @@ SEED, SHINGLE, MOST_BITS = 42, 3, 3
 LEAST_BYTES = 8 - MOST_BITS
 #: A posting list of more fingerprints is split by two further places.
 HOT = 20_000
-ROWS = 100_000
+ROWS = 20_000
 U64 = np.uint64
 
 
