@@ -17,7 +17,7 @@ class WordIds:
     parts between ASCII white space. The memo is emptied at `most` words, so it stays bounded; what is not in it is encoded anew.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
