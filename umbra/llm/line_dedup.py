@@ -74,7 +74,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     tokens = classes.select("id", F.sort_array(F.array_distinct(F.transform(words, key))).alias("tokens")).withColumn("n", F.size("tokens"))
     sig = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
     prefix = F.col("n") - F.floor((OVER * F.col("n") + UNDER - 1) / UNDER).cast("int") + 1
-    rows = tokens.select("id", "n", sig.alias("sig"), F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("pos", "key"))
+    rows = tokens.select("id", "n", sig.alias("sig"), F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("pos", "key")).where(F.col("key").isNotNull())
     counted = rows.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
     # One query over one exchange: candidate pairs (x, y) of the others, and the rows of hot tokens.
     a, b = counted.where(F.col("c") <= HOT).alias("a"), counted.where(F.col("c") <= HOT).alias("b")
@@ -94,9 +94,17 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     first = sets.select(F.col("id").alias("x"), F.struct("doc", "at").alias("p"), F.col("words").alias("u"))
     second = sets.select(F.col("id").alias("y"), F.struct("doc", "at").alias("q"), F.col("words").alias("v"))
     found = pairs.join(first, "x").join(second, "y").where(_similar(F.col("u"), F.col("v"))).select(F.when(F.col("p") > F.col("q"), F.col("x")).otherwise(F.col("y")).alias("id"))
-    late = hot.join(sets, "id")
+    # Hot tokens: most lines are settled by the first line of a token; the others ask all earlier ones of the tokens that are left.
+    hot = stored(hot.join(sets.select("id", "doc", "at"), "id"), "hot")
+    heads = stored(hot.groupBy("key").agg(F.min(F.struct("doc", "at", "id")).alias("h")).select("key", F.col("h.id").alias("x")), "heads")
+    asked = hot.join(heads, "key").where("id <> x").select(F.col("id").alias("y"), "x").distinct()
+    settled = stored(asked.join(first, "x").join(second, "y").where(_similar(F.col("u"), F.col("v"))).select(F.col("y").alias("id")).distinct(), "settled")
+    open_ = stored(hot.join(settled, "id", "left_anti"), "open")
+    with_words = lambda rows: rows.join(sets.select("id", "words"), "id")
+    late, all_ = with_words(open_), with_words(hot.join(open_.select("key").distinct(), "key", "left_semi"))
     earlier = F.struct("e.doc", "e.at") < F.struct("l.doc", "l.at")
-    repeats = late.alias("l").join(late.alias("e"), (F.col("l.key") == F.col("e.key")) & earlier & _filters("l", "e") & _similar(F.col("l.words"), F.col("e.words")), "left_semi").select("id")
+    repeats = late.alias("l").join(all_.alias("e"), (F.col("l.key") == F.col("e.key")) & earlier & _filters("l", "e") & _similar(F.col("l.words"), F.col("e.words")), "left_semi").select("id")
+    repeats = repeats.unionByName(settled)
     removed = stored(found.unionByName(repeats).distinct(), "removed")
     gone = F.broadcast(removed) if removed.count() <= SMALL else removed
     kept = classes.select("id", "doc", "at").join(gone, "id", "left_anti").groupBy(F.col("doc").alias("doc_id")).agg(F.sort_array(F.collect_list("at")).alias("kept"))
