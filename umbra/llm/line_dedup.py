@@ -2,8 +2,8 @@
 
 Tokens of a line are ordered by rarity, so its prefix, of which a similar line must share a token, is rare. Equal lines are one
 class from the start. A token in few prefixes is joined with itself, under length, positional and bitmap filters; what passes is
-verified. A token in many prefixes, as in a group of near copies, would make the square of them; there each line only asks
-whether an earlier similar one exists (a semi join that verifies in place), which gives a row a line at most.
+verified. A token in many prefixes, as in a group of near copies, would make the square of them; there the first line of
+each token settles the later ones similar to it, round by round, and only what no round settles is joined.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from .common import NO_ID, WS, let, stored
 OVER, UNDER = 4, 5
 #: Cells that tokens are hashed to in order to count them; the counts order tokens by rarity.
 CELLS = 4096
-#: A token in the prefixes of more classes is handled by the semi join.
+#: A token in the prefixes of more classes is handled in rounds.
 HOT = 256
 #: Rows of ids, of under 50 bytes, up to which they are broadcast.
 SMALL = 1_000_000
@@ -94,17 +94,27 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     first = sets.select(F.col("id").alias("x"), F.struct("doc", "at").alias("p"), F.col("words").alias("u"))
     second = sets.select(F.col("id").alias("y"), F.struct("doc", "at").alias("q"), F.col("words").alias("v"))
     found = pairs.join(first, "x").join(second, "y").where(_similar(F.col("u"), F.col("v"))).select(F.when(F.col("p") > F.col("q"), F.col("x")).otherwise(F.col("y")).alias("id"))
-    # Hot tokens: most lines are settled by the first line of a token; the others ask all earlier ones of the tokens that are left.
+    # Hot tokens: in rounds, the first open line of each token settles those later ones that are similar to it, which takes a group of
+    # near copies a row a line. When a round settles little, what is open is compared with all earlier lines of its tokens.
     hot = stored(hot.join(sets.select("id", "doc", "at"), "id"), "hot")
-    heads = stored(hot.groupBy("key").agg(F.min(F.struct("doc", "at", "id")).alias("h")).select("key", F.col("h.id").alias("x")), "heads")
-    asked = hot.join(heads, "key").where("id <> x").select(F.col("id").alias("y"), "x").distinct()
-    settled = stored(asked.join(first, "x").join(second, "y").where(_similar(F.col("u"), F.col("v"))).select(F.col("y").alias("id")).distinct(), "settled")
-    open_ = stored(hot.join(settled, "id", "left_anti"), "open")
-    with_words = lambda rows: rows.join(sets.select("id", "words"), "id")
-    late, all_ = with_words(open_), with_words(hot.join(open_.select("key").distinct(), "key", "left_semi"))
-    earlier = F.struct("e.doc", "e.at") < F.struct("l.doc", "l.at")
-    repeats = late.alias("l").join(all_.alias("e"), (F.col("l.key") == F.col("e.key")) & earlier & _filters("l", "e") & _similar(F.col("l.words"), F.col("e.words")), "left_semi").select("id")
-    repeats = repeats.unionByName(settled)
+    place = lambda x: F.struct(f"{x}.doc", f"{x}.at")
+
+    def similar(late: DataFrame, early: DataFrame) -> DataFrame:
+        near = late.alias("l").join(early.alias("e"), (F.col("l.key") == F.col("e.key")) & (place("e") < place("l")) & _filters("l", "e"))
+        asked = near.select(F.col("l.id").alias("y"), F.col("e.id").alias("x")).distinct()
+        return asked.join(first, "x").join(second, "y").where(_similar(F.col("u"), F.col("v"))).select(F.col("y").alias("id")).distinct()
+
+    still, source, rounds = hot, hot, []
+    while True:
+        heads = stored(source.groupBy("key").agg(F.min(F.struct("doc", "at", "id", "n", "sig")).alias("h")).select("key", "h.*"), "heads")
+        rounds.append(stored(similar(still, heads), "settled"))
+        still = stored(still.join(rounds[-1], "id", "left_anti"), "open")
+        source = still.join(heads.select("key", "id"), ["key", "id"], "left_anti")
+        if 100 * rounds[-1].count() < still.count() or rounds[-1].isEmpty():
+            break
+    repeats = similar(still, hot.join(still.select("key").distinct(), "key", "left_semi"))
+    for settled in rounds:
+        repeats = repeats.unionByName(settled)
     removed = stored(found.unionByName(repeats).distinct(), "removed")
     gone = F.broadcast(removed) if removed.count() <= SMALL else removed
     kept = classes.select("id", "doc", "at").join(gone, "id", "left_anti").groupBy(F.col("doc").alias("doc_id")).agg(F.sort_array(F.collect_list("at")).alias("kept"))
