@@ -87,22 +87,29 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     both = stored(cold.unionByName(warm), "candidates")
     pairs = both.where("key is null").select("x", "y")
     hot = both.where("key is not null").select("key", F.col("x").alias("id"), "n", "sig")
-    ids = stored(pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).unionByName(hot.select("id")).distinct(), "ids")
-    few = ids.count() <= SMALL
-    sets = stored(classes.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "doc", "at", F.array_distinct(words).alias("words")), "sets")
 
-    first = sets.select(F.col("id").alias("x"), F.struct("doc", "at").alias("p"), F.col("words").alias("u"))
-    second = sets.select(F.col("id").alias("y"), F.struct("doc", "at").alias("q"), F.col("words").alias("v"))
-    found = pairs.join(first, "x").join(second, "y").where(_similar(F.col("u"), F.col("v"))).select(F.when(F.col("p") > F.col("q"), F.col("x")).otherwise(F.col("y")).alias("id"))
+    def words_of(ids: DataFrame, n: int) -> DataFrame:
+        return classes.join(F.broadcast(ids) if n <= SMALL else ids, "id", "left_semi").select("id", "doc", "at", F.array_distinct(words).alias("words"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The later line of each pair (x, y) that is similar. Only lines in pairs have their words fetched."""
+        pairs = stored(pairs.distinct(), "pairs")
+        ids = stored(pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct(), "ids")
+        sets = words_of(ids, ids.count())
+        first = sets.select(F.col("id").alias("x"), F.struct("doc", "at").alias("p"), F.col("words").alias("u"))
+        second = sets.select(F.col("id").alias("y"), F.struct("doc", "at").alias("q"), F.col("words").alias("v"))
+        found = pairs.join(first, "x").join(second, "y").where(_similar(F.col("u"), F.col("v")))
+        return found.select(F.when(F.col("p") > F.col("q"), F.col("x")).otherwise(F.col("y")).alias("id")).distinct()
+
+    found = stored(verified(pairs), "found")
     # Hot tokens: in rounds, the first open line of each token settles those later ones that are similar to it, which takes a group of
     # near copies a row a line. When a round settles little, what is open is compared with all earlier lines of its tokens.
-    hot = stored(hot.join(sets.select("id", "doc", "at"), "id"), "hot")
+    hot = stored(hot.join(classes.select("id", "doc", "at"), "id"), "hot")
     place = lambda x: F.struct(f"{x}.doc", f"{x}.at")
 
     def similar(late: DataFrame, early: DataFrame) -> DataFrame:
         near = late.alias("l").join(early.alias("e"), (F.col("l.key") == F.col("e.key")) & (place("e") < place("l")) & _filters("l", "e"))
-        asked = near.select(F.col("l.id").alias("y"), F.col("e.id").alias("x")).distinct()
-        return asked.join(first, "x").join(second, "y").where(_similar(F.col("u"), F.col("v"))).select(F.col("y").alias("id")).distinct()
+        return verified(near.select(F.col("l.id").alias("y"), F.col("e.id").alias("x")))
 
     still, source, rounds = hot, hot, []
     while True:
