@@ -18,7 +18,7 @@ OVER, UNDER = 4, 5
 #: Cells that tokens are hashed to in order to count them; the counts order tokens by rarity.
 CELLS = 4096
 #: A token in the prefixes of more classes is handled in rounds.
-HOT = 256
+HOT = 8
 #: Rows of ids, of under 50 bytes, up to which they are broadcast.
 SMALL = 1_000_000
 
