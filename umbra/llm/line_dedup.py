@@ -57,6 +57,12 @@ def _filters(a: str, b: str) -> Column:
     return (UNDER * F.least(na, nb) >= OVER * F.greatest(na, nb)) & (F.bit_count(sa.bitwiseXOR(sb)) <= na + nb - 2 * _need(na + nb))
 
 
+def _reach(a: str, b: str) -> Column:
+    """From their first shared token on, both have enough tokens left. Where it is not the first, that one's row passes instead."""
+    left = [F.col(f"{x}.n") - F.col(f"{x}.pos") for x in (a, b)]
+    return F.least(*left) >= _need(F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
 def _similar(a: Column, b: Column) -> Column:
     shared = F.size(F.array_intersect(a, b))
     return UNDER * shared >= OVER * (F.size(a) + F.size(b) - shared)
@@ -78,15 +84,14 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     counted = rows.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
     # One query over one exchange: candidate pairs (x, y) of the others, and the rows of hot tokens.
     a, b = counted.where(F.col("c") <= HOT).alias("a"), counted.where(F.col("c") <= HOT).alias("b")
-    left = lambda x: F.col(f"{x}.n") - F.col(f"{x}.pos")
-    possible = (F.col("a.id") < F.col("b.id")) & _filters("a", "b") & (F.least(left("a"), left("b")) >= _need(F.col("a.n") + F.col("b.n")))
+    possible = (F.col("a.id") < F.col("b.id")) & _filters("a", "b") & _reach("a", "b")
     null = F.lit(None).cast("long")
     cold = a.join(b, (F.col("a.key") == F.col("b.key")) & possible).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
     cold = cold.select("x", "y", null.alias("key"), null.alias("n"), null.alias("sig"), null.alias("pos"))
     warm = counted.where(F.col("c") > HOT).select(F.col("id").alias("x"), null.alias("y"), "key", F.col("n").cast("long").alias("n"), "sig", F.col("pos").cast("long").alias("pos"))
     both = stored(cold.unionByName(warm), "candidates")
     pairs = both.where("key is null").select("x", "y")
-    hot = both.where("key is not null").select("key", F.col("x").alias("id"), "n", "sig")
+    hot = both.where("key is not null").select("key", F.col("x").alias("id"), "n", "sig", "pos")
 
     def words_of(ids: DataFrame, n: int) -> DataFrame:
         return classes.join(F.broadcast(ids) if n <= SMALL else ids, "id", "left_semi").select("id", "doc", "at", F.array_distinct(words).alias("words"))
@@ -108,12 +113,12 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     place = lambda x: F.struct(f"{x}.doc", f"{x}.at")
 
     def similar(late: DataFrame, early: DataFrame) -> DataFrame:
-        near = late.alias("l").join(early.alias("e"), (F.col("l.key") == F.col("e.key")) & (place("e") < place("l")) & _filters("l", "e"))
+        near = late.alias("l").join(early.alias("e"), (F.col("l.key") == F.col("e.key")) & (place("e") < place("l")) & _filters("l", "e") & _reach("l", "e"))
         return verified(near.select(F.col("l.id").alias("y"), F.col("e.id").alias("x")))
 
     still, source, rounds = hot, hot, []
     while True:
-        heads = stored(source.groupBy("key").agg(F.min(F.struct("doc", "at", "id", "n", "sig")).alias("h")).select("key", "h.*"), "heads")
+        heads = stored(source.groupBy("key").agg(F.min(F.struct("doc", "at", "id", "n", "sig", "pos")).alias("h")).select("key", "h.*"), "heads")
         rounds.append(stored(similar(still, heads), "settled"))
         still = stored(still.join(rounds[-1], "id", "left_anti"), "open")
         source = still.join(heads.select("key", "id"), ["key", "id"], "left_anti")
