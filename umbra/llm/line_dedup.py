@@ -15,10 +15,12 @@ from .common import NO_ID, WS, let, stored
 
 #: Jaccard similarity of 4 / 5.
 OVER, UNDER = 4, 5
-#: Cells that tokens are hashed to in order to count them; the counts order tokens by rarity.
-CELLS = 4096
+#: Cells that tokens are hashed to in order to count them; the counts order tokens by rarity. A rank is a byte, so they make a megabyte.
+CELLS = 1 << 20
+#: Cells of which one row gathers the ranks.
+CHUNK = 1 << 10
 #: A token in the prefixes of more classes is handled in rounds.
-HOT = 8
+HOT = 64
 #: Rows of ids, of under 50 bytes, up to which they are broadcast.
 SMALL = 1_000_000
 
@@ -35,16 +37,19 @@ def _own(docs: DataFrame) -> DataFrame:
     return own.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("text")), "\n").alias("text"))
 
 
-def _cell(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(CELLS - 1).cast("int")
+def _hashes(line: Column) -> Column:
+    return F.transform(F.array_remove(F.split(line, WS + "+"), ""), lambda w: F.xxhash64(w))
 
 
-def _ranks(classes: DataFrame) -> Column:
-    """The rank of each cell by the tokens in it, rare first, as one array."""
-    counts = dict(classes.select(F.explode(F.split("line", WS + "+")).alias("w")).groupBy(_cell(F.col("w")).alias("cell")).count().collect())
-    order = sorted(range(CELLS), key=lambda c: (counts.get(c, 0), c))
-    rank = {c: i for i, c in enumerate(order)}
-    return F.split(F.lit(",".join(str(rank[c]) for c in range(CELLS))), ",").cast("array<bigint>")
+def _ranks(classes: DataFrame) -> DataFrame:
+    """The rank of each cell by the tokens in it, rare first (three times the binary logarithm of their count), as one array of bytes."""
+    cell = F.xxhash64("w").bitwiseAND(CELLS - 1)
+    words = classes.select(F.explode(F.split("line", WS + "+")).alias("w")).where("w <> ''")
+    counts = words.groupBy(cell.alias("cell")).count().unionByName(classes.sparkSession.range(CELLS).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("count")))
+    rank = F.floor(3 * F.log2(F.sum("count") + 1)).cast("byte").alias("rank")
+    chunk = F.floor(F.col("cell") / CHUNK).alias("chunk")
+    part = counts.groupBy("cell").agg(rank).groupBy(chunk).agg(F.sort_array(F.collect_list(F.struct("cell", "rank"))).getField("rank").alias("ranks"))
+    return part.agg(F.flatten(F.sort_array(F.collect_list(F.struct("chunk", "ranks"))).getField("ranks")).alias("ranks"))
 
 
 def _need(n: Column) -> Column:
@@ -74,10 +79,10 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     each = own.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("at", "line"))
     classes = each.groupBy("line").agg(F.min("doc_id").alias("doc"), F.min_by("at", "doc_id").alias("at"))
     classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "doc", "at", "line"), "lines")
-    ranks = _ranks(classes)
+    ranks = stored(_ranks(classes), "ranks").scalar()  # a subquery: a megabyte that plans do not print
     words = F.array_remove(F.split("line", WS + "+"), "")
-    key = lambda w: F.shiftleft(F.get(ranks, _cell(w)), 51).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 13))
-    tokens = classes.select("id", F.sort_array(F.array_distinct(F.transform(words, key))).alias("tokens")).withColumn("n", F.size("tokens"))
+    key = lambda h: F.shiftleft(F.get("ranks", h.bitwiseAND(CELLS - 1).cast("int")).cast("long"), 55).bitwiseOR(F.shiftrightunsigned(h, 9))
+    tokens = classes.select("id", "line", ranks.alias("ranks")).select("id", F.sort_array(F.transform(F.array_distinct(_hashes(F.col("line"))), key)).alias("tokens")).withColumn("n", F.size("tokens"))
     sig = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
     prefix = F.col("n") - F.floor((OVER * F.col("n") + UNDER - 1) / UNDER).cast("int") + 1
     rows = tokens.select("id", "n", sig.alias("sig"), F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("pos", "key")).where(F.col("key").isNotNull())
@@ -139,7 +144,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     A line is removed if an earlier one (smaller doc_id, or the same document and further up) has a word set whose Jaccard
     similarity with its own is 0.8 or more, whether or not that one is itself removed. Words are [^\\x20\\x09-\\x0D]+. Lines
-    without a word go. Tokens are ordered and prefixes met by 63 bits of hash; similarity is verified on the words.
+    without a word go. Tokens are ordered and prefixes met by 55 bits of hash and more; similarity is verified on the words.
 
     Null text: empty. A null doc_id counts as the smallest and stays null. Rows that share a doc_id are one document, of their texts
     in ascending order. An empty table gives none. Other columns are not read.
