@@ -8,10 +8,12 @@ each token settles the later ones similar to it, round by round, and only what n
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WS, let, stored
+from .common import NO_ID, let, stored
 
 #: Jaccard similarity of 4 / 5.
 OVER, UNDER = 4, 5
@@ -21,6 +23,10 @@ CELLS = 1 << 20
 CHUNK = 1 << 10
 #: A token in the prefixes of more classes is handled in rounds.
 HOT = 64
+#: Longs of the bitmaps of lines with hot tokens, of which the pairs of a group of near copies are told apart.
+WIDE = 8
+#: Lines of a token that settle later ones in each round but the first, which has one.
+HEADS = 32
 #: Rows of ids, of under 50 bytes, up to which they are broadcast.
 SMALL = 1_000_000
 
@@ -37,14 +43,19 @@ def _own(docs: DataFrame) -> DataFrame:
     return own.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("text")), "\n").alias("text"))
 
 
+def _parts(line: Column) -> Column:
+    """The words of a line, and empty strings. A split at one plain character is twice as fast as one at a pattern."""
+    return F.split(reduce(lambda x, c: F.replace(x, F.lit(c), F.lit(" ")), "\t\v\f\r", line), " ")
+
+
 def _hashes(line: Column) -> Column:
-    return F.transform(F.array_remove(F.split(line, WS + "+"), ""), lambda w: F.xxhash64(w))
+    return F.transform(F.array_remove(_parts(line), ""), lambda w: F.xxhash64(w))
 
 
 def _ranks(classes: DataFrame) -> DataFrame:
     """The rank of each cell by the tokens in it, rare first (three times the binary logarithm of their count), as one array of bytes."""
     cell = F.xxhash64("w").bitwiseAND(CELLS - 1)
-    words = classes.select(F.explode(F.split("line", WS + "+")).alias("w")).where("w <> ''")
+    words = classes.select(F.explode(_parts(F.col("line"))).alias("w")).where("w <> ''")
     counts = words.groupBy(cell.alias("cell")).count().unionByName(classes.sparkSession.range(CELLS).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("count")))
     rank = F.floor(3 * F.log2(F.sum("count") + 1)).cast("byte").alias("rank")
     chunk = F.floor(F.col("cell") / CHUNK).alias("chunk")
@@ -57,9 +68,19 @@ def _need(n: Column) -> Column:
     return F.floor((OVER * n + OVER + UNDER - 1) / (OVER + UNDER))
 
 
-def _filters(a: str, b: str) -> Column:
-    na, nb, sa, sb = (F.col(f"{x}.{c}") for c in ("n", "sig") for x in (a, b))
-    return (UNDER * F.least(na, nb) >= OVER * F.greatest(na, nb)) & (F.bit_count(sa.bitwiseXOR(sb)) <= na + nb - 2 * _need(na + nb))
+def _bits(hashes: Column) -> Column:
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
+
+
+def _wide(hashes: Column) -> list[Column]:
+    """The bitmap of hashes, of 64 * WIDE bits."""
+    return [_bits(F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(WIDE - 1) == k)).alias(f"wide{k}") for k in range(WIDE)]
+
+
+def _filters(a: str, b: str, bitmap: list[str]) -> Column:
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = reduce(Column.__add__, (F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in bitmap))
+    return (UNDER * F.least(na, nb) >= OVER * F.greatest(na, nb)) & (differ <= na + nb - 2 * _need(na + nb))
 
 
 def _reach(a: str, b: str) -> Column:
@@ -80,23 +101,22 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     classes = each.groupBy("line").agg(F.min("doc_id").alias("doc"), F.min_by("at", "doc_id").alias("at"))
     classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "doc", "at", "line"), "lines")
     ranks = stored(_ranks(classes), "ranks").scalar()  # a subquery: a megabyte that plans do not print
-    words = F.array_remove(F.split("line", WS + "+"), "")
+    words = F.array_remove(_parts(F.col("line")), "")
     key = lambda h: F.shiftleft(F.get("ranks", h.bitwiseAND(CELLS - 1).cast("int")).cast("long"), 55).bitwiseOR(F.shiftrightunsigned(h, 9))
     tokens = classes.select("id", "line", ranks.alias("ranks")).select("id", F.sort_array(F.transform(F.array_distinct(_hashes(F.col("line"))), key)).alias("tokens")).withColumn("n", F.size("tokens"))
-    sig = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
     prefix = F.col("n") - F.floor((OVER * F.col("n") + UNDER - 1) / UNDER).cast("int") + 1
-    rows = tokens.select("id", "n", sig.alias("sig"), F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("pos", "key")).where(F.col("key").isNotNull())
+    rows = tokens.select("id", "n", _bits(F.col("tokens")).alias("sig"), F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("pos", "key")).where(F.col("key").isNotNull())
     counted = rows.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
     # One query over one exchange: candidate pairs (x, y) of the others, and the rows of hot tokens.
     a, b = counted.where(F.col("c") <= HOT).alias("a"), counted.where(F.col("c") <= HOT).alias("b")
-    possible = (F.col("a.id") < F.col("b.id")) & _filters("a", "b") & _reach("a", "b")
+    possible = (F.col("a.id") < F.col("b.id")) & _filters("a", "b", ["sig"]) & _reach("a", "b")
     null = F.lit(None).cast("long")
     cold = a.join(b, (F.col("a.key") == F.col("b.key")) & possible).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
-    cold = cold.select("x", "y", null.alias("key"), null.alias("n"), null.alias("sig"), null.alias("pos"))
-    warm = counted.where(F.col("c") > HOT).select(F.col("id").alias("x"), null.alias("y"), "key", F.col("n").cast("long").alias("n"), "sig", F.col("pos").cast("long").alias("pos"))
+    cold = cold.select("x", "y", null.alias("key"), null.alias("n"), null.alias("pos"))
+    warm = counted.where(F.col("c") > HOT).select(F.col("id").alias("x"), null.alias("y"), "key", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"))
     both = stored(cold.unionByName(warm), "candidates")
     pairs = both.where("key is null").select("x", "y")
-    hot = both.where("key is not null").select("key", F.col("x").alias("id"), "n", "sig", "pos")
+    hot = both.where("key is not null").select("key", F.col("x").alias("id"), "n", "pos")
 
     def words_of(ids: DataFrame, n: int) -> DataFrame:
         return classes.join(F.broadcast(ids) if n <= SMALL else ids, "id", "left_semi").select("id", "doc", "at", F.array_distinct(words).alias("words"))
@@ -112,23 +132,26 @@ def kept_lines(docs: DataFrame) -> DataFrame:
         return found.select(F.when(F.col("p") > F.col("q"), F.col("x")).otherwise(F.col("y")).alias("id")).distinct()
 
     found = stored(verified(pairs), "found")
-    # Hot tokens: in rounds, the first open line of each token settles those later ones that are similar to it, which takes a group of
-    # near copies a row a line. When a round settles little, what is open is compared with all earlier lines of its tokens.
-    hot = stored(hot.join(classes.select("id", "doc", "at"), "id"), "hot")
+    # Hot tokens: in rounds, the first open lines of each token settle those later ones that are similar to them, which takes a group of
+    # near copies a few rows a line. When a round settles little, what is open is compared with all earlier lines of its tokens.
+    wide = [f"wide{k}" for k in range(WIDE)]
+    hot = stored(hot.join(classes.select("id", "doc", "at", F.array_distinct(_hashes(F.col("line"))).alias("h")), "id").select("key", "id", "n", "pos", "doc", "at", *_wide(F.col("h"))), "hot")
     place = lambda x: F.struct(f"{x}.doc", f"{x}.at")
 
     def similar(late: DataFrame, early: DataFrame) -> DataFrame:
-        near = late.alias("l").join(early.alias("e"), (F.col("l.key") == F.col("e.key")) & (place("e") < place("l")) & _filters("l", "e") & _reach("l", "e"))
+        near = late.alias("l").join(early.alias("e"), (F.col("l.key") == F.col("e.key")) & (place("e") < place("l")) & _filters("l", "e", wide) & _reach("l", "e"))
         return verified(near.select(F.col("l.id").alias("y"), F.col("e.id").alias("x")))
 
-    still, source, rounds = hot, hot, []
+    still = hot.join(F.broadcast(found) if found.count() <= SMALL else found, "id", "left_anti")
+    source, rounds, most = still, [], 1
     while True:
-        heads = stored(source.groupBy("key").agg(F.min(F.struct("doc", "at", "id", "n", "sig", "pos")).alias("h")).select("key", "h.*"), "heads")
+        nth = F.row_number().over(Window.partitionBy("key").orderBy("doc", "at"))
+        heads = stored(source.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth"), "heads")
         rounds.append(stored(similar(still, heads), "settled"))
         still = stored(still.join(rounds[-1], "id", "left_anti"), "open")
-        source = still.join(heads.select("key", "id"), ["key", "id"], "left_anti")
-        if 100 * rounds[-1].count() < still.count() or rounds[-1].isEmpty():
+        if most > 1 and 100 * rounds[-1].count() <= still.select("id").distinct().count():
             break
+        source, most = still.join(heads.select("key", "id"), ["key", "id"], "left_anti"), HEADS
     repeats = similar(still, hot.join(still.select("key").distinct(), "key", "left_semi"))
     for settled in rounds:
         repeats = repeats.unionByName(settled)
