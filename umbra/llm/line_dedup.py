@@ -107,13 +107,13 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     prefix = F.col("n") - F.floor((OVER * F.col("n") + UNDER - 1) / UNDER).cast("int") + 1
     rows = tokens.select("id", "n", _bits(F.col("tokens")).alias("sig"), F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("pos", "key")).where(F.col("key").isNotNull())
     counted = rows.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
-    # One query over one exchange: candidate pairs (x, y) of the others, and the rows of hot tokens.
+    # One query over one exchange, which the same columns on both sides make possible: candidate pairs (x, y) of the others, and the rows of hot tokens.
     a, b = counted.where(F.col("c") <= HOT).alias("a"), counted.where(F.col("c") <= HOT).alias("b")
     possible = (F.col("a.id") < F.col("b.id")) & _filters("a", "b", ["sig"]) & _reach("a", "b")
     null = F.lit(None).cast("long")
     cold = a.join(b, (F.col("a.key") == F.col("b.key")) & possible).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
-    cold = cold.select("x", "y", null.alias("key"), null.alias("n"), null.alias("pos"))
-    warm = counted.where(F.col("c") > HOT).select(F.col("id").alias("x"), null.alias("y"), "key", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"))
+    cold = cold.select("x", "y", null.alias("key"), null.alias("n"), null.alias("sig"), null.alias("pos"))
+    warm = counted.where(F.col("c") > HOT).select(F.col("id").alias("x"), null.alias("y"), "key", F.col("n").cast("long").alias("n"), "sig", F.col("pos").cast("long").alias("pos"))
     both = stored(cold.unionByName(warm), "candidates")
     pairs = both.where("key is null").select("x", "y")
     hot = both.where("key is not null").select("key", F.col("x").alias("id"), "n", "pos")
