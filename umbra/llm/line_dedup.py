@@ -118,24 +118,38 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     pairs = both.where("key is null").select("x", "y")
     hot = both.where("key is not null").select("key", F.col("x").alias("id"), "n", "pos")
 
-    def words_of(ids: DataFrame, n: int) -> DataFrame:
-        return classes.join(F.broadcast(ids) if n <= SMALL else ids, "id", "left_semi").select("id", "doc", "at", F.array_distinct(words).alias("words"))
+    wide = [f"wide{k}" for k in range(WIDE)]
+
+    def ids_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id")))
+
+    def lines_of(ids: DataFrame) -> DataFrame:
+        ids = stored(ids.distinct(), "ids")
+        return classes.join(F.broadcast(ids) if ids.count() <= SMALL else ids, "id", "left_semi")
+
+    def with_bitmaps(lines: DataFrame) -> DataFrame:
+        h = lines.select("id", "doc", "at", F.array_distinct(_hashes(F.col("line"))).alias("h"))
+        return h.select("id", "doc", "at", F.size("h").alias("n"), *_wide(F.col("h")))
+
+    def narrowed(pairs: DataFrame) -> DataFrame:
+        """Those pairs (x, y) that wide bitmaps leave possible: the narrow ones of long lines are nearly full."""
+        maps = stored(with_bitmaps(lines_of(ids_of(pairs))).drop("doc", "at"), "bitmaps")
+        a, b = maps.alias("a"), maps.alias("b")
+        return pairs.join(a, F.col("x") == F.col("a.id")).join(b, F.col("y") == F.col("b.id")).where(_filters("a", "b", wide)).select("x", "y")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The later line of each pair (x, y) that is similar. Only lines in pairs have their words fetched."""
         pairs = stored(pairs.distinct(), "pairs")
-        ids = stored(pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct(), "ids")
-        sets = words_of(ids, ids.count())
+        sets = lines_of(ids_of(pairs)).select("id", "doc", "at", F.array_distinct(words).alias("words"))
         first = sets.select(F.col("id").alias("x"), F.struct("doc", "at").alias("p"), F.col("words").alias("u"))
         second = sets.select(F.col("id").alias("y"), F.struct("doc", "at").alias("q"), F.col("words").alias("v"))
         found = pairs.join(first, "x").join(second, "y").where(_similar(F.col("u"), F.col("v")))
         return found.select(F.when(F.col("p") > F.col("q"), F.col("x")).otherwise(F.col("y")).alias("id")).distinct()
 
-    found = stored(verified(pairs), "found")
+    found = stored(verified(narrowed(pairs)), "found")
     # Hot tokens: in rounds, the first open lines of each token settle those later ones that are similar to them, which takes a group of
     # near copies a few rows a line. When a round settles little, what is open is compared with all earlier lines of its tokens.
-    wide = [f"wide{k}" for k in range(WIDE)]
-    hot = stored(hot.join(classes.select("id", "doc", "at", F.array_distinct(_hashes(F.col("line"))).alias("h")), "id").select("key", "id", "n", "pos", "doc", "at", *_wide(F.col("h"))), "hot")
+    hot = stored(hot.drop("n").join(with_bitmaps(lines_of(hot.select("id"))), "id").select("key", "id", "n", "pos", "doc", "at", *wide), "hot")
     place = lambda x: F.struct(f"{x}.doc", f"{x}.at")
 
     def similar(late: DataFrame, early: DataFrame) -> DataFrame:
