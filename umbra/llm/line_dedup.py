@@ -22,7 +22,7 @@ CELLS = 1 << 20
 #: Cells of which one row gathers the ranks.
 CHUNK = 1 << 10
 #: A token in the prefixes of more classes is handled in rounds.
-HOT = 64
+HOT = 256
 #: Longs of the bitmaps of lines with hot tokens, of which the pairs of a group of near copies are told apart.
 WIDE = 8
 #: Lines of a token that settle later ones in each round but the first, which has one.
