@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbra.llm.common import shared_path
+from umbra.llm.common import NO_ID, shared_path, stored
 from umbra.llm.line_dedup import line_dedup
 from umbra.llm.packing import pack
 from umbra.llm.quality import judge
@@ -14,31 +14,50 @@ from umbra.llm.simhash import simhash_groups
 from umbra.llm.substring_dedup import substring_dedup
 
 
-def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """docs with the texts of (doc_id, new_text) in place of their own."""
-    joined = docs.drop("text").join(texts, "doc_id").withColumn("text", F.col("new_text")).withColumn("n_chars", F.length("text").cast("long"))
-    return joined.select(docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a column _row, of one value a row, in the order of doc_id (null first) and then of the texts.
+
+    Operators decide on it in place of doc_id, so that each decision comes back to its own row. Where doc_ids are distinct they serve as they are.
+    """
+    own = F.col("doc_id").cast("long")
+    if docs.select(own.alias("id")).groupBy("id").count().where(f"count > 1 or id is null or id = {NO_ID}").isEmpty():
+        return docs.withColumn("_row", own)
+    # The place in the input parts equal rows of one large group.
+    placed = docs.withColumn("_row", F.monotonically_increasing_id()).orderBy(own.asc_nulls_first(), "text", "_row")
+    return stored(placed.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def _as_docs(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.col("_row")).drop("_row")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return docs.join(judge(docs).where("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    rows = _keyed(docs)
+    kept = judge(_as_docs(rows)).where("kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines like earlier ones go; a document of which no line is left goes with them."""
-    return _with_text(docs, line_dedup(docs).where("n_kept > 0").select("doc_id", F.col("text").alias("new_text")))
+    rows = _keyed(docs)
+    found = line_dedup(_as_docs(rows)).where("n_kept > 0").select(F.col("doc_id").alias("_row"), F.col("text").alias("new_text"))
+    joined = rows.drop("text").join(found, "_row").withColumn("text", F.col("new_text")).withColumn("n_chars", F.length("text").cast("long"))
+    return joined.select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies stays."""
-    return docs.join(simhash_groups(docs).where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    rows = _keyed(docs)
+    first = simhash_groups(_as_docs(rows)).where("doc_id = component_id").select(F.col("doc_id").alias("_row"))
+    return rows.join(first, "_row", "left_semi").select(docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated windows go. Where nothing is removed a text stays as it is, white space included."""
-    found = substring_dedup(docs).where("n_removed > 0").select("doc_id", F.col("kept_text").alias("new_text"))
-    joined = docs.withColumnRenamed("text", "own").join(found, "doc_id", "left")
+    rows = _keyed(docs)
+    found = substring_dedup(_as_docs(rows)).where("n_removed > 0").select(F.col("doc_id").alias("_row"), F.col("kept_text").alias("new_text"))
+    joined = rows.withColumnRenamed("text", "own").join(found, "_row", "left")
     return joined.withColumn("text", F.coalesce("new_text", "own")).withColumn("n_chars", F.length("text").cast("long")).where("text <> ''").select(docs.columns)
 
 

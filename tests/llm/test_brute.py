@@ -354,3 +354,49 @@ def test_pipeline(spark):
             assert {r.doc_id for r in rows} == {d for d, (_, c) in linked({d: plain_fingerprint(t) for d, t in before.items()}).items() if c == d}
         docs = spark.createDataFrame(rows, out.schema)
     assert stage and corpus_pipeline.packing(spark, docs, SF).agg(F.sum("length")).first()[0] > 0
+
+
+def test_pipeline_keeps_each_row(spark, tmp_path):
+    """run() beside its five stages in plain Python, with repeated rows, namesakes of other texts, null doc_ids. Texts are too short for the two distances."""
+    r = random.Random(7)
+    say = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    a, b, c, d, e = (say(24) for _ in range(5))
+    part = say(21)
+    rows = [(5, a), (5, a), (6, b), (6, "too short"), (7, say(12) + "\n" + say(12)), (7, c), (None, d), (None, d), (None, e), (8, f"{say(5)} {part}"), (9, f"{part} {say(6)}"), (10, None), (11, a), (12, f"{say(11)}\n{c}")]
+    rows = [(i, t, "en", "web", len(t or "")) for i, t in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    order = lambda ds: sorted(ds, key=lambda x: (x[0] is not None, x[0] or 0, (x[1] or "").encode()))
+    now = order((i, t) for i, t, *_ in rows if len(words(t)) >= 10)
+    seen, left = [], []
+    for i, t in now:
+        kept = []
+        for x in dict.fromkeys(x for x in t.split("\n") if words(x)):
+            w = set(words(x))
+            if not any(5 * len(w & v) >= 4 * len(w | v) for v in seen):
+                kept.append(x)
+            seen.append(w)
+        if kept:
+            left.append((i, "\n".join(kept)))
+    groups = linked({n: plain_fingerprint(t) for n, (_, t) in enumerate(left)})
+    left = [x for n, x in enumerate(left) if groups[n][1] == n]
+    known, want = set(), []
+    for i, t in left:
+        w = words(t)
+        gone = [False] * len(w)
+        for s in range(len(w) - 19):
+            k = tuple(w[s : s + 20])
+            if k in known:
+                gone[s : s + 20] = [True] * 20
+            known.add(k)
+        t = " ".join(x for x, g in zip(w, gone, strict=True) if not g) if any(gone) else t
+        if t:
+            want.append((i, np.array([*tok.encode(t, add_special_tokens=False).ids, 1], "<u4")))
+    assert Count(i for i, _ in want) == {None: 2, 5: 1, 6: 1, 7: 2, 8: 1, 9: 1, 12: 1}
+    got, free = corpus_pipeline.run(spark, str(tmp_path)).collect(), Count((i, ids.tobytes()) for i, ids in want)
+    pieces = {}
+    for x in got:
+        fits = [k for k in free if k[0] == x.doc_id and len(k[1]) == 4 * x.doc_tokens and zlib.crc32(k[1][4 * x.start : 4 * (x.start + x.length)]) == x.ids_crc32]
+        assert len(fits) == 1
+        pieces.setdefault(fits[0], []).append((x.start, x.length))
+    assert {k: tiles(x) for k, x in pieces.items()} == {k: len(k[1]) // 4 for k in free} and set(free.values()) == {1}
