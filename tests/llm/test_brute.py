@@ -200,6 +200,26 @@ def test_quality(docs, made):
         assert not (failed and got[d][6])
 
 
+def test_quality_common_words_of_any_script(spark):
+    """Words of scripts without case, long and capitalised ones and ones with marks are in the reference, and a document without them is rejected."""
+    r = random.Random(2)
+    alphabets = {"ar": "ابتثجحخدذرزسشصض", "hi": "कखगघचछजझटठडढिीा", "ko": "가나다라마바사아자차카", "de": "ABCDÄbcdeßü"}
+    rows = []
+    for lang, letters in alphabets.items():
+        common = sorted({"".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(16)})
+        rare = lambda x=letters: "".join(r.choice(x) for _ in range(12))
+        rows += [(lang, " ".join(r.choice(common) if r.random() < 0.6 else rare() for _ in range(150))) for _ in range(30)]
+        rows.append((lang, " ".join(rare() for _ in range(150))))
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    tops = {x.lang: [(y.word, y.n) for y in x.top] for x in quality.common_words(df).collect()}
+    for lang in alphabets:
+        n = Count(w for k, t in rows if k == lang for w in words(t) if re.fullmatch(r"[^\W\d_]+", re.sub("[िीा]", "", w) or "x"))
+        assert tops[lang] == sorted(n.items(), key=lambda x: (-x[1], x[0].encode()))[: quality.COMMON]
+    judged = by_id(quality.judge(df), "word_distance", "kept")
+    bad = [i for i, (lang, _) in enumerate(rows) if i + 1 == len(rows) or rows[i + 1][0] != lang]
+    assert all(judged[i][1] is (i not in bad) for i in judged) and all(judged[i][0] > quality.WORD_DISTANCE for i in bad)
+
+
 def test_quality_separates_labels(spark):
     d = "/root/testdata/sf0.01"
     judged = quality.judge(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("not base_failed")

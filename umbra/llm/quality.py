@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import WS, let, stored
 
-#: Common words of a language's reference, and the most letters of one.
-COMMON, LETTERS = 16, 5
+#: Common words of a language's reference.
+COMMON = 16
 #: Greatest Jensen-Shannon distances (base 2, from 0 to 1) of a document that is kept.
 CLASS_DISTANCE, WORD_DISTANCE = 0.3, 0.3
 #: A shorter document's histogram says too little, and is not judged.
@@ -55,8 +55,8 @@ def _own(docs: DataFrame) -> DataFrame:
 
 
 def common_words(docs: DataFrame) -> DataFrame:
-    """lang, top: its COMMON most frequent words of at most LETTERS lower-case letters, with their counts over all of docs."""
-    each = _own(docs).select("lang", F.explode(F.split("text", WS + "+")).alias("word")).where((F.octet_length("word") <= 2 * LETTERS) & F.col("word").rlike(rf"^\p{{Ll}}{{1,{LETTERS}}}$"))
+    """lang, top: its COMMON most frequent words of letters and marks, of any script and length, with their counts over all of docs."""
+    each = _own(docs).select("lang", F.explode(F.split("text", WS + "+")).alias("word")).where(F.col("word").rlike(r"^[\p{L}\p{M}]+\z"))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     counts = each.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= COMMON)
     return counts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
