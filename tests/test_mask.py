@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions import scalars as S
 from umbra.operators import mask as M
+from umbra.plans.queries import QUERIES
 
 
 def each(spark, values, f):
@@ -67,3 +68,10 @@ def test_first_category_wins_for_a_group(spark):
     rows = [(1, 0, "x", "Client", "list", "g"), (2, 0, "x", "Entity", "list", "g"), (2, 1, "y", "Client", "list", "h")]
     found = spark.createDataFrame(rows, "doc_id long, seq int, text string, category string, source string, group_key string")
     assert [r.placeholder for r in M.with_placeholders(found).orderBy("doc_id", "seq").collect()] == ["Client A", "Client A", "Client B"]
+
+
+def test_usable_documents(spark, tmp_path):
+    """Whole texts are judged, whatever their ids: control characters that only the tail holds count, few among many do not."""
+    rows = [(0, "x" * 30 + "\x01" * 30, False), (3, "\x01\x02\x03" + "x" * 100, True), (6, "\x01\x02\x03" + "x" * 20, False), (9, "plain", True), (1, " \n", False), (2, "\x01" * 3, False)]
+    spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {x.doc_id: x.usable for x in QUERIES["usable_documents"](spark, str(tmp_path)).collect()} == {i: u for i, _, u in rows}

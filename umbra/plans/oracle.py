@@ -119,6 +119,7 @@ ORACLE = {
       select category, case when tier = 0 then case category when '=Azure' then 'list:acme' when 'Entity' then 'list:acme holdings' else 'list:acme holdings 7 pte ltd' end else text end from ({_claims()})) group by 1""",
     "blob_dedupe": "select md5(text) as digest, min(doc_id) as first_id, count(*) as n, string_agg(cast(doc_id as varchar), ',' order by doc_id) as all_ids from documents group by 1",
     "usable_text": f"select doc_id, length(s) > 0 and length(regexp_replace(x, '[^\\x00-\\x08\\x0E-\\x1B]', '', 'g')) / greatest(length(s), 1) < 0.1 as usable from (select doc_id, {_spoilt} as x, regexp_replace({_spoilt}, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}]', '', 'g') as s from documents)",
+    "usable_documents": "select doc_id, length(s) > 0 and length(regexp_replace(text, '[^\\x00-\\x08\\x0E-\\x1B]', '', 'g')) / greatest(length(s), 1) < 0.1 as usable from (select doc_id, text, regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}]', '', 'g') as s from documents)",
     "ocr_lines": """select l_orderkey as block, l_suppkey % 2 as par, cast(l_quantity as int) % 2 as line, string_agg(l_returnflag || cast(l_partkey as varchar), ' ' order by l_linenumber, l_returnflag || cast(l_partkey as varchar)) as text,
       cast(min(l_partkey) as int) as x0, cast(min(l_suppkey) as int) as y0, cast(max(l_partkey + cast(l_quantity as int)) as int) as x1, cast(max(l_suppkey + l_linenumber) as int) as y1 from lineitem where cast(l_quantity as int) * 2 >= 40 group by 1, 2, 3""",
     "zip_names": "select o_orderkey, o_custkey || case when n > 1 then ' (' || (n - 1) || ')' else '' end || '.txt' as zip_name from (select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_orderkey) as n from orders)",
