@@ -257,6 +257,35 @@ def test_packing(docs, made):
         assert all(abs(own[s] - 2048 * n / total) <= 2 * packing.QUANTUM for s, n in share.items())
 
 
+def test_packing_of_many_sources(spark):
+    """400 sources, each in one run of the input: each keeps its share of any beginning of the stream to within two quanta, and the tiny ones are spread."""
+    r = random.Random(4)
+    sizes = [3000, 1500] + [300] * 298 + [20] * 100
+    rows = [(1000 * s + i, " ".join(f"w{r.randint(0, 99)}" for _ in range(n // parts)), f"site{s:03}") for s, n in enumerate(sizes) for parts in [4 if n > 100 else 1] for i in range(parts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4, "source")
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    ids = {d: np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4") for d, x, _ in rows}
+    got, seqs, docs = packing.pack(df, P.path("word_bpe_49k.json")).collect(), {}, {}
+    for x in got:
+        assert x.doc_tokens == len(ids[x.doc_id]) and zlib.crc32(ids[x.doc_id][x.start : x.start + x.length].tobytes()) == x.ids_crc32
+        seqs.setdefault(x.sequence_id, []).append((x.offset, x.length))
+        docs.setdefault(x.doc_id, []).append((x.start, x.length))
+    assert {d: tiles(x) for d, x in docs.items()} == {d: len(a) for d, a in ids.items()}
+    ends = np.cumsum([tiles(seqs[i]) for i in range(len(seqs))])
+    total, count = int(ends[-1]), {}
+    assert total == sum(map(len, ids.values())) and all(n % 2048 == 0 for n in ends[: total // 2048])
+    stream = np.empty(total, int)
+    for x in got:
+        at = (ends[x.sequence_id - 1] if x.sequence_id else 0) + x.offset
+        stream[at : at + x.length] = int(x.source[4:])
+    at = np.arange(1, total + 1)
+    for s in range(len(sizes)):
+        count[s] = np.cumsum(stream == s)
+        assert np.abs(count[s] - count[s][-1] * at / total).max() <= 2 * packing.QUANTUM
+    tiny = np.cumsum(stream >= 300)
+    assert np.abs(tiny - tiny[-1] * at / total).max() < 0.1 * tiny[-1]
+
+
 def test_word_ids():
     from umbra.llm.wordids import WordIds
 

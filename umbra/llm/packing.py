@@ -5,6 +5,11 @@ its k-th quantum at the virtual time (2k + 1) / 2K_s, so at any time its deficit
 a window gets each source's share of tokens to within a quantum, the rest being carried into the next window. Because the order
 of quanta is a formula of the totals, a task can place its own tokens without seeing any other task's, and deficits carry across
 partitions as they do across windows.
+
+The formula asks each queue for each quantum. For many sources the quanta are instead sorted by their due times, range by range, and
+their places are the sums of the sizes before them. There a source is owed a quantum when its share of
+virtual time has come to the tokens before it and a part of its own, the source's phase between 0 and 1: deficits stay under a
+quantum, and sources of a quantum or less are spread over the stream.
 """
 
 from __future__ import annotations
@@ -16,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, stored
+from .common import NO_ID, parts, stored
 from .wordids import WordIds
 
 WINDOW, QUANTUM, END = 2048, 128, 1
-#: Sources beyond so many, by tokens, share one more queue.
+#: Sources up to which places come from the formula. Those of more are sorted.
 QUEUES = 256
 #: Rows up to which the table of offsets, of under 100 bytes a row, is broadcast.
 SMALL = 50_000
@@ -117,7 +122,8 @@ def _place(order: Order):
                 k = np.arange(before // q, (before + n - 1) // q + 1)
                 lo = np.maximum(k * q, before)
                 hi = np.minimum((k + 1) * q, before + n)
-                at = order.start(s, k) + lo - k * q
+                starts = order.start(s, k) if row["starts"] is None else np.array(row["starts"], np.int64)
+                at = starts + lo - k * q
                 owner, inside = order.cuts(at, hi - lo)
                 begins = before + np.cumsum(np.r_[0, lengths])
                 cut = np.unique(np.concatenate([lo, begins[:-1], lo[owner] + inside - at[owner]]))
@@ -136,6 +142,37 @@ def _place(order: Order):
     return run
 
 
+def _sums(batches):
+    """Rows in order of due times within their range: block, source, k, part (the range) and the place in it where the quantum begins."""
+    from pyspark import TaskContext
+
+    part, total = TaskContext.get().partitionId(), 0
+    for b in batches:
+        # Rows of one quantum lie together, and only the first has its size.
+        ends = total + np.cumsum(b.column("size").to_numpy())
+        total = int(ends[-1]) if len(ends) else total
+        n = b.num_rows
+        yield pa.RecordBatch.from_arrays([b.column("block"), b.column("source"), b.column("k"), pa.array([part] * n, pa.int32()), pa.array(ends - b.column("full").to_numpy(), pa.int64()), pa.array(ends, pa.int64())], ["block", "source", "k", "part", "at", "end"])
+
+
+def _starts(sizes: DataFrame, totals: DataFrame, q: int) -> DataFrame:
+    """block, source, queue, before, starts: where the quanta begin of which a block has tokens, in order."""
+    w = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stored(sizes.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))), "offsets")
+    each = offsets.join(totals, "source").withColumn("k", F.explode(F.sequence(F.expr(f"before div {q}"), F.expr(f"(before + n - 1) div {q}"))))
+    full = F.least(F.lit(q).cast("long"), F.col("tokens") - F.col("k") * q)
+    each = each.select("block", "source", "k", "before", full.alias("full"), F.when(F.col("k") * q >= F.col("before"), full).otherwise(F.lit(0)).alias("size"), ((F.col("k") * q + F.col("phase") * full) / F.col("tokens")).alias("due"))
+    dealt = each.repartitionByRange(parts(sizes.sparkSession), "due", "source", "k").sortWithinPartitions("due", "source", "k", "before")
+    places = stored(dealt.mapInArrow(_sums, "block long, source string, k long, part int, at long, end long"), "places")
+    # A number for each range, of which there are as many as shuffle partitions.
+    ends, bases = dict(places.groupBy("part").agg(F.max("end")).collect()), {}
+    for part in sorted(ends):
+        bases[part] = sum(ends[x] for x in bases)
+    rows = sizes.sparkSession.createDataFrame(list(bases.items()), "part int, base long")
+    starts = places.join(F.broadcast(rows), "part").groupBy("block", "source").agg(F.sort_array(F.collect_list(F.struct("k", (F.col("at") + F.col("base")).alias("at"))))["at"].alias("starts"))
+    return stored(offsets.select("block", "source", F.lit(0).alias("queue"), "before").join(starts, ["block", "source"]), "starts")
+
+
 def pack(docs: DataFrame, tokenizer: str, source: str = "source") -> DataFrame:
     """Pieces of documents, and where in which sequence each lies.
 
@@ -149,14 +186,19 @@ def pack(docs: DataFrame, tokenizer: str, source: str = "source") -> DataFrame:
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     blocks = stored(own.mapInArrow(_tokenise(tokenizer), BLOCK), "tokens")
     sizes = blocks.select("block", "source", "n")
-    top = sizes.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(QUEUES).collect()
-    total = sizes.agg(F.sum("n")).first()[0] or 0
+    top = sizes.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(QUEUES + 1).collect()
+    if len(top) > QUEUES:
+        # Phases by the golden ratio: sources alike in size are spread evenly.
+        place = F.monotonically_increasing_id()
+        phase = F.pmod(place.bitwiseAND((1 << 33) - 1) * F.lit(0.6180339887498949) + F.shiftright(place, 33) * F.lit(0.4142135623730951), F.lit(1.0))
+        totals = stored(sizes.groupBy("source").agg(F.sum("n").alias("tokens")).sortWithinPartitions("tokens", "source").withColumn("phase", phase), "totals")
+        order = Order([totals.agg(F.sum("tokens")).first()[0]])
+        return blocks.join(_starts(sizes, totals, order.quantum), ["block", "source"]).mapInArrow(_place(order), RESULT)
     names = {r["source"]: i for i, r in enumerate(top)}
-    order = Order([*(r["n"] for r in top), total - sum(r["n"] for r in top)])
-    rest = F.lit(len(top))
-    queue = F.coalesce(F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[F.col("source")], rest) if names else rest
+    order = Order([r["n"] for r in top])
+    queue = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[F.col("source")] if names else F.lit(0)
     w = Window.partitionBy("queue").orderBy("block", "source").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stored(sizes.withColumn("queue", queue).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n"), "offsets")
+    offsets = stored(sizes.withColumn("queue", queue).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n").withColumn("starts", F.lit(None).cast("array<long>")), "offsets")
     if offsets.count() <= SMALL:
         offsets = F.broadcast(offsets)
     return blocks.join(offsets, ["block", "source"]).mapInArrow(_place(order), RESULT)
