@@ -198,7 +198,7 @@ def _judge(rows: pa.Table) -> pa.Table:
     return B.message_table(out)
 
 
-def _finish(docs: pa.Table, messages: pa.Table) -> pa.Table:
+def _finish(docs: pa.Table, messages: pa.Table, keep_texts: bool) -> pa.Table:
     block = B.Block(docs, messages)
     found = B.intervals(block, FOUND)
     n_words, n_removed, texts, shas = [], [], [], []
@@ -214,19 +214,23 @@ def _finish(docs: pa.Table, messages: pa.Table) -> pa.Table:
         kept = b" ".join(ws)
         n_words.append(n)
         n_removed.append(removed)
-        texts.append(kept)
         shas.append(hashlib.sha256(kept).hexdigest())
+        if keep_texts:
+            texts.append(kept)
     ids = pa.array(block.ids, pa.int64(), mask=block.ids == NO_ID)
-    return pa.table({"doc_id": ids, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(texts, pa.binary()).cast(pa.string()), "kept_sha256": pa.array(shas, pa.string())})
+    out = {"doc_id": ids, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())}
+    if keep_texts:
+        out["kept_text"] = pa.array(texts, pa.binary()).cast(pa.string())
+    return pa.table(out | {"kept_sha256": pa.array(shas, pa.string())})
 
 
-def substring_dedup(docs: DataFrame) -> DataFrame:
+def substring_dedup(docs: DataFrame, keep_texts: bool = True) -> DataFrame:
     """Remove every word that a window of 20 words covers whose words also start earlier in the corpus.
 
     Words are [^\\x20\\x09-\\x0D]+ of `text`, unchanged. Earlier: a smaller doc_id, or the same document and an earlier start.
     Windows are judged on the input. Level by level: anchors whose 5 words repeat are extended to 10 words on either side, those
     with a repeated side to all their windows of 20 words. Returns doc_id, n_words, n_removed, kept_text (kept words joined by
-    one blank), kept_sha256, a row for each input row.
+    one blank; not with keep_texts=False, which sends no text back from Python), kept_sha256, a row for each input row.
 
     Null text: none; fewer than 20 words: kept whole. A null doc_id counts as the smallest. Rows that share a doc_id come in the
     order of their texts. Other columns, whatever their names, are not read. Windows are compared by their place in a bucket,
@@ -249,9 +253,13 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     five = plan.reps.unionByName(B.answers(plan.visit(plan.reps, first, B.OUT), LEVEL5))
     ten = five.unionByName(B.answers(plan.visit(five, second, B.OUT), LEVEL10))
     found = plan.visit(ten, third, B.OUT).groupBy("bucket").applyInArrow(_judge, B.MESSAGE)
-    return plan.visit(plan.reps.unionByName(found), _finish, RESULT)
+
+    def last(d: pa.Table, m: pa.Table) -> pa.Table:
+        return _finish(d, m, keep_texts)
+
+    return plan.visit(plan.reps.unionByName(found), last, RESULT if keep_texts else RESULT.replace(" kept_text string,", ""))
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substring_dedup(docs, keep_texts=False)
