@@ -286,14 +286,6 @@ def test_packing_of_many_sources(spark):
     assert np.abs(tiny - tiny[-1] * at / total).max() < 0.1 * tiny[-1]
 
 
-def test_word_ids():
-    from umbra.llm.wordids import WordIds
-
-    t, memo = Tokenizer.from_file(P.path("word_bpe_49k.json")), WordIds(P.path("word_bpe_49k.json"), most=50)
-    for x in ["", "The cat's. É́ İ Σς x<|endoftext|>y z, 12a b.c", "a" * 500, "<|startoftext|>", "don't can't've"] * 2:
-        assert memo.ids(x.encode()) == array.array("I", t.encode(x, add_special_tokens=False).ids).tobytes()
-
-
 def odd():
     r = random.Random(1)
     return [

@@ -1,7 +1,7 @@
 """Mixture-controlled packing of token ids into sequences of 2048.
 
-Deficit round-robin in closed form. Each source is a queue of tokens, served in quanta of QUANTUM. Queue s of K_s quanta is owed
-its k-th quantum at the virtual time (2k + 1) / 2K_s, so at any time its deficit (owed less served) stays under a quantum, and
+Deficit round-robin in closed form. Each source is a queue of tokens, served in quanta of QUANTUM. Queue s of share W_s is owed
+its k-th quantum at the virtual time (2k + 1) / 2W_s, so at any time its deficit (owed less served) stays under a quantum, and
 a window gets each source's share of tokens to within a quantum, the rest being carried into the next window. Because the order
 of quanta is a formula of the totals, a task can place its own tokens without seeing any other task's, and deficits carry across
 partitions as they do across windows.
@@ -18,6 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,12 +52,12 @@ def _tokenise(path: str, most: int = 4 << 20):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in BLOCK.split(", ")])
 
         for b in batches:
-            for d, s, t in zip(b.column("doc_id").to_pylist(), b.column("source").to_pylist(), b.column("text"), strict=True):
-                text = t.as_buffer().to_pybytes()
+            texts = b.column("text")
+            for d, s, n, ids in zip(b.column("doc_id").to_pylist(), b.column("source").to_pylist(), pc.binary_length(texts).to_pylist(), memo.encode(texts), strict=True):
                 ds, ts = found.setdefault(s, ([], []))
                 ds.append(d)
-                ts.append(memo.ids(text) + end)
-                size += len(text)
+                ts.append(ids + end)
+                size += n
                 if size >= most:
                     yield flush()
                     block, size = block + 1, 0
@@ -68,27 +69,36 @@ def _tokenise(path: str, most: int = 4 << 20):
 
 
 class Order:
-    """Where the quanta of all queues lie in the one stream that the windows cut."""
+    """Where the quanta of all queues lie in the one stream that the windows cut.
 
-    def __init__(self, tokens: list[int], quantum: int = QUANTUM):
-        self.tokens = np.array(tokens, np.int64)
-        # The products below stay within 64 bits.
-        self.quantum = max(quantum, -(-int(self.tokens.max(initial=0)) >> 30))
-        self.quanta = -(-self.tokens // self.quantum)
+    shares: what each queue is to have of every window, in any unit; by default its own tokens. A queue that has run out leaves its
+    share to the others, in proportion to theirs.
+    """
+
+    def __init__(self, tokens: list[int], quantum: int = QUANTUM, shares: list[float] | None = None):
+        self.tokens, self.quantum = np.array(tokens, np.int64), quantum
+        self.quanta = -(-self.tokens // quantum)
+        self.shares = self.quanta.tolist() if shares is None else [max(1, round(x / max(shares) * (1 << 30))) for x in shares]
         self.total = int(self.tokens.sum())
         self.full = self.total // WINDOW * WINDOW
         # The end is cut into powers of two, so nothing is padded.
         sizes = [1 << i for i in range(WINDOW.bit_length() - 2, -1, -1) if (self.total - self.full) >> i & 1]
         self.tail = self.full + np.cumsum([0, *sizes])
 
-    def start(self, s: int, k: np.ndarray) -> np.ndarray:
-        """The place of the first token of the k-th quantum of queue s."""
-        at = k * self.quantum
-        for t, (n, q) in enumerate(zip(self.tokens.tolist(), self.quanta.tolist(), strict=True)):
-            if t != s and n:
-                due = (2 * k + 1) * q - (t > s)  # equal times: the lower queue goes first
-                before = (due // int(self.quanta[s]) + 1) // 2
-                at = at + np.minimum(before * self.quantum, n)
+    def start(self, s: int, first: int, n: int) -> np.ndarray:
+        """The places of the first tokens of n quanta of queue s from the first-th on.
+
+        A queue t of share q has as many quanta due before the k-th of s as there are j with (2j + 1) / 2q before (2k + 1) / 2p, p being the
+        share of s. The whole part for the first quantum is taken in unbounded integers, so what is left fits 64 bits at any size.
+        """
+        more, p = np.arange(n, dtype=np.int64), self.shares[s]
+        at = (first + more) * self.quantum
+        for t, (have, q) in enumerate(zip(self.tokens.tolist(), self.shares, strict=True)):
+            if t != s and have:
+                whole, rest = divmod((2 * first + 1) * q - (t > s), p)  # equal times: the lower queue goes first
+                up, left = divmod(2 * q, p)
+                before = (min(whole, 1 << 60) + up * more + (rest + left * more) // p + 1) // 2
+                at = at + np.minimum(np.minimum(before, self.quanta[t]) * self.quantum, have)
         return at
 
     def sequence(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +124,7 @@ class Order:
 
 def _place(order: Order):
     def run(batches):
-        for b in batches:
+        for b in (x.slice(i, 1) for x in batches for i in range(x.num_rows)):
             for row in b.to_pylist():
                 s, before, n = row["queue"], row["before"], row["n"]
                 docs, lengths = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["lengths"], "<i8")
@@ -122,7 +132,7 @@ def _place(order: Order):
                 k = np.arange(before // q, (before + n - 1) // q + 1)
                 lo = np.maximum(k * q, before)
                 hi = np.minimum((k + 1) * q, before + n)
-                starts = order.start(s, k) if row["starts"] is None else np.array(row["starts"], np.int64)
+                starts = order.start(s, int(k[0]), len(k)) if row["starts"] is None else np.array(row["starts"], np.int64)
                 at = starts + lo - k * q
                 owner, inside = order.cuts(at, hi - lo)
                 begins = before + np.cumsum(np.r_[0, lengths])
@@ -161,7 +171,7 @@ def _starts(sizes: DataFrame, totals: DataFrame, q: int) -> DataFrame:
     offsets = stored(sizes.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))), "offsets")
     each = offsets.join(totals, "source").withColumn("k", F.explode(F.sequence(F.expr(f"before div {q}"), F.expr(f"(before + n - 1) div {q}"))))
     full = F.least(F.lit(q).cast("long"), F.col("tokens") - F.col("k") * q)
-    each = each.select("block", "source", "k", "before", full.alias("full"), F.when(F.col("k") * q >= F.col("before"), full).otherwise(F.lit(0)).alias("size"), ((F.col("k") * q + F.col("phase") * full) / F.col("tokens")).alias("due"))
+    each = each.select("block", "source", "k", "before", full.alias("full"), F.when(F.col("k") * q >= F.col("before"), full).otherwise(F.lit(0)).alias("size"), ((F.col("k") * q + F.col("phase") * full) / F.col("share")).alias("due"))
     dealt = each.repartitionByRange(parts(sizes.sparkSession), "due", "source", "k").sortWithinPartitions("due", "source", "k", "before")
     places = stored(dealt.mapInArrow(_sums, "block long, source string, k long, part int, at long, end long"), "places")
     # A number for each range, of which there are as many as shuffle partitions.
@@ -173,12 +183,14 @@ def _starts(sizes: DataFrame, totals: DataFrame, q: int) -> DataFrame:
     return stored(offsets.select("block", "source", F.lit(0).alias("queue"), "before").join(starts, ["block", "source"]), "starts")
 
 
-def pack(docs: DataFrame, tokenizer: str, source: str = "source") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, source: str = "source", targets: dict[str, float] | None = None) -> DataFrame:
     """Pieces of documents, and where in which sequence each lies.
 
-    A document is the ids of its whole text by the tokenizers file, then the id 1. Sources are mixed in proportion to their
-    tokens in every window; sequences are filled to 2048 without padding and the end of the corpus to powers of two. Columns:
-    doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    A document is the ids of its whole text by the tokenizers file, then the id 1. Sequences are filled to 2048 without padding
+    and the end of the corpus to powers of two. Every window holds the sources in proportion to `targets` (a share above 0 by source,
+    in any unit; a source that is not named has the least of them), for as long as each lasts; those left then share the windows
+    in proportion to theirs. Without targets a source's share is that of its tokens in the corpus, so all last to the end.
+    Columns: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null text: empty, which is the id 1 alone. A null source is one source, written ''. Rows that share a doc_id are
     packed each. An empty table gives no row. Other columns are not read.
@@ -186,16 +198,23 @@ def pack(docs: DataFrame, tokenizer: str, source: str = "source") -> DataFrame:
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     blocks = stored(own.mapInArrow(_tokenise(tokenizer), BLOCK), "tokens")
     sizes = blocks.select("block", "source", "n")
+    least = min(targets.values(), default=1) if targets else None
     top = sizes.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(QUEUES + 1).collect()
     if len(top) > QUEUES:
         # Phases by the golden ratio: sources alike in size are spread evenly.
         place = F.monotonically_increasing_id()
         phase = F.pmod(place.bitwiseAND((1 << 33) - 1) * F.lit(0.6180339887498949) + F.shiftright(place, 33) * F.lit(0.4142135623730951), F.lit(1.0))
-        totals = stored(sizes.groupBy("source").agg(F.sum("n").alias("tokens")).sortWithinPartitions("tokens", "source").withColumn("phase", phase), "totals")
+        totals = sizes.groupBy("source").agg(F.sum("n").alias("tokens"))
+        share = F.col("tokens").cast("double")
+        if targets:
+            named = blocks.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], "source string, target double")
+            totals, share = totals.join(named, "source", "left"), F.coalesce("target", F.lit(float(least)))
+        totals = totals.select("source", "tokens", share.alias("share"))
+        totals = stored(totals.sortWithinPartitions("tokens", "source").withColumn("phase", phase), "totals")
         order = Order([totals.agg(F.sum("tokens")).first()[0]])
         return blocks.join(_starts(sizes, totals, order.quantum), ["block", "source"]).mapInArrow(_place(order), RESULT)
     names = {r["source"]: i for i, r in enumerate(top)}
-    order = Order([r["n"] for r in top])
+    order = Order([r["n"] for r in top], shares=[targets.get(r["source"], least) for r in top] if targets and top else None)
     queue = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[F.col("source")] if names else F.lit(0)
     w = Window.partitionBy("queue").orderBy("block", "source").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stored(sizes.withColumn("queue", queue).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n").withColumn("starts", F.lit(None).cast("array<long>")), "offsets")
