@@ -39,7 +39,7 @@ def test_detectors(spark, text, want):
 
 def test_entities(spark):
     got = texts(spark, "Bed Rock BedRock BED  ROCK Bedrocking EQ12, Level 10, x", [("Bed Rock", "Client"), ("EQ12, Level 10,", "Address")], use_regex=False)
-    assert got == [("Client", "Bed Rock"), ("Client", "BedRock"), ("Client", "BED  ROCK"), ("Address", "EQ12, Level 10,")]
+    assert got == [("Address", "EQ12, Level 10,"), ("Client", "Bed Rock"), ("Client", "BedRock"), ("Client", "BED  ROCK")]  # the longest entity first
 
 
 def test_replacement(spark):

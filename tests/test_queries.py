@@ -1,10 +1,10 @@
 import oracle_check
 import pytest
 
-from umbra.plans.oracle import ORACLE
-from umbra.plans.queries import QUERIES
+from umbra.plans import flow, flow_oracle, oracle, queries
 
 SF = "/root/testdata/sf0.001"
+QUERIES, ORACLE = queries.QUERIES | flow.QUERIES, oracle.ORACLE | flow_oracle.ORACLE
 
 
 @pytest.fixture(scope="module")

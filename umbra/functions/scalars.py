@@ -104,12 +104,12 @@ def literal_category(category: Column) -> Column:
 
 
 def letters(n: Column) -> Column:
-    """1 to A, 26 to Z, 27 to AA and so on, up to seven letters."""
+    """1 to A, 26 to Z, 27 to AA and so on, for any long above 0."""
     out = F.lit("")
-    for width in range(7):
+    for width in range(14):
         # the letters of longer numbers: n less the count of shorter ones, in base 26
         less = sum(26**i for i in range(1, width + 1))
-        digit = F.floor((n - 1 - less) / 26**width) % 26
+        digit = F.call_function("div", n.cast("long") - F.lit(1 + less), F.lit(26**width)) % 26
         out = F.concat(F.when(n > less, F.char((65 + digit).cast("int"))).otherwise(F.lit("")), out)
     return out
 

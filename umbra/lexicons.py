@@ -92,6 +92,8 @@ EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 PHONE = rf"(?U)(?<![\w{DASHES}])(?:\+\d{{1,3}}[ .{DASHES}]?)?(?:\(\d{{2,4}}\)[ .{DASHES}]?)?\d{{3,4}}[ .{DASHES}]\d{{3,4}}(?!\d)"
 UEN = r"(?U)\b(?:\d{9}[A-Za-z]|[A-Za-z]\d{2}[A-Za-z]{2}\d{4}[A-Za-z]|\d{7,8}[A-Za-z])\b"
 ABN = r"(?U)\b\d{2}\s\d{3}\s\d{3}\s\d{3}\b"
+_streets = "|".join(sorted({*STREET_WORDS, "gardens?"}, key=lambda w: (-len(w), w)))
+ADDRESS = rf"(?iu)(?U:\b)\d{{1,4}}[A-Za-z]?\s+[A-Z][A-Za-z'.]*(?:\s+[A-Z][A-Za-z'.]*)*\s+(?:{_streets})(?U:\b)(?:\s*,?\s*#\d{{1,3}}-\d{{1,5}})?(?:,?\s*Singapore(?:\s+\d{{6}})?)?"
 # How each category is replaced.
 GENERATORS = {"Individual": "name", "Name": "name", "UEN": "hash", "ABN": "hash", "Phone": "hash", "Address": "address", "Location": "address", "Email": "email"}
 # The order in which categories are shown.

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,90 +9,217 @@ from .. import lexicons as L
 from ..functions import scalars as S
 
 SPAN = "struct<tier:int,start:int,end:int,text:string,category:string,source:string,group_key:string>"
-#: Rows of a list of known entities, which becomes a constant of the plan.
-MOST_ENTITIES = 10_000
-_streets = "|".join(sorted({*L.STREET_WORDS, "gardens?"}, key=lambda w: (-len(w), w)))
-ADDRESS = rf"(?iu)(?U:\b)\d{{1,4}}[A-Za-z]?\s+[A-Z][A-Za-z'.]*(?:\s+[A-Z][A-Za-z'.]*)*\s+(?:{_streets})(?U:\b)(?:\s*,?\s*#\d{{1,3}}-\d{{1,5}})?(?:,?\s*Singapore(?:\s+\d{{6}})?)?"
+NONE = f"cast(array() as array<{SPAN}>)"
+#: Rows of a list of known entities up to which it becomes a constant of the plan; a longer one is joined.
+LITERAL = 1_000
+#: Squashed characters of an entity on which a long list is joined.
+HEAD = 4
+#: Numbers that a running sum adds up at a time.
+CHUNK = 64
+DETECTORS = {"Email": L.EMAIL, "Phone": L.PHONE, "UEN": L.UEN, "ABN": L.ABN, "Address": L.ADDRESS}
+#: A list of known entities: (value, category) pairs, or rows of value, category and row_no as entity_rows() gives them.
+Entities = list | DataFrame
+
+
+def before(sizes: Column) -> Column:
+    """The sums of what lies before each of an array of numbers. Added up in chunks, so that long arrays are not copied for each number."""
+    add = lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / CHUNK).cast("int")), lambda i: F.slice(sizes, i * CHUNK + 1, F.lit(CHUNK)))
+
+    def summed(c: Column) -> Column:
+        totals = F.transform(c, lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y))
+        return S.let(F.aggregate(totals, F.array(F.lit(0)), add), lambda base: F.flatten(F.transform(c, lambda x, i: F.slice(F.aggregate(x, F.array(F.get(base, i)), add), F.lit(1), F.size(x)))))
+
+    return F.when(F.size(sizes) > 0, S.let(chunks, summed)).otherwise(F.expr("cast(array() as array<int>)"))
 
 
 def spans(text: Column, pattern: Column, tier: Column, category: Column, source: str, group: Column | None = None) -> Column:
     """Every match of pattern as SPAN; offsets are the lengths of the matches and of what lies between them, added up."""
 
-    def walk(matches: Column) -> Column:
-        def gaps(g: Column) -> Column:
-            zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
+    def made(x: Column) -> Column:
+        m, gaps, starts = x["m"], x["g"], x["at"]
 
-            def step(a: Column, i: Column) -> Column:
-                start, m = a["at"] + F.length(F.get(g, i)), F.get(matches, i)
-                one = F.struct(tier.cast("int").alias("tier"), start.alias("start"), (start + F.length(m)).alias("end"), m.alias("text"), category.alias("category"), F.lit(source).alias("source"), (m if group is None else group).alias("group_key"))
-                return F.struct((start + F.length(m)).alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+        def one(t: Column, i: Column) -> Column:
+            start = F.get(starts, i) + F.length(F.get(gaps, i))
+            return F.struct(tier.cast("int").alias("tier"), start.alias("start"), (start + F.length(t)).alias("end"), t.alias("text"), category.alias("category"), F.lit(source).alias("source"), (t if group is None else group).alias("group_key"))
 
-            return F.aggregate(F.slice(F.sequence(F.lit(0), F.size(matches)), F.lit(1), F.size(matches)), zero, step, lambda a: a["out"])
+        return F.transform(m, one)
+
+    def walk(matches: Column) -> Column:
+        def sized(gaps: Column) -> Column:
+            at = before(F.transform(matches, lambda t, i: F.length(t) + F.length(F.get(gaps, i))))
+            return S.let(F.struct(matches.alias("m"), gaps.alias("g"), at.alias("at")), made)
 
-        return F.when(F.size(matches) > 0, S.let(F.split(text, pattern, -1), gaps)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+        return F.when(F.size(matches) > 0, S.let(F.split(text, pattern, -1), sized)).otherwise(F.expr(NONE))
 
     return S.let(F.regexp_extract_all(text, pattern, F.lit(0)), walk)
 
 
-def detected(text: Column, entities: list[tuple[str, str]] = (), use_regex: bool = True) -> Column:
-    """Candidates of all detectors in the order of their claims: list (longest first), email, phone, UEN, ABN, address."""
-    found = []
-    if entities:
-        if len(entities) > MOST_ENTITIES:
-            raise ValueError(f"more than {MOST_ENTITIES} known entities; call scan() for parts of the list")
-        one = lambda v, c: F.struct(F.lit(v).alias("v"), F.lit(c).alias("c"))
-        rows = F.array(*(one(v, c) for v, c in entities))
-        near = F.filter(rows, lambda e: F.contains(F.lower(F.regexp_replace(text, S.SPACE, "")), F.lower(F.regexp_replace(e["v"], S.SPACE, ""))))
-        group = lambda e: F.concat(F.lit("list:"), F.lower(S.squeeze(e["v"])))
-        found.append(F.flatten(F.transform(near, lambda e: spans(text, S.flexible(e["v"]), F.lit(0), e["c"], "list", group(e)))))
-    if use_regex:
-        for tier, (category, pattern) in enumerate((("Email", L.EMAIL), ("Phone", L.PHONE), ("UEN", L.UEN), ("ABN", L.ABN), ("Address", ADDRESS)), 1):
-            # A text without the character that every match has is not searched.
-            worth = F.contains(text, F.lit("@")) if category == "Email" else text.rlike(r"\p{Nd}")
-            some = F.when(worth, spans(text, F.lit(pattern), F.lit(tier), F.lit(category), "regex")).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
-            if category == "Phone":
-                some = F.filter(some, lambda s: (S.digits(s["text"]) >= 7) & ~S.is_year_range(s["text"]))
-            found.append(some)
-    return F.concat(*found) if found else F.expr(f"cast(array() as array<{SPAN}>)")
+def squashed(text: Column) -> Column:
+    return F.lower(F.regexp_replace(text, S.SPACE, ""))
+
+
+def _literals(entities: list[tuple[str, str]]) -> Column:
+    one = lambda v, c: F.struct(F.lit(v).alias("value"), F.lit(c).alias("category"), squashed(F.lit(v)).alias("squashed"))
+    return F.array(*(one(v, c) for v, c in entities))
+
+
+def listed(text: Column, entities: list[tuple[str, str]]) -> Column:
+    """Those of a short list, in its order, whose characters but white space are in the text. The text is squashed once for all of them."""
+    if not entities:
+        return F.expr("cast(array() as array<struct<value:string,category:string>>)")
+    pick = lambda t: F.filter(_literals(entities), lambda e: F.contains(t, e["squashed"]))
+    return F.transform(S.let(squashed(text), pick), lambda e: F.struct(e["value"].alias("value"), e["category"].alias("category")))
+
+
+def joined_list(docs: DataFrame, entities: DataFrame, key: str, text: str) -> DataFrame:
+    """key and near: what listed() gives, for a list of any length, as an equi-join instead of a scan of the list for every text.
+
+    An entity begins where no ASCII word character stands before it, so the first HEAD squashed characters from each such place on (and
+    shorter beginnings, where the list has entities as short) are the keys that meet the list.
+    """
+    own = entities.select("value", "category", "row_no", squashed(F.col("value")).alias("squashed")).withColumn("head", F.substring("squashed", 1, HEAD))
+    short = [r[0] for r in own.where(F.length("squashed") < HEAD).select(F.length("squashed")).distinct().collect()]
+    starts = F.regexp_extract_all(F.col(text), F.lit(rf"(?<![A-Za-z0-9_])(?=((?:\S(?U:[\s\x1c-\x1f]*)){{1,{HEAD}}}))"), F.lit(1))
+    heads = F.transform(starts, lambda x: F.substring(squashed(x), 1, HEAD))
+    cut = lambda n: F.transform(heads, lambda x: F.substring(x, 1, n))
+    heads = F.array_distinct(F.concat(heads, *map(cut, short)))
+    places = docs.select(key, squashed(F.col(text)).alias("_squashed"), F.explode(heads).alias("head"))
+    pairs = places.join(own, "head").where(F.contains("_squashed", F.col("squashed")))
+    row = F.struct((-F.length("value")).alias("rank"), "row_no", "value", "category")
+    near = pairs.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("near"))
+    return near.select(key, F.transform("near", lambda e: F.struct(e["value"].alias("value"), e["category"].alias("category"))).alias("near"))
+
+
+def detected(text: Column, near: Column | None = None, detectors: tuple[str, ...] = tuple(DETECTORS), found: Column | None = None) -> Column:
+    """Candidates in the order of their claims: known entities (longest first), email, phone, UEN, ABN, then what a tagger found or else addresses.
+
+    near: array of value and category. detectors: those that run, by category. found: array of text, category, start, end, from ner.candidates().
+    """
+    out = []
+    if near is not None:
+        group = lambda e: F.concat(F.lit("list:"), F.lower(S.squeeze(e["value"])))
+        out.append(F.flatten(F.transform(near, lambda e: spans(text, S.flexible(e["value"]), F.lit(0), e["category"], "list", group(e)))))
+    for tier, (category, pattern) in enumerate(DETECTORS.items(), 1):
+        if category not in detectors or (category == "Address" and found is not None):
+            continue
+        # A text without the character that every match has is not searched.
+        worth = F.contains(text, F.lit("@")) if category == "Email" else text.rlike(r"\p{Nd}")
+        some = F.when(worth, spans(text, F.lit(pattern), F.lit(tier), F.lit(category), "regex")).otherwise(F.expr(NONE))
+        if category == "Phone":
+            some = F.filter(some, lambda s: (S.digits(s["text"]) >= 7) & ~S.is_year_range(s["text"]))
+        out.append(some)
+    if found is not None:
+        own = lambda s: F.struct(F.lit(len(DETECTORS)).alias("tier"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), s["category"].alias("category"), F.lit("ner").alias("source"), s["text"].alias("group_key"))
+        out.append(F.transform(found, own))
+    return F.concat(*out) if out else F.expr(NONE)
+
+
+def overlapping(candidates: Column) -> Column:
+    """Whether any two of the spans overlap: if so, two neighbours by start do."""
+
+    def neighbours(x: Column) -> Column:
+        return F.exists(F.transform(x, lambda s, i: (i > 0) & (F.get(x, F.greatest(i - 1, F.lit(0)))["end"] > s["start"])), lambda b: b)
+
+    return S.let(F.sort_array(F.transform(candidates, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))), neighbours)
 
 
 def arbitrate(candidates: Column) -> Column:
     """Keep each candidate, in order, that overlaps none kept before it."""
     free = lambda kept, s: ~F.exists(kept, lambda k: (k["start"] < s["end"]) & (k["end"] > s["start"]))
-    return S.let(candidates, lambda c: F.aggregate(c, F.slice(c, 1, 0), lambda kept, s: F.when(free(kept, s), F.concat(kept, F.array(s))).otherwise(kept)))
+    fold = lambda c: F.aggregate(c, F.slice(c, 1, 0), lambda kept, s: F.when(free(kept, s), F.concat(kept, F.array(s))).otherwise(kept))
+    return S.let(candidates, lambda c: F.when(overlapping(c), fold(c)).otherwise(c))
+
 
+def longest_spans(candidates: Column) -> Column:
+    """Of overlapping spans the longest, of equals the first; in the order of the text."""
+    rank = lambda s: F.struct((s["start"] - s["end"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s.alias("s"))
+    kept = arbitrate(F.sort_array(F.transform(candidates, rank)))
+    by_place = F.sort_array(F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["s"].alias("s"))))
+    return F.transform(by_place, lambda s: s["s"])
 
-def known_entities(rows: DataFrame) -> list[tuple[str, str]]:
-    """(value, category) rows stripped, blanks dropped, the longest first; of equals the one listed first. A list is small by nature."""
+
+def entity_rows(rows: DataFrame) -> DataFrame:
+    """value, category and row_no of a list: stripped, blank values dropped, Entity where there is no category."""
     if "row_no" not in rows.columns:
         rows = rows.withColumn("row_no", F.monotonically_increasing_id())
-    own = rows.select(S.strip(F.col("value")).alias("value"), F.coalesce(F.nullif(S.strip(F.col("category")), F.lit("")), F.lit("Entity")).alias("category"), "row_no")
-    got = own.where("value <> ''").orderBy(F.length("value").desc(), "row_no").limit(MOST_ENTITIES + 1).collect()
-    return [(r["value"], r["category"]) for r in got]
+    category = F.coalesce(F.nullif(S.strip(F.col("category")), F.lit("")), F.lit("Entity")).alias("category")
+    return rows.select(S.strip(F.col("value")).alias("value"), category, "row_no").where("value <> ''")
+
+
+def known_entities(rows: DataFrame) -> Entities:
+    """entity_rows() as pairs, the longest first, of equals the one listed first; if there are more than LITERAL, the rows themselves."""
+    own = entity_rows(rows)
+    got = own.orderBy(F.length("value").desc(), "row_no").limit(LITERAL + 1).collect()
+    return [(r["value"], r["category"]) for r in got] if len(got) <= LITERAL else own
+
+
+def _prepared(docs: DataFrame, entities: Entities, key: str, text: str) -> tuple[DataFrame, Column | None]:
+    """docs with a text, and a column of the known entities that may be in it; None if there is no list."""
+    docs = docs.where(F.col(text).isNotNull())
+    if not isinstance(entities, DataFrame) and len(entities) > LITERAL:
+        rows = [(v, c, i) for i, (v, c) in enumerate(entities)]
+        entities = docs.sparkSession.createDataFrame(rows, "value string, category string, row_no long")
+    if isinstance(entities, DataFrame):
+        near = joined_list(docs, entities, key, text).withColumnRenamed("near", "_near")
+        return docs.join(near, key, "left"), F.coalesce("_near", listed(F.lit(""), []))
+    longest = sorted(entities, key=lambda e: -len(e[0]))
+    return docs, listed(F.col(text), longest) if longest else None
+
+
+def claims(docs: DataFrame, entities: Entities = (), use_regex: bool = True, key: str = "doc_id", text: str = "text", detectors: tuple[str, ...] = tuple(DETECTORS), found: str | None = None) -> DataFrame:
+    """key, seq and the span of every claim, in the order of the claims. Null text has none. found: a column of ner.candidates()."""
+    own, near = _prepared(docs, entities, key, text)
+    kept = arbitrate(detected(F.col(text), near, detectors if use_regex else (), F.col(found) if found else None))
+    return own.select(key, F.posexplode(kept).alias("seq", "s")).select(key, "seq", "s.*")
 
 
-def claims(docs: DataFrame, entities: list[tuple[str, str]] = (), use_regex: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, seq and the span of every claim, in the order of the claims. Null text has none."""
-    kept = arbitrate(detected(F.col(text), entities, use_regex))
-    return docs.where(F.col(text).isNotNull()).select(key, F.posexplode(kept).alias("seq", "s")).select(key, "seq", "s.*")
+def first_texts(kept: Column) -> Column:
+    """Of the spans with one text the first."""
 
+    def firsts(x: Column) -> Column:
+        return F.filter(x, lambda s, i: (i == 0) | (F.get(x, F.greatest(i - 1, F.lit(0)))["text"] != s["text"]))
 
-def items(docs: DataFrame, entities: list[tuple[str, str]] = (), use_regex: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
+    by_text = F.sort_array(F.transform(kept, lambda s, i: F.struct(s["text"].alias("text"), i.alias("i"), s.alias("s"))))
+    return F.transform(F.sort_array(F.transform(S.let(by_text, firsts), lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s")))), lambda x: x["s"])
+
+
+def items(docs: DataFrame, entities: Entities = (), use_regex: bool = True, key: str = "doc_id", text: str = "text", detectors: tuple[str, ...] = tuple(DETECTORS), found: str | None = None) -> DataFrame:
     """The claims whose text a document has first, with their context."""
-    first = lambda k: F.filter(k, lambda s, i: F.array_position(F.transform(k, lambda x: x["text"]), s["text"]) == i + 1)
-    kept = S.let(arbitrate(detected(F.col(text), entities, use_regex)), first)
-    rows = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_whole"), F.posexplode(kept).alias("seq", "s"))
+    own, near = _prepared(docs, entities, key, text)
+    kept = first_texts(arbitrate(detected(F.col(text), near, detectors if use_regex else (), F.col(found) if found else None)))
+    rows = own.select(key, F.col(text).alias("_whole"), F.posexplode(kept).alias("seq", "s"))
     return rows.withColumn("context", S.snippet(F.col("_whole"), F.col("s.text"))).select(key, "seq", "s.*", "context")
 
 
+def numbered(rows: DataFrame, groups: list[str], key: str, order: list[str], name: str) -> DataFrame:
+    """rows with the place of each, from 1, in its group by key and order. No task sees more than one bucket of keys of a group.
+
+    A bucket is a run of 4,096 numbers or the strings with their first characters alike, so buckets lie in the order of their keys.
+    """
+    kind = rows.schema[key].dataType.typeName()
+    bucket = F.substring(key, 1, 4) if kind == "string" else F.floor(F.col(key) / 4096)
+    own = rows.withColumn("_b", bucket)
+    sizes = own.groupBy(*groups, "_b").agg(F.count("*").alias("_c"))
+    ahead = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(*groups, "_b", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_a"))
+    inside = F.row_number().over(Window.partitionBy(*groups, "_b").orderBy(key, *order))
+    return own.withColumn("_n", inside).join(bases, [*groups, "_b"]).withColumn(name, F.col("_a") + F.col("_n")).drop("_a", "_b", "_n")
+
+
+def with_item_ids(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """found with an id from 0 in the order of (key, seq)."""
+    return numbered(found, [], key, ["seq"], "id").withColumn("id", F.col("id") - 1)
+
+
 def with_placeholders(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """found with a placeholder for each group_key, numbered per category in the order of first appearance by (key, seq)."""
     order = F.struct(key, "seq")
     first = found.groupBy("group_key").agg(F.min(F.struct(order.alias("at"), "category", "text", "source")).alias("f")).select("group_key", "f.*")
     counted = ~(((F.col("source") == "list") & S.is_numbered(F.col("category"))) | F.col("category").isin(list(L.GENERATORS)))
-    n = F.row_number().over(Window.partitionBy("category").orderBy("at"))
-    numbered = first.where(counted).withColumn("n", n).unionByName(first.where(~counted).withColumn("n", F.lit(0)))
-    named = numbered.select("group_key", S.placeholder(F.col("category"), F.col("text"), F.col("source"), F.col("n")).alias("placeholder"))
+    own = first.withColumn("_k", F.col(f"at.{key}"))
+    rows = numbered(own.where(counted), ["category"], "_k", ["at"], "n").unionByName(own.where(~counted).withColumn("n", F.lit(0).cast("long")))
+    named = rows.select("group_key", S.placeholder(F.col("category"), F.col("text"), F.col("source"), F.col("n")).alias("placeholder"))
     return found.join(named, "group_key").withColumn("category", F.when(F.col("category").startswith("="), "Custom").otherwise(F.col("category")))
 
 
@@ -111,17 +236,64 @@ def replace_word(text: Column, original: Column, placeholder: Column) -> Column:
     return F.when(F.contains(text, original), F.regexp_replace(text, pattern, S.literal(placeholder))).otherwise(text)
 
 
+def folded(text: Column, pairs: Column) -> Column:
+    """text, changed, grey: the replacements of a mapping one after the other, each on what the last has left; whether any was made, and any grey one."""
+    zero = F.struct(text.alias("text"), F.lit(False).alias("changed"), F.lit(False).alias("grey"))
+
+    def step(a: Column, m: Column) -> Column:
+        made = lambda new: F.struct(new.alias("text"), (a["changed"] | (new != a["text"])).alias("changed"), (a["grey"] | (m["grey"] & (new != a["text"]))).alias("grey"))
+        return F.when(F.contains(a["text"], m["o"]), S.let(replace_word(a["text"], m["o"], m["p"]), made)).otherwise(a)
+
+    return F.aggregate(pairs, zero, step)
+
+
 def masked(text: Column, pairs: Column) -> Column:
     """The replacements of a mapping one after the other, each on what the last has left."""
     return F.aggregate(pairs, text, lambda t, m: replace_word(t, m["o"], m["p"]))
 
 
+def masked_any_case(text: Column, pairs: Column) -> Column:
+    """text, n: originals replaced in any case and with any white space between their words, as in text laid out on pages, and how many were.
+
+    Letters or digits of any script bound a word. Places are those of the text as given: earlier pairs claim theirs, and what is put in is not
+    searched again.
+    """
+
+    def pattern(o: Column) -> Column:
+        words = F.filter(F.split(o, S.SPACE + "+"), lambda w: w != "")
+        return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])"), F.array_join(F.transform(words, S.quote), r"(?U:\s+)"), F.lit(r"(?![\p{L}\p{N}])"))
+
+    near = F.filter(pairs, lambda m: F.contains(squashed(text), squashed(m["o"])) & (S.strip(m["o"]) != ""))
+    hits = F.flatten(F.transform(near, lambda m: spans(text, pattern(m["o"]), F.lit(0), m["p"], "pairs")))
+    in_order = F.sort_array(F.transform(arbitrate(hits), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["category"].alias("p"))))
+
+    def rebuilt(s: Column) -> Column:
+        end = lambda i: F.when(i == 0, 0).otherwise(F.get(s, F.greatest(i - 1, F.lit(0)))["end"])
+        parts = F.transform(s, lambda x, i: F.concat(F.substring(text, end(i) + 1, x["start"] - end(i)), x["p"]))
+        rest = F.substring(text, end(F.size(s)) + 1, F.length(text))
+        return F.struct(F.concat(F.array_join(parts, ""), rest).alias("text"), F.size(s).alias("n"))
+
+    return S.let(in_order, rebuilt)
+
+
+def masked_lines(text: Column, pairs: Column) -> Column:
+    """As masked(), but a pair is found as a known entity is: in any case, with any white space or none between its words. For recognised lines."""
+    step = lambda t, m: F.when(F.contains(F.lower(t), F.lower(m["o"])), F.regexp_replace(t, S.flexible(m["o"]), S.literal(m["p"]))).otherwise(t)
+    return F.aggregate(pairs, text, step)
+
+
+def _chosen(reviewed: DataFrame) -> DataFrame:
+    return reviewed.where(F.coalesce(F.col("include"), F.lit(True))) if "include" in reviewed.columns else reviewed
+
+
 def apply(docs: DataFrame, reviewed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs whose mapping is not empty, with masked text, changed and any_grey. reviewed: key, seq, text, category, placeholder, include."""
-    chosen = reviewed.where(F.coalesce(F.col("include"), F.lit(True))) if "include" in reviewed.columns else reviewed
-    joined = docs.join(mapping(chosen, key), key).withColumn("masked", masked(F.col(text), F.col("pairs")))
-    grey = F.exists("pairs", lambda m: m["grey"] & F.contains(F.col(text), m["o"]))
-    return joined.withColumn("changed", F.col("masked") != F.col(text)).withColumn("any_grey", grey).drop("pairs")
+    """docs whose mapping is not empty, with masked text, changed and any_grey. reviewed: key, seq, text, category, placeholder, include.
+
+    docs may hold a document in several rows (cells, paragraphs), each masked by the mapping of the document. A null text stays null.
+    """
+    joined = docs.join(mapping(_chosen(reviewed), key), key)
+    done = joined.withColumn("_m", folded(F.col(text), F.col("pairs")))
+    return done.select(*docs.columns, F.col("_m.text").alias("masked"), F.col("_m.changed").alias("changed"), F.col("_m.grey").alias("any_grey"))
 
 
 def mapping_log(reviewed: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -136,12 +308,21 @@ def review(found: DataFrame, decisions: DataFrame) -> DataFrame:
     return found.join(d, "id", "left").withColumn("include", F.coalesce("_i", F.lit(True))).withColumn("placeholder", F.coalesce("_p", "placeholder")).drop("_i", "_p")
 
 
-def leaks(docs: DataFrame, entities: list[tuple[str, str]], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_leaks, values: the known entities that each text still holds, where it holds any."""
-    rows = F.array(*(F.lit(v) for v, _ in entities)) if entities else F.expr("cast(array() as array<string>)")
-    near = F.filter(rows, lambda v: F.contains(F.lower(F.regexp_replace(F.col(text), S.SPACE, "")), F.lower(F.regexp_replace(v, S.SPACE, ""))))
-    hits = F.filter(near, lambda v: F.rlike(F.col(text), S.flexible(v)))
-    return docs.withColumn("values", hits).where(F.size("values") > 0).select(key, F.size("values").alias("n_leaks"), "values")
+def verify(docs: DataFrame, entities: Entities, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_leaks, values (the known entities that a text still holds, longest first), clean: a row for each text that is not null."""
+    own, near = _prepared(docs, entities, key, text)
+    near = listed(F.lit(""), []) if near is None else near
+    hits = F.transform(F.filter(near, lambda e: F.rlike(F.col(text), S.flexible(e["value"]))), lambda e: e["value"])
+    return own.select(key, hits.alias("values")).select(key, F.size("values").alias("n_leaks"), "values", (F.size("values") == 0).alias("clean"))
+
+
+def leaks(docs: DataFrame, entities: Entities, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_leaks, values of the texts that still hold any known entity."""
+    return verify(docs, entities, key, text).where("n_leaks > 0").drop("clean")
+
+
+def any_leak(verified: DataFrame) -> bool:
+    return bool(verified.agg(F.bool_or(~F.col("clean"))).first()[0])
 
 
 def segment_offsets(segments: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
@@ -179,17 +360,14 @@ def zip_names(files: DataFrame, name: str, order: str) -> DataFrame:
     return files.withColumn("zip_name", F.when(n > 0, F.concat(stem, F.lit(" ("), n.cast("string"), F.lit(")"), ext)).otherwise(F.col(name)))
 
 
-def ocr_lines(words: DataFrame, least: int = 40) -> DataFrame:
-    """Words of confidence `least` or more, by block, par and line: their text in order and the box around them."""
+def ocr_lines(words: DataFrame, least: int = 40, dpi: int = 200) -> DataFrame:
+    """Words of confidence `least` or more, by block, par and line: their text in order and the box around them, in points (72 an inch)."""
     good = words.where((F.col("conf") >= least) & (F.trim("text") != ""))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word", "text"))), lambda x: x["text"]), " ")
-    box = [F.min("left").alias("x0"), F.min("top").alias("y0"), F.max(F.col("left") + F.col("width")).alias("x1"), F.max(F.col("top") + F.col("height")).alias("y1")]
+    point = lambda c, name: (c * F.lit(72) / F.lit(dpi)).alias(name)
+    box = [point(F.min("left"), "x0"), point(F.min("top"), "y0"), point(F.max(F.col("left") + F.col("width")), "x1"), point(F.max(F.col("top") + F.col("height")), "y1")]
     return good.groupBy("block", "par", "line").agg(text.alias("text"), *box)
 
 
 def by_category(found: DataFrame) -> DataFrame:
     return found.groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("group_key").alias("n_groups"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from .. import lexicons as L
-from .queries import ADDRESSES, MEMO, NAMES, RANGES, TERMS, WORDS
+from .queries import ADDRESSES, MEMO, NAME_PAIRS, NAMES, RANGES, TERMS, WORDS
 
 _q = lambda s: "'" + s.replace("'", "''") + "'"
-_lit = lambda rows: "(values " + ", ".join(f"({i}, {_q(x)})" for i, x in enumerate(rows)) + ") t(i, x)"
+_filled = lambda rows, n: f"(select c_custkey as i, replace((['" + "', '".join(r.replace("'", "''") for r in rows) + f"'])[c_custkey % {len(rows)} + 1], '{{n}}', {n}) as x from customer)"
 _in = lambda rows: "(" + ", ".join(map(_q, rows)) + ")"
 _M = f"(select c_custkey as doc_id, {MEMO.format(s='varchar')} as text from customer)"
+_corpus = f"(select doc_id, text from documents union all select -1 - doc_id, text from {_M})"
 _ws = r"[\s\x1c-\x1f]"
 
 
@@ -82,37 +83,48 @@ _word = lambda t, o, p: f"regexp_replace(regexp_replace({t}, '(^|[^A-Za-z0-9_]){
 _masked = _word(_word(_word(_word("text", "that", "<$1\\\\>"), "the", "Client A"), "que", "Name 1"), "of", "Azure")
 _email = _hits("documents", _EMAIL)
 _stem = "regexp_replace(name, '\\.[^.]+$', '')"
-_names = ", ".join(f"({i}, {_q(a)}, {_q(b)}, {_q(c)})" for i, (a, b, c) in enumerate(NAMES))
+
+
+def _renamed() -> str:
+    out = "regexp_replace(x, '\\.[^.]+$', '')"
+    for o, p in sorted(NAME_PAIRS, key=lambda x: -len(x[0])):
+        for _ in range(2):  # neighbours share what bounds them
+            out = f"regexp_replace({out}, '(?i)(^|[^A-Za-z0-9])' || '{o.replace(' ', '[ _-]*')}' || '($|[^A-Za-z0-9])', '\\1{p.replace(' ', '_')}\\2', 'g')"
+    return out
+
+
 _leak = " + ".join(f"({_count(v)} > 0)::int" for v, _ in WORDS)
-_spoilt = "case when doc_id % 3 = 0 then chr(1) || chr(2) || chr(3) || substr(text, 1, 20) else text end"
+_spoilt = "translate(text, 'e', chr(1))"
 
 ORACLE = {
     "scan_email": _email,
     "scan_phone": _PHONES.replace("{year}", _year("k.m")),
-    "scan_uen": _hits(_M, _UEN),
-    "scan_abn": _hits(_M, _ABN),
-    "scan_sg_address": _hits(_M, _ADDRESS),
+    "scan_uen": _hits(_corpus, _UEN),
+    "scan_abn": _hits(_corpus, _ABN),
+    "scan_sg_address": _hits(_corpus, _ADDRESS),
     "scan_known_entities": " union all ".join(f"select doc_id, {_q(c)} as category, {_count(v)}::bigint as n from documents where {_count(v)} > 0" for v, c in WORDS),
     "claims_resolved": _claims(),
     "distinct_items": " union all ".join(f"select doc_id, '{c}' as category, {x} as text from {_M}" for c, x in (("Email", f"regexp_extract(text, {_q(_EMAIL)})"), ("Phone", r"regexp_extract(text, '\+65 8[0-9]{3}-[0-9]{4}')"), ("UEN", f"regexp_extract(text, {_q(_UEN)})"), ("ABN", f"regexp_extract(text, {_q(_ABN)})"), ("Address", f"regexp_extract(text, {_q(_ADDRESS)})"))),
     "placeholders_scrambled": f"""select c_custkey, {_first('r')} || ' ' || {_last('r')} as name, lower(replace({_first('e')}, ' ', '')) || '.' || lower({_last('e')}) || cast(x as varchar) || '@example.com' as email
       from (select c_custkey, {_mod('c_name', _n * len(L.LAST_NAMES))} as r, {_mod("'user' || c_custkey || '@acme.example.com'", _n * len(L.LAST_NAMES))} as e, {_mod("'user' || c_custkey || '@acme.example.com'", 10000)} as x from customer)""",
     "placeholders_lettered": f"select doc_id, category, category || ' ' || {_letters} as placeholder from (select s_suppkey as doc_id, n_name as category, row_number() over (partition by n_name order by s_suppkey) as n from supplier join nation on s_nationkey = n_nationkey)",
-    "redact_hash": rf"select doc_id, regexp_replace(text, '[\p{{L}}\p{{N}}]', '#', 'g') as redacted from {_M}",
+    "redact_hash": rf"select doc_id, md5(regexp_replace(text, '[\p{{L}}\p{{N}}]', '#', 'g')) as redacted_md5 from {_corpus}",
     "address_collapse": f"""select i, coalesce({_country('x')}, {_region('x')}, case when n > 1 then coalesce({_country('tail')}, {_region('tail')}, ({_map(L.STATE_COUNTRIES)})[lower(regexp_extract(tail, '[^ ]+$'))]) end,
-      case when regexp_matches(x, '(?i)\\bsingapore\\b') then 'Singapore' end, 'Address') as address from (select i, x, len(string_split(x, ',')) as n, trim(regexp_replace(trim(string_split(x, ',')[-1]), '[0-9]{{4,6}}\\s*$', '')) as tail from {_lit(ADDRESSES)})""",
-    "year_range": f"select i, {_year('x')} as is_range, cast(length(regexp_replace(x, '[^0-9]', '', 'g')) as int) as n_digits from {_lit(RANGES)}",
+      case when regexp_matches(x, '(?i)\\bsingapore\\b') then 'Singapore' end, 'Address') as address from (select i, x, len(string_split(x, ',')) as n, trim(regexp_replace(trim(string_split(x, ',')[-1]), '[0-9]{{4,6}}\\s*$', '')) as tail from {_filled(ADDRESSES, "lpad(c_custkey::varchar, 5, '0')")})""",
+    "year_range": f"select i, {_year('x')} as is_range, cast(length(regexp_replace(x, '[^0-9]', '', 'g')) as int) as n_digits from {_filled(RANGES, '(1990 + c_custkey % 50)::varchar')}",
     "plausibility_flags": f"""select i, trim(lower(string_split(x, ' ')[-1]), '.,()[]') in {_in(L.BUILDING_WORDS)} as building, trim(lower(x), '.,;:()[]"''') in {_in(L.DEFINED_TERMS)} as defined,
-      trim(lower(x), '.,;:()[]') in {_in(L.CORPORATE_SUFFIXES)} as suffix, contains(x, chr(10)) or length(x) > 60 or len(regexp_extract_all(x, '[0-9]+')) >= 3 as implausible from {_lit(TERMS)}""",
+      trim(lower(x), '.,;:()[]') in {_in(L.CORPORATE_SUFFIXES)} as suffix, contains(x, chr(10)) or length(x) > 60 or len(regexp_extract_all(x, '[0-9]+')) >= 3 as implausible from {_filled(TERMS, 'c_custkey::varchar')}""",
     "context_snippet": f"""select doc_id, e as text, (case when pos > 46 then '…' else '' end) || substr(t, greatest(pos - 45, 1), pos - greatest(pos - 45, 1)) || '[[' || e || ']]' || substr(t, pos + length(e), 45)
       || (case when pos + length(e) + 44 < length(t) then '…' else '' end) as context from (select distinct d.doc_id, d.text as t, h.text as e, strpos(d.text, h.text) as pos from documents d join ({_email}) h using (doc_id))""",
     "segment_offsets": f'select doc_id, cast(seg_no as int) as seg_no, start, start + length(text) as "end" from ({_ranged})',
     "sheet_lookup": f"select h.doc_id, h.start, 'line ' || r.seg_no as sheet from ({_email}) h left join ({_ranged}) r on h.doc_id = r.doc_id and h.start >= r.start and h.start < r.start + length(r.text)",
     "mask_text": f"select doc_id, md5({_masked}) as masked_md5 from documents",
-    "apply_review": f"select doc_id, true as changed, false as \"left\" from {_M}",
+    "apply_review": f"""select c_custkey as doc_id, 'Invoice for ' || if(c_nationkey = 7, 'Client A', 'Entity A ' || c_nationkey || ' Pte Ltd') || ' re ' || c_name || ', UEN ##########, ABN ## ### ### ###, tel +## ####-####, mail '
+      || if(c_custkey % 2 = 0, 'user' || c_custkey || '@Azure.example.com', {_first('e')} || '.' || {_last('e')} || x || '@example.com') || ', at Singapore. FY 2025-2026.' as masked, true as changed, false as any_grey
+      from (select *, {_mod("m", _n * len(L.LAST_NAMES))} as e, {_mod("m", 10000)} as x from (select *, 'user' || c_custkey || '@acme' || c_nationkey || '.example.com' as m from customer))""".replace(_first("e") + " || '.'", f"lower(replace({_first('e')}, ' ', '')) || '.'").replace(_last("e") + " || x", f"lower({_last('e')}) || x"),
     "mapping_log": "select o_orderpriority as original, arg_max(o_orderstatus, (o_custkey, o_orderkey)) as placeholder, arg_min(o_custkey, (o_custkey, o_orderkey)) as first_doc, arg_min(o_orderkey, (o_custkey, o_orderkey)) as first_seq from orders group by 1",
-    "review_merge": "select c_custkey as id, case when c_custkey % 15 = 0 then 'X' else c_name end as placeholder, c_custkey % 3 <> 0 or c_custkey % 2 = 0 as include from customer",
-    "sanitize_names": rf"select i, regexp_replace({_stem}, '(?i)(^|[^A-Za-z0-9])' || replace(o, ' ', '[\s_-]*') || '($|[^A-Za-z0-9])', '\1' || replace(p, ' ', '_') || '\2', 'g') || lower(regexp_extract(name, '\.[^.]+$')) as name from (values {_names}) t(i, name, o, p)",
+    "review_merge": "select c_custkey as id, case when c_acctbal < 3000 and c_nationkey = 5 then 'X' else c_name end as placeholder, c_acctbal >= 3000 or c_mktsegment <> 'MACHINERY' as include from customer",
+    "sanitize_names": f"select i, {_renamed()} || lower(regexp_extract(x, '\\.[^.]+$')) as name from {_filled(NAMES, 'c_custkey::varchar')}",
     "verify_leaks": f"select doc_id, cast({_leak} as int) as n_leaks from documents where {_leak} > 0",
     "verify_clean": f"select doc_id from documents where {_leak} = 0",
     "category_summary": f"""select category, count(*) as n, count(distinct g) as n_groups from (select 'Email' as category, text as g from ({_email}) union all select 'Phone', text from ({{phones}}) union all
@@ -121,7 +133,7 @@ ORACLE = {
     "usable_text": f"select doc_id, length(s) > 0 and length(regexp_replace(x, '[^\\x00-\\x08\\x0E-\\x1B]', '', 'g')) / greatest(length(s), 1) < 0.1 as usable from (select doc_id, {_spoilt} as x, regexp_replace({_spoilt}, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}]', '', 'g') as s from documents)",
     "usable_documents": "select doc_id, length(s) > 0 and length(regexp_replace(text, '[^\\x00-\\x08\\x0E-\\x1B]', '', 'g')) / greatest(length(s), 1) < 0.1 as usable from (select doc_id, text, regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}]', '', 'g') as s from documents)",
     "ocr_lines": """select l_orderkey as block, l_suppkey % 2 as par, cast(l_quantity as int) % 2 as line, string_agg(l_returnflag || cast(l_partkey as varchar), ' ' order by l_linenumber, l_returnflag || cast(l_partkey as varchar)) as text,
-      cast(min(l_partkey) as int) as x0, cast(min(l_suppkey) as int) as y0, cast(max(l_partkey + cast(l_quantity as int)) as int) as x1, cast(max(l_suppkey + l_linenumber) as int) as y1 from lineitem where cast(l_quantity as int) * 2 >= 40 group by 1, 2, 3""",
+      min(l_partkey) * 72 / 200 as x0, min(l_suppkey) * 72 / 200 as y0, max(l_partkey + cast(l_quantity as int)) * 72 / 200 as x1, max(l_suppkey + l_linenumber) * 72 / 200 as y1 from lineitem where cast(l_quantity as int) * 2 >= 40 group by 1, 2, 3""",
     "zip_names": "select o_orderkey, o_custkey || case when n > 1 then ' (' || (n - 1) || ')' else '' end || '.txt' as zip_name from (select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_orderkey) as n from orders)",
 }
 ORACLE["category_summary"] = ORACLE["category_summary"].replace("{phones}", ORACLE["scan_phone"])

@@ -19,12 +19,14 @@ MEMO = """concat('Invoice for Acme Holdings ', cast(c_nationkey as {s}), ' Pte L
  case when c_custkey % 2 = 0 then '' else cast(c_nationkey as {s}) end, '.example.com, at ',
  cast(1 + c_custkey % 99 as {s}), ' Raffles Place, Singapore ', lpad(cast(c_custkey as {s}),6,'0'), '. FY 2025-2026.')"""
 ADDRESSES = [
-    "32 Raffles Place, Singapore 048624", "12 The Esplanade, Perth WA 6000", "12 The Esplanade, Perth WA 6000, Australia", "54 Rose Street", "Taiwan", "the United Kingdom", "UK", "U.S.A.",
-    "Middle  East/Africa", "Australia/New Zealand", "Singapore 048424", "Manulife Tower", "the Netherlands", "1 Rue X, France/Nowhere", "9 Road, Asia",
+    "{n} Raffles Place, Singapore 0{n}", "{n} The Esplanade, Perth WA 6000", "{n} The Esplanade, Perth WA {n}, Australia", "{n} Rose Street", "Taiwan", "the United Kingdom", "UK", "U.S.A.",
+    "Middle  East/Africa", "Australia/New Zealand", "Singapore {n}", "Manulife Tower {n}", "the Netherlands", "{n} Rue X, France/Nowhere", "{n} Road, Asia",
 ]
-TERMS = ["Vessel", "Cyan Vessel Holdings", "LTD", "Co.", "Acme Ltd", "Manulife Tower", "a 1 b 2 c 3", "two\nlines", "x" * 61, "(Background)", "Q1", "Tower of London"]
-RANGES = ["2025-2026", "2025-2027", "2504-0018", "1999.2000", "2026 2025", "2020-2020", "abc"]
-NAMES = [("ORA_Financials.xlsx", "ORA", "Onyx Ridge"), ("Cyan_group_listing.docx", "Cyan", "Azure"), ("Cyanide.pdf", "Cyan", "Azure"), ("Bed-Rock plan.docx", "Bed Rock", "Azure"), ("bedrock.docx", "Bed Rock", "Azure")]
+TERMS = ["Vessel", "Cyan Vessel {n} Holdings", "LTD", "Co.", "Acme {n} Ltd", "{n} Manulife Tower", "a 1 b 2 c {n}", "two\n{n} lines", "x" * 57 + "{n}", "(Background)", "Q1", "Tower of London {n}"]
+RANGES = ["{n}-2026", "2025-{n}", "{n}-0018", "1999.2000", "2026 {n}", "2020-2020", "abc {n}", "{n} {n}"]
+NAMES = ["ORA_Financials {n}.xlsx", "Cyan_group_listing-{n}.docx", "Cyanide {n}.PDF", "{n} Bed-Rock plan.docx", "bedrock.{n}.docx", "Rock Bed Rock Bed {n}"]
+#: Two of which begin alike: the longer one goes first.
+NAME_PAIRS = [("Bed Rock", "Azure"), ("ORA", "Onyx Ridge"), ("Rock", "X"), ("Cyan", "$1")]
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -35,39 +37,44 @@ def _memos(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey as doc_id", MEMO.format(s="string") + " as text")
 
 
-def _literals(spark: SparkSession, rows: list[str]) -> DataFrame:
-    return spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string")
+def _corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts of documents, and memos, whose ids are below 0."""
+    return _docs(spark, d).unionByName(_memos(spark, d).withColumn("doc_id", -1 - F.col("doc_id")))
 
 
-def _found(df: DataFrame, category: str, start: bool = False) -> DataFrame:
-    cols = ["doc_id", F.col("start").cast("int").alias("start"), "text"] if start else ["doc_id", "text"]
-    return M.claims(df).where(F.col("category") == category).select(*cols)
+def _filled(spark: SparkSession, d: str, rows: list[str], n: str) -> DataFrame:
+    """A customer each: i and one of the rows in turn, its {n} filled in."""
+    x = F.replace(F.get(F.array(*map(F.lit, rows)), (F.col("c_custkey") % len(rows)).cast("int")), F.lit("{n}"), F.expr(n))
+    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("i"), x.alias("x"))
+
+
+def _found(df: DataFrame, *detectors: str) -> DataFrame:
+    """Claims of the last of the detectors; those before it claim their places first."""
+    return M.claims(df, detectors=detectors).where(F.col("category") == detectors[-1]).select("doc_id", F.col("start").cast("int").alias("start"), "text")
 
 
 def scan_email(spark, d):
-    return _found(_docs(spark, d), "Email", True)
+    return _found(_docs(spark, d), "Email")
 
 
 def scan_phone(spark, d):
-    return _found(_docs(spark, d), "Phone", True)
+    return _found(_docs(spark, d), "Email", "Phone")
 
 
 def scan_uen(spark, d):
-    return _found(_memos(spark, d), "UEN", True)
+    return _found(_corpus(spark, d), "Email", "Phone", "UEN")
 
 
 def scan_abn(spark, d):
-    return _found(_memos(spark, d), "ABN", True)
+    return _found(_corpus(spark, d), "Email", "Phone", "UEN", "ABN")
 
 
 def scan_sg_address(spark, d):
-    return _found(_memos(spark, d), "Address", True)
+    return _found(_corpus(spark, d), "Email", "Phone", "UEN", "ABN", "Address")
 
 
 def scan_known_entities(spark, d):
-    text = F.col("text")
-    hits = F.flatten(F.array(*(M.spans(text, S.flexible(F.lit(v)), F.lit(0), F.lit(c), "list") for v, c in WORDS)))
-    return _docs(spark, d).select("doc_id", F.explode(hits).alias("s")).groupBy("doc_id", F.col("s.category").alias("category")).agg(F.count("*").alias("n"))
+    return M.claims(_docs(spark, d), WORDS, use_regex=False).groupBy("doc_id", "category").agg(F.count("*").alias("n"))
 
 
 def claims_resolved(spark, d):
@@ -92,21 +99,21 @@ def placeholders_lettered(spark, d):
 
 
 def redact_hash(spark, d):
-    return _memos(spark, d).select("doc_id", S.hashtags(F.col("text")).alias("redacted"))
+    return _corpus(spark, d).select("doc_id", F.md5(S.hashtags(F.col("text"))).alias("redacted_md5"))
 
 
 def address_collapse(spark, d):
-    return _literals(spark, ADDRESSES).select("i", S.collapse_address(F.col("x")).alias("address"))
+    return _filled(spark, d, ADDRESSES, "lpad(cast(c_custkey as string), 5, '0')").select("i", S.collapse_address(F.col("x")).alias("address"))
 
 
 def year_range(spark, d):
-    return _literals(spark, RANGES).select("i", S.is_year_range(F.col("x")).alias("is_range"), S.digits(F.col("x")).alias("n_digits"))
+    return _filled(spark, d, RANGES, "cast(1990 + c_custkey % 50 as string)").select("i", S.is_year_range(F.col("x")).alias("is_range"), S.digits(F.col("x")).alias("n_digits"))
 
 
 def plausibility_flags(spark, d):
     x = F.col("x")
     flags = [S.is_building(x).alias("building"), S.is_defined_term(x).alias("defined"), S.is_corporate_suffix(x).alias("suffix"), S.is_implausible(x).alias("implausible")]
-    return _literals(spark, TERMS).select("i", *flags)
+    return _filled(spark, d, TERMS, "cast(c_custkey as string)").select("i", *flags)
 
 
 def context_snippet(spark, d):
@@ -125,7 +132,7 @@ def segment_offsets(spark, d):
 def sheet_lookup(spark, d):
     ranges = M.segment_offsets(_segments(spark, d), "doc_id", "seg_no").withColumn("name", F.concat(F.lit("line "), F.col("seg_no").cast("string")))
     listed = ranges.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "name"))).alias("ranges"))
-    hits = _found(_docs(spark, d), "Email", True)
+    hits = _found(_docs(spark, d), "Email")
     return hits.join(listed, "doc_id").select("doc_id", "start", M.locate(F.col("start"), F.col("ranges")).alias("sheet"))
 
 
@@ -139,10 +146,8 @@ def mask_text(spark, d):
 
 
 def apply_review(spark, d):
-    """Masked memos: nothing of what was found is left in them."""
-    out = M.apply(_memos(spark, d), _reviewed(spark, d))
-    left = F.col("masked").rlike(r"user\d+@acme|\d{9}A|34 009 200 \d{3}|\+65 8\d{3}-\d{4}|Raffles|Acme")
-    return out.select("doc_id", "changed", left.alias("left"))
+    """Masked memos."""
+    return M.apply(_memos(spark, d), _reviewed(spark, d)).select("doc_id", "masked", "changed", "any_grey")
 
 
 def mapping_log(spark, d):
@@ -153,14 +158,13 @@ def mapping_log(spark, d):
 def review_merge(spark, d):
     c = spark.read.parquet(f"{d}/customer.parquet")
     items = c.selectExpr("c_custkey as id", "c_name as placeholder")
-    return M.review(items, c.where("c_custkey % 3 = 0").selectExpr("c_custkey as id", "c_custkey % 2 = 0 as include", "case when c_custkey % 5 = 0 then 'X' end as placeholder"))
+    return M.review(items, c.where("c_acctbal < 3000").selectExpr("c_custkey as id", "c_mktsegment <> 'MACHINERY' as include", "case when c_nationkey = 5 then 'X' end as placeholder"))
 
 
 def sanitize_names(spark, d):
-    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(NAMES)], "i int, name string, o string, p string")
-    ext = S.extension(F.col("name"))
-    stem = F.regexp_extract("name", r"^(.*?)(\.[^.]+)?$", 1)
-    return rows.select("i", F.concat(M.sanitize_name(stem, F.array(F.struct("o", "p"))), ext).alias("name"))
+    pairs = F.array(*(F.struct(F.lit(o).alias("o"), F.lit(p).alias("p")) for o, p in sorted(NAME_PAIRS, key=lambda x: -len(x[0]))))
+    stem = F.regexp_extract("x", r"^(.*?)(\.[^.]+)?$", 1)
+    return _filled(spark, d, NAMES, "cast(c_custkey as string)").select("i", F.concat(M.sanitize_name(stem, pairs), S.extension(F.col("x"))).alias("name"))
 
 
 def verify_leaks(spark, d):
@@ -168,8 +172,7 @@ def verify_leaks(spark, d):
 
 
 def verify_clean(spark, d):
-    docs = _docs(spark, d)
-    return docs.join(M.leaks(docs, WORDS), "doc_id", "left_anti").select("doc_id")
+    return M.verify(_docs(spark, d), WORDS).where("clean").select("doc_id")
 
 
 def category_summary(spark, d):
@@ -183,12 +186,12 @@ def blob_dedupe(spark, d):
 
 
 def usable_text(spark, d):
-    spoilt = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\x01\x02\x03"), F.substring("text", 1, 20))).otherwise(F.col("text"))
-    return _docs(spark, d).select("doc_id", S.is_usable(spoilt).alias("usable"))
+    """The verdict on whole texts in which one letter is lost to control characters, as a broken font does."""
+    return _docs(spark, d).select("doc_id", S.is_usable(F.translate("text", "e", "\x01")).alias("usable"))
 
 
 def usable_documents(spark, d):
-    """The verdict on the whole unchanged text of every document; usable_text judges made-up texts for a third of them."""
+    """The verdict on the whole unchanged text of every document."""
     return _docs(spark, d).select("doc_id", S.is_usable(F.col("text")).alias("usable"))
 
 
