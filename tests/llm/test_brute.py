@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from umbra.llm import blocks, line_dedup, packing, quality, queries, simhash, substring_dedup, suffix_dedup, token_counts
 from umbra.llm.chat import format_conversations, loss_text, read_back
-from umbra.llm.fingerprints import edits, fingerprints, likeness, tree
+from umbra.llm.fingerprints import fingerprints
 from umbra.llm.sentencepieces import Model, Transducer
 
 SF = "/root/testdata/sf0.001"
@@ -335,32 +335,6 @@ def test_chat(spark):
     assert format_conversations(spark.createDataFrame(fine, "conv_id long, turn long, role string, text string")).first().valid
 
 
-def test_fingerprints(docs, made):
-    fp = by_id(fingerprints(docs), "fingerprint")
-    texts = {}
-    for d, t, *_ in made:
-        texts.setdefault(t or "", set()).add(fp[d])
-    assert all(len(x) == 1 for x in texts.values()) and len(set().union(*texts.values())) == len(texts)
-
-
-def test_edits(spark):
-    a, b = "one\ntwo\n\nthree\nfour", "one\ntwo\n\nthree!\nfour"
-    df = spark.createDataFrame([(a, b), (a, a), ("", a), ("", "")], "a string, b string").select(tree(F.col("a")).alias("a"), tree(F.col("b")).alias("b"))
-    got = df.select(edits(F.col("a"), F.col("b")).alias("e"), likeness(F.col("a"), F.col("b")).alias("l")).collect()
-    assert [[tuple(x) for x in r.e] for r in got] == [[(1, 0)], [], [(0, -1), (1, -1)], []]
-    assert [r.l for r in got] == [0.8, 1.0, 0.0, 1.0]  # 4 of 5 leaves
-
-
-def test_op10(spark):
-    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
-    got = {r.doc_id: r for r in queries.op10_fingerprints(spark, SF).collect()}
-    for i, (d, t) in enumerate(rows):
-        m = len(t) // 4
-        e = t[: len(t) - m] + rows[(i + 1) % len(rows)][1][:m]
-        assert (got[d].n_chars, got[d].edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
-        assert 0 <= got[d].near_next <= 1 and 0 <= got[d].near_edited <= 1
-
-
 def test_empty_tables(none, spark):
     for f in (substring_dedup.substring_dedup, suffix_dedup.suffix_dedup, simhash.simhash_groups, line_dedup.line_dedup, quality.judge, fingerprints):
         assert f(none).count() == 0

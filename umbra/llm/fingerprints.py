@@ -1,4 +1,4 @@
-"""Document fingerprints: a Merkle tree over paragraphs and sections."""
+"""Document fingerprints: a Merkle tree over sections, paragraphs and leaves, and a bounded sketch of its leaves."""
 
 from __future__ import annotations
 
@@ -7,96 +7,159 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, let, parts
 
-#: Code points of a leaf: a paragraph is cut into leaves of so many.
-LEAF = 32
-#: A section ends after a blank line.
-SECTION = r"(?s).+?(?:\n[\x20\t\r]*\n\s*|\z)"
-#: Ranges of doc_id in which neighbours are found; also the most rows that the driver sees.
+#: A section ends after a blank line, a paragraph after its line feeds.
+SECTION = r"(?s).+?(?:\n[\x20\t\r]*\n[\x20\t\r\n]*|\z)"
+PARAGRAPH = r"[^\n]+\n*|\n+"
+#: A leaf ends where its own text says so, so leaves behind an edit stay as they were: at the first word from 16 characters on that ends in
+#: one of these, or after 256.
+LEAF = r"(?s).{16,256}?[aeo,.;:!?][\x20\t\r\n]+|.{1,256}"
+#: Leaves in a sketch, of 8 hex digits each: those of least hash.
+SKETCH = 128
+#: Bytes of text that one task sorts by doc_id and looks at beside their neighbours.
+RANGE_BYTES = 64 << 20
+#: Ranges that are cut at one level; more are cut again inside of each.
 RANGES = 512
 
 
+def _digest(x: Column) -> Column:
+    return F.substring(F.md5(x), 1, 16)
+
+
 def tree(text: Column) -> Column:
-    """The hashes of the leaves by section: array of arrays. Every character of text is in one leaf."""
-    sections = F.regexp_extract_all(text, F.lit(SECTION), F.lit(0))
-    return F.transform(sections, lambda s: F.transform(F.regexp_extract_all(s, F.lit(rf"[^\n]{{1,{LEAF}}}\n?|\n"), F.lit(0)), lambda x: F.xxhash64(x)))
+    """The hashes of the leaves by section and paragraph: an array of arrays of arrays. Every character of text is in one leaf."""
+    pieces = lambda x, pattern: F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+    return F.transform(pieces(text, SECTION), lambda s: F.transform(pieces(s, PARAGRAPH), lambda p: F.transform(pieces(p, LEAF), _digest)))
 
 
-def nodes(sections: Column) -> Column:
-    """The hash of each section, over those of its leaves."""
-    return F.transform(sections, lambda s: F.xxhash64(s))
+def paragraph_nodes(section: Column) -> Column:
+    """The hash of each paragraph of a section, over those of its leaves."""
+    return F.transform(section, lambda p: _digest(F.array_join(p, "")))
 
 
-def root(sections: Column) -> Column:
-    return F.xxhash64(nodes(sections))
+def section_nodes(sections: Column) -> Column:
+    """The hash of each section, over those of its paragraphs."""
+    return F.transform(sections, lambda s: _digest(F.array_join(paragraph_nodes(s), "")))
 
 
-def _leaf(x: Column) -> Column:
-    return F.shiftrightunsigned(x, 40)
+def root(sections: Column) -> Column:
+    return F.md5(F.array_join(section_nodes(sections), ""))
 
 
 def fingerprint(sections: Column) -> Column:
-    """The root in 16 hex digits, a colon, the sections parted by points, each as its leaves in 6 hex digits."""
-    leaves = F.transform(sections, lambda s: F.array_join(F.transform(s, lambda x: F.lpad(F.hex(_leaf(x)), 6, "0")), ""))
-    return F.lower(F.concat(F.lpad(F.hex(root(sections)), 16, "0"), F.lit(":"), F.array_join(leaves, ".")))
+    """The root in 32 hex digits, the leaves, the distinct ones, and the SKETCH of them with the least hashes; parted by colons."""
+
+    def made(leaves: Column) -> Column:
+        distinct = F.array_sort(F.array_distinct(F.transform(leaves, lambda x: F.substring(x, 1, 8))))
+        return let(distinct, lambda d: F.concat_ws(":", root(sections), F.size(leaves).cast("string"), F.size(d).cast("string"), F.array_join(F.slice(d, 1, SKETCH), "")))
+
+    return let(F.flatten(F.flatten(sections)), made)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Twice the leaves that two trees share over the leaves they have, each distinct leaf once; 1 if neither has any."""
-    flat = lambda s: F.array_distinct(F.transform(F.flatten(s), _leaf))
+    """Of two fingerprints: twice the distinct leaves that both texts have over those that each has, times the lesser of the mean numbers
+    of copies of a leaf over the greater; 1 if neither has any.
+
+    Exact for up to SKETCH distinct leaves each; else estimated by the SKETCH least hashes of both together.
+    """
+
+    def of(x: Column) -> Column:
+        p, q = x["p"], x["q"]
+        n, m, d, e = (z[i].cast("long") for i in (1, 2) for z in (p, q))
+        cut = lambda z: F.regexp_extract_all(z[3], F.lit(".{8}"), F.lit(0))
+        whole = (d <= SKETCH) & (e <= SKETCH)
+
+        def shares(y: Column) -> Column:
+            every = F.array_sort(F.array_union(y["u"], y["v"]))
+            some = F.when(whole, every).otherwise(F.slice(every, 1, SKETCH))
+            both = F.array_intersect(y["u"], y["v"])
+            return let(some, lambda s: F.size(F.array_intersect(s, both)) / F.size(s))
 
-    def of(two: Column) -> Column:
-        n = F.size(two[0]) + F.size(two[1])
-        return F.when(n == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(two[0], two[1])) / n)
+        dice = let(let(F.struct(cut(p).alias("u"), cut(q).alias("v")), shares), lambda j: 2.0 * j / (1.0 + j))
+        copies = lambda k, z: k / z
+        ratio = F.least(copies(n, d), copies(m, e)) / F.greatest(copies(n, d), copies(m, e))
+        return F.when(p[0] == q[0], F.lit(1.0)).when((n == 0) | (m == 0), F.lit(0.0)).otherwise(dice * ratio)
 
-    return let(F.array(flat(a), flat(b)), of)
+    return let(F.struct(F.split(a, ":").alias("p"), F.split(b, ":").alias("q")), of)
 
 
 def edits(a: Column, b: Column) -> Column:
-    """Where two trees differ: section and leaf numbers from 0, (section, -1) where only one has the section. Empty: equal roots."""
+    """Where two trees differ, as section, paragraph and leaf of b from 0 that a has not; empty if all of b is in a.
+
+    Branches are met by hash, not by place, so what is put in or moved does not mark what stands behind it: only in sections that a has not
+    paragraphs are looked at, against those of the sections that b has not; and so on to the leaves. Each differing leaf is looked for among all
+    of a's differing ones; n_edited() counts without that.
+    """
+    none = F.expr("cast(array() as array<struct<section:int,paragraph:int,leaf:int>>)")
+
+    def told(x: Column) -> Column:
+        known, old = x["known"], x["old"]
+
+        def section(s: Column, i: Column) -> Column:
+            def paragraph(p: Column, j: Column) -> Column:
+                new = F.filter(F.transform(p, lambda h, k: F.struct(i.alias("section"), j.alias("paragraph"), k.alias("leaf"), h.alias("h"))), lambda z: ~F.array_contains(x["leaves"], z["h"]))
+                found = F.transform(new, lambda z: F.struct(z["section"].alias("section"), z["paragraph"].alias("paragraph"), z["leaf"].alias("leaf")))
+                return F.when(F.array_contains(old, _digest(F.array_join(p, ""))), none).otherwise(found)
+
+            return F.when(F.array_contains(known, _digest(F.array_join(paragraph_nodes(s), ""))), none).otherwise(F.flatten(F.transform(s, paragraph)))
+
+        return F.flatten(F.transform(b, section))
+
+    def compared(x: Column) -> Column:
+        # The paragraphs of a's sections that b has not, and their leaves.
+        gone = F.flatten(F.filter(a, lambda s: ~F.array_contains(x["b"], _digest(F.array_join(paragraph_nodes(s), "")))))
+        return let(gone, lambda g: let(F.struct(x["a"].alias("known"), F.transform(g, lambda p: _digest(F.array_join(p, ""))).alias("old"), F.flatten(g).alias("leaves")), told))
+
+    return let(F.struct(section_nodes(a).alias("a"), section_nodes(b).alias("b")), compared)
+
 
-    def leaves(x: Column, y: Column, i: Column) -> Column:
-        n = F.greatest(F.size(x), F.size(y))
-        bad = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda j: ~F.get(x, j).eqNullSafe(F.get(y, j)))
-        return F.transform(bad, lambda j: F.struct(i.alias("section"), j.alias("leaf")))
+def n_edited(a: Column, b: Column) -> Column:
+    """Distinct paragraphs of b that a has not, by the nodes of both trees. In linear time, for texts of any length."""
+    every = lambda x: F.flatten(F.transform(x, paragraph_nodes))
+    return F.size(F.array_except(every(b), every(a)))
 
-    def section(i: Column) -> Column:
-        x, y = F.get(a, i), F.get(b, i)
-        alone = F.array(F.struct(i.alias("section"), F.lit(-1).alias("leaf")))
-        return F.when(x.isNull() | y.isNull(), alone).when(F.xxhash64(x) == F.xxhash64(y), F.slice(alone, 1, 0)).otherwise(leaves(x, y, i))
 
-    every = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size(a), F.size(b), F.lit(1)) - 1), section))
-    return F.when(root(a) == root(b), F.slice(every, 1, 0)).otherwise(every)
+def _ranged(own: DataFrame) -> DataFrame:
+    """own with a column range, in the order of doc_id. Ranges grow in number with the bytes of text."""
+    n_bytes = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    wanted = max(2 * parts(own.sparkSession), n_bytes // RANGE_BYTES)
+    coarse = min(wanted, RANGES)
+    fine = -(-wanted // coarse)
+    ends = lambda n: F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)
+    place = lambda cuts: F.size(F.filter(cuts, lambda c: c <= F.col("doc_id"))).cast("long")
+    cuts = sorted(set(own.agg(ends(coarse)).first()[0] or [])) if coarse > 1 else []
+    ranged = own.withColumn("range", place(F.array(*map(F.lit, cuts)).cast("array<bigint>")))
+    if fine > 1:
+        inner = ranged.groupBy("range").agg(F.array_sort(F.array_distinct(ends(fine))).alias("cuts"))  # at most RANGES rows of `fine` numbers
+        ranged = ranged.join(F.broadcast(inner), "range").withColumn("range", F.col("range") * fine + place(F.col("cuts"))).drop("cuts")
+    return ranged
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, leaves, next_text, next_leaves: each row beside the next by doc_id, then text; after the last the first.
+    """doc_id, text, fingerprint, next_text, next_fingerprint: each row beside the next by doc_id, then text; after the last the first.
 
     Rows are dealt by ranges of doc_id. The first row of each range is also given to the range before it, so no row is
     sent anywhere else and no task sees more than its range.
     """
-    spark = docs.sparkSession
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    n = min(RANGES, 2 * parts(spark))
-    cuts = own.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
-    cuts = F.array(*map(F.lit, sorted(set(cuts)))).cast("array<bigint>")
-    ranged = own.withColumn("range", F.size(F.filter(cuts, lambda c: c <= F.col("doc_id"))))
-    first = [(r["range"], r["doc_id"]) for r in ranged.groupBy("range").agg(F.min("doc_id").alias("doc_id")).orderBy("range").collect()]
-    if not first:
-        return ranged.select("doc_id", "text", tree(F.col("text")).alias("leaves"), F.col("text").alias("next_text"), tree(F.col("text")).alias("next_leaves"))
-    before = F.create_map(*(F.lit(x) for (a, _), (b, _) in zip(first, [first[-1], *first[:-1]], strict=True) for x in (a, b)))
-    heads = ranged.where(F.col("doc_id").isin([d for _, d in first])).groupBy("range", "doc_id").agg(F.min("text").alias("text"))
-    heads = heads.select("doc_id", "text", before[F.col("range")].alias("range"), F.lit(1).alias("head"))
-    both = ranged.select("doc_id", "text", "range", F.lit(0).alias("head")).unionByName(heads).withColumn("leaves", tree(F.col("text")))
+    ranged = _ranged(own)
+    # A row a range, of 24 bytes: also what one task numbers.
+    firsts = ranged.groupBy("range").agg(F.min("doc_id").alias("doc_id"))
+    before = firsts.select("doc_id", F.col("range").alias("own"), F.lag("range").over(Window.orderBy("range")).alias("before"), F.max("range").over(Window.partitionBy()).alias("last"))
+    heads = ranged.join(F.broadcast(before), (F.col("range") == F.col("own")) & (ranged["doc_id"] == before["doc_id"]))
+    heads = heads.groupBy(F.coalesce("before", "last").alias("range"), ranged["doc_id"].alias("doc_id")).agg(F.min("text").alias("text"))
+    both = ranged.select("doc_id", "text", "range", F.lit(0).alias("head")).unionByName(heads.select("doc_id", "text", "range", F.lit(1).alias("head")))
+    both = both.withColumn("fingerprint", fingerprint(tree(F.col("text"))))
     w = Window.partitionBy("range").orderBy("head", "doc_id", "text")
-    ahead = F.lead(F.struct("text", "leaves")).over(w).alias("ahead")
-    return both.select("doc_id", "text", "leaves", "head", ahead).where("head = 0").select("doc_id", "text", "leaves", F.col("ahead.text").alias("next_text"), F.col("ahead.leaves").alias("next_leaves"))
+    ahead = F.lead(F.struct("text", "fingerprint")).over(w).alias("ahead")
+    return both.select("doc_id", "text", "fingerprint", "head", ahead).where("head = 0").select("doc_id", "text", "fingerprint", F.col("ahead.text").alias("next_text"), F.col("ahead.fingerprint").alias("next_fingerprint"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, root (long) and leaves (the tree) for each row of docs.
+    """doc_id, fingerprint, root (32 hex digits) and leaves (the tree) for each row of docs.
 
-    Equal texts have equal fingerprints; texts that differ have different roots, but for a collision of 64 bits. Null text: empty,
-    a tree without sections. A null doc_id stays null; repeated rows count each. Other columns are not read.
+    Equal texts have equal fingerprints; texts that differ have different roots, but for a collision of 64 bits. A fingerprint has about a
+    thousand characters at most. Null text: empty, a tree without sections. A null doc_id stays null; repeated rows count each. An empty
+    table gives none. Other columns are not read.
     """
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tree(F.coalesce(F.col("text"), F.lit(""))).alias("leaves"))
     return made.select("doc_id", fingerprint(F.col("leaves")).alias("fingerprint"), root(F.col("leaves")).alias("root"), "leaves")
@@ -106,9 +169,9 @@ def op10_fingerprints(spark, sf_dir: str) -> DataFrame:
     near = with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     n = F.length("text")
     m = F.floor(n / 4).cast("int")
-    edited = near.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - m), F.substring("next_text", F.lit(1), m))).withColumn("edited_leaves", tree(F.col("edited")))
-    leaves = F.col("leaves")
-    return edited.select(
-        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(leaves).alias("fingerprint"),
-        fingerprint(F.col("edited_leaves")).alias("edited_fingerprint"), likeness(leaves, F.col("edited_leaves")).alias("near_edited"), likeness(leaves, F.col("next_leaves")).alias("near_next"),
+    edited = near.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - m), F.substring("next_text", F.lit(1), m)))
+    trees = edited.withColumn("tree", tree(F.col("text"))).withColumn("edited_tree", tree(F.col("edited"))).withColumn("edited_fingerprint", fingerprint(F.col("edited_tree")))
+    return trees.select(
+        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), n_edited(F.col("tree"), F.col("edited_tree")).cast("long").alias("n_edited_paragraphs"),
     )

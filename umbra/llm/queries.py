@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import op3_chat_formatting
 from .fingerprints import op10_fingerprints
 from .line_dedup import op2_line_dedup
+from .oracle import ORACLE
 from .packing import op8_packing
 from .quality import op1_quality_rules
 from .sentencepieces import op4_sentencepiece
@@ -28,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
