@@ -294,15 +294,6 @@ def odd():
     ]
 
 
-@pytest.mark.parametrize("fast", [None, (P.path("byte_bpe_50k.tiktoken"), P.PATTERN)])
-def test_token_counts(fast, made):
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    c = token_counts.Counter(P.path("byte_bpe_50k.json"), fast, chunk=150, overlap=4)
-    for x in odd() + [m[1] or "" for m in made]:
-        assert c.count(x) == len(t.encode(x, add_special_tokens=False).ids)
-    assert c.widened
-
-
 def test_sentencepiece(made):
     sp, t = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model")), Transducer(Model(P.path("piece_bpe_32k.model")), most=40)
     for x in [*odd(), "  a  b\n c\tü漢☃ ", "▁▁ x", "<0x0A> </s> <unk> \x00", "     x    ", *(m[1] or "" for m in made)]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import os
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .wordids import byte_letters
+
 #: Characters of a chunk, and the overlap to begin with.
 CHUNK, OVERLAP = 32_768, 256
 RESULT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -27,11 +30,22 @@ class Counter:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        level = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] is not None or level.get("type") != "ByteLevel" or level.get("add_prefix_space") or spec["model"]["type"] != "BPE":
+            raise ValueError("only byte-level BPE without a normaliser or a blank put in front is supported")
         self.slow = Tokenizer.from_file(path)
         self.slow.no_truncation()
         self.slow.no_padding()
-        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
+        self.special = [t["content"] for t in spec["added_tokens"]]
         self.chunk, self.overlap, self.fast, self.widened = chunk, overlap, None, 0
+        byte = {chr(letter): b for b, letter in byte_letters().items()}
+        #: Whether some token holds two bytes side by side, by the first times 256 and the second.
+        self.inside = np.zeros(1 << 16, bool)
+        for token in spec["model"]["vocab"]:
+            data = np.array([byte[c] if c in byte else ord(c) for c in token], np.int64)
+            self.inside[data[:-1] * 256 + data[1:]] = True
         if fast:
             import tiktoken
 
@@ -56,10 +70,11 @@ class Counter:
         return np.array([a for a, _ in self.slow.encode(text, add_special_tokens=False).offsets], np.int64)
 
     def _spliced(self, text: str, plain: bool) -> int:
-        """Chunks overlap; two meet at a place where both begin a token and the text proves that no token crosses.
+        """Chunks overlap; two meet at a place where both begin a token and the vocabulary proves that no token crosses.
 
-        Proof: no alternative of the pattern has white space after anything else, nor looks beyond it, so a blank or line feed after a
-        character that is neither always begins a token, whatever surrounds it. Special strings hold no white space.
+        Proof: no token holds the two bytes beside that place next to each other, so neither side's merges ever reach over it; and the runs
+        that the pattern cuts end alike in both chunks. No such place is taken inside of a special string, of which a chunk may hold a part. Where no such place is in the overlap it is widened, then the chunk doubled, so a
+        text without any is encoded at most twice over.
         """
         total, begin, end = 0, 0, self.chunk
         starts = self._starts(text[:end], plain)
@@ -72,13 +87,14 @@ class Counter:
                 if (at := self._stable(text, begin, lo, end, starts, following, plain)) is not None:
                     break
                 self.widened += 1
-                if lo == begin:  # nowhere in this chunk: take it longer
-                    end = min(len(text), end + self.chunk)
+                if lo == begin:  # nowhere in this chunk: take it twice as long
+                    end = min(len(text), 2 * end - begin)
                     starts = self._starts(text[begin:end], plain)
                     if end == len(text):
                         return total + len(starts)
+                    overlap = self.overlap
                 else:
-                    overlap *= 2
+                    overlap *= 4
             total += int(np.searchsorted(starts, self._unit(text, begin, at, plain)))
             following = following[np.searchsorted(following, self._unit(text, lo, at, plain)) :] - self._unit(text, lo, at, plain)
             starts, begin, end = following, at, to
@@ -90,15 +106,28 @@ class Counter:
 
     def _stable(self, text, begin, lo, end, left, right, plain) -> int | None:
         """The last proven common boundary of two chunks before the last character of their overlap."""
-        for p in range(end - 2, max(lo, begin), -1):
-            if text[p] in " \n" and not text[p - 1].isspace() and text[p - 1] > "\x20":
-                a, b = self._unit(text, begin, p, plain), self._unit(text, lo, p, plain)
-                i, j = np.searchsorted(left, a), np.searchsorted(right, b)
-                if i < len(left) and j < len(right) and left[i] == a and right[j] == b:
-                    return p
+        from_, to = max(lo, begin) + 1, end - 1
+        if to <= from_:
+            return None
+        shared = text[from_ - 1 : to].encode()
+        data = np.frombuffer(shared, np.uint8)
+        # Places between characters: behind the first one, in bytes from the overlap's beginning.
+        heads = np.flatnonzero((data & 0xC0) != 0x80)[1:]
+        apart = heads[~self.inside[data[heads - 1].astype(np.int64) * 256 + data[heads]]]
+        if not len(apart):
+            return None
+        if plain:
+            a, b = self._unit(text, begin, from_ - 1, True) + apart, self._unit(text, lo, from_ - 1, True) + apart
+        else:
+            behind = np.searchsorted(heads, apart) + from_  # as characters of the text
+            a, b = behind - begin, behind - lo
+        good = np.flatnonzero(np.isin(a, left, kind="sort") & np.isin(b, right, kind="sort"))
+        for i in good[::-1]:
+            p = int(np.searchsorted(heads, apart[i])) + from_
+            if not any(text.find(s, max(0, p - len(s) + 1), p + len(s) - 1) >= 0 for s in self.special):
+                return p
         return None
 
-
 def _counted(path: str, fast, limit: int):
     def run(batches):
         key = (path, fast)
@@ -119,8 +148,9 @@ def _counted(path: str, fast, limit: int):
 def token_counts(docs: DataFrame, tokenizer: str, fast: tuple[str, str] | None = None, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (more than `limit` tokens) for each row of docs.
 
-    tokenizer: a tokenizers file of the byte-level kind without normaliser. fast: see Counter. Null text: empty, no tokens. A null
-    doc_id stays null; repeated rows are counted each. Other columns are not read. Memory is bound by a chunk's tokens, not a text's.
+    tokenizer: a tokenizers file of the byte-level kind without normaliser; others raise. fast: see Counter. Null text: empty, no tokens.
+    A null doc_id stays null; repeated rows are counted each; an empty table gives none. Other columns are not read. Memory is bound by
+    the tokens of a chunk, not a text's, but where a text has no place for a long stretch that no token can cross.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return own.mapInArrow(_counted(tokenizer, fast, limit), RESULT)

@@ -39,6 +39,12 @@ _TABLE = bytes(_CLASS)
 _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it is printable, else the next from U+0100 on."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+    return {b: 256 + hidden.index(b) if b in hidden else b for b in range(256)}
+
+
 class WordIds:
     """ids(text) as the tokenizers library gives them without added special tokens, as unsigned 32-bit integers.
 
