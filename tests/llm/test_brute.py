@@ -10,7 +10,6 @@ from collections import Counter as Count
 import numpy as np
 import public_tokenizers as P
 import pytest
-import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -19,7 +18,6 @@ import corpus_pipeline
 from umbra.llm import blocks, line_dedup, packing, quality, queries, simhash, substring_dedup, suffix_dedup, token_counts
 from umbra.llm.chat import format_conversations, loss_text, read_back
 from umbra.llm.fingerprints import fingerprints
-from umbra.llm.sentencepieces import Model, Transducer
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, block int"
@@ -294,23 +292,6 @@ def odd():
     ]
 
 
-def test_sentencepiece(made):
-    sp, t = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model")), Transducer(Model(P.path("piece_bpe_32k.model")), most=40)
-    for x in [*odd(), "  a  b\n c\tü漢☃ ", "▁▁ x", "<0x0A> </s> <unk> \x00", "     x    ", *(m[1] or "" for m in made)]:
-        ids = t.encode(x)
-        assert list(array.array("I", ids)) == sp.encode(x)
-        assert t.decode(ids) == sp.decode(sp.encode(x))
-
-
-def test_unigram_shortest_path():
-    m = Model.__new__(Model)
-    m.pieces = [("<unk>", 0.0, 2), ("a", -3.0, 1), ("b", -3.0, 1), ("ab", -5.0, 1), ("ba", -1.0, 1)]
-    m.kind, m.prefix, m.squeeze, m.bytes, m.unknown = 1, False, False, {}, 0
-    m.text = {p: i for i, (p, _, k) in enumerate(m.pieces) if k == 1}
-    t = Transducer(m)
-    assert t.shortest("aba") == [1, 4] and t.shortest("ab") == [3] and t.shortest("axb") == [1, 0, 2]
-
-
 def test_chat(spark):
     said = ["</s>[INST] ok [/INST]", r"<\s> [\\INST] <<SYS>> <<\SYS>>", "", None, "a\\", "<", "[", "/s>", "<<s>", "$1 \\E"]
     roles = ["system", "user", "assistant", "tool</s>", None]

@@ -22,6 +22,8 @@ NORMAL, USER, BYTE = 1, 4, 6
 UNIGRAM, BPE = 1, 2
 MARK = "▁"
 _RUN = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+#: Bytes that an entry of the memo takes beside its text and ids; longer texts are encoded each time. Pairs of pieces that are remembered.
+ENTRY, LONG, PAIRS = 140, 64, 1 << 20
 _NOTHING = [(0.0, "", "")]
 RESULT = "doc_id long, n_tokens long, ids binary, decoded string"
 
@@ -76,18 +78,54 @@ class Model:
         self.unknown = next((i for i, (_, _, kind) in enumerate(self.pieces) if kind == 2), 0)
 
 
+START, WORD, GAP = range(3)
+_SYMBOL = re.compile(" +|[^ ]+")
+
+
+class Normaliser:
+    """The model's normaliser as a finite-state transducer. Its symbols are runs: of blanks, or of anything else.
+
+    arcs: (state, whether the run is of blanks) to (next state, marks for each blank of the run, marks in front of what is copied). WORD and
+    GAP accept; a gap at the end writes nothing where gaps are squeezed, since there a gap's mark is written with the word behind it.
+    """
+
+    def __init__(self, model: Model):
+        first = int(model.prefix)
+        if model.squeeze:
+            self.arcs = {(START, True): (START, 0, 0), (START, False): (WORD, 0, first), (WORD, True): (GAP, 0, 0), (GAP, False): (WORD, 0, 1)}
+        else:
+            self.arcs = {(START, True): (GAP, 1, first), (START, False): (WORD, 0, first), (WORD, True): (GAP, 1, 0), (GAP, False): (WORD, 0, 0)}
+        # Where each blank is a mark in every state but the first, the composition with a text needs no walk.
+        self.plain = not model.squeeze
+
+    def compose(self, text: str) -> str:
+        if self.plain:
+            return MARK * self.arcs[START, False][2] + text.replace(" ", MARK) if text else ""
+        state, out = START, []
+        for m in _SYMBOL.finditer(text):
+            run = m[0]
+            state, each, front = self.arcs[state, run[0] == " "]
+            out.append(MARK * (front + each * len(run)) + ("" if run[0] == " " else run))
+        return "".join(out)
+
+
 class Transducer:
-    """Encodes units of normalised text; between units no piece can lie, so each is composed alone and remembered."""
+    """Encodes units of normalised text; between units no piece can lie, so each is composed alone and remembered.
 
-    def __init__(self, model: Model, most: int = 400_000):
-        self.model, self.most = model, most
+    The memo has two generations of `most` bytes each: what is used again outlives the older one.
+    """
+
+    def __init__(self, model: Model, most: int = 40 << 20):
+        self.model, self.most, self.size, self.older = model, most, 0, {}
+        self.normaliser = Normaliser(model)
         self.trie: dict = {}
+        self.longest = max(map(len, model.text), default=0)
         self.joined: set[str] = set()  # pairs of characters side by side in some piece
         for p, i in model.text.items():
             node = self.trie
             for c in p:
                 node = node.setdefault(c, {})
-            node[""] = i
+            node[""] = (i, (i,), -model.pieces[i][1])
             self.joined.update(map("".join, zip(p, p[1:], strict=False)))
         self.inner = any(MARK in p.lstrip(MARK) for p in model.text)
         self.memo: dict[str, bytes] = {}
@@ -95,11 +133,6 @@ class Transducer:
         self.histories: dict[int, list | None] = {}
         self.out = [(p.replace(MARK, " ").encode() if k in (NORMAL, USER) else bytes([int(p[1:-1], 16)]) if k == BYTE else b"" if k == 3 else b" \xe2\x81\x87 ") for p, _, k in model.pieces]
 
-    def normalise(self, text: str) -> str:
-        if self.model.squeeze:
-            text = " ".join(x for x in text.split(" ") if x)
-        return (" " * (self.model.prefix and bool(text)) + text).replace(" ", MARK)
-
     def _history(self, piece: int) -> list[tuple[float, str, str]] | None:
         """BPE of a piece's own text: after each merge its score, the first part and the last part; None if another result is left.
 
@@ -124,7 +157,7 @@ class Transducer:
         key = (last + 1) * len(self.model.pieces) + piece
         got = self.pairs.get(key)
         if got is None:
-            if len(self.pairs) >= 4 * self.most:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             got = self.pairs[key] = self._apart(self._history(last) if last >= 0 else _NOTHING, self._history(piece))
         return got
@@ -148,16 +181,20 @@ class Transducer:
             else:
                 j += 1
 
-    def _arcs(self, unit: str, at: int) -> list[tuple[int, int, tuple[int, ...], float]]:
-        """Arcs that leave a place: (next place, piece or -1 for bytes, ids, weight), short ones first."""
+    def _arcs(self, unit: str, at: int) -> list[tuple[int, tuple[int, tuple[int, ...], float]]]:
+        """Arcs that leave a place: next place, and piece (-1 for bytes), ids and weight; short ones first."""
         node, end, arcs = self.trie, at, []
-        while end < len(unit) and (node := node.get(unit[end])) is not None:
+        for c in unit[at : at + self.longest]:
+            node = node.get(c)
+            if node is None:
+                break
             end += 1
-            if (i := node.get("")) is not None:
-                arcs.append((end, i, (i,), -self.model.pieces[i][1]))
+            arc = node.get("")
+            if arc is not None:
+                arcs.append((end, arc))
         if not arcs or arcs[0][0] != at + 1:
             ids = tuple(self.model.bytes[b] for b in unit[at].encode()) if self.model.bytes else (self.model.unknown,)
-            arcs.insert(0, (at + 1, -1, ids, 20.0))
+            arcs.insert(0, (at + 1, (-1, ids, 20.0)))
         return arcs
 
     def shortest(self, unit: str) -> list[int]:
@@ -169,7 +206,7 @@ class Transducer:
         best: list = [(0.0, 0, ())] + [None] * len(unit)
         for at in range(len(unit)):
             if best[at] is not None:
-                for end, _, ids, weight in self._arcs(unit, at):
+                for end, (_, ids, weight) in self._arcs(unit, at):
                     cost = best[at][0] + weight
                     if best[end] is None or cost < best[end][0]:
                         best[end] = (cost, at, ids)
@@ -181,7 +218,7 @@ class Transducer:
 
     def _only(self, unit: str) -> list[int]:
         """BPE: one path is left, so it is searched depth first, long arcs first, states that fail being remembered."""
-        n, arcs, failed = len(unit), {0: self._arcs(unit, 0)}, set()
+        n, arcs, failed, allowed = len(unit), {0: self._arcs(unit, 0)}, set(), self._allowed
         stack, path = [(0, -1, len(arcs[0]))], []
         while True:
             at, last, k = stack.pop()
@@ -190,13 +227,16 @@ class Transducer:
             out = arcs[at]
             while k:
                 k -= 1
-                end, piece, ids, _ = out[k]
-                if (end, piece) not in failed and (piece < 0 or self._allowed(last, piece)):
-                    stack += [(at, last, k), (end, piece, 0)]
-                    if end < n:
-                        if end not in arcs:
-                            arcs[end] = self._arcs(unit, end)
-                        stack[-1] = (end, piece, len(arcs[end]))
+                end, (piece, ids, _) = out[k]
+                if (not failed or (end, piece) not in failed) and (piece < 0 or allowed(last, piece)):
+                    stack.append((at, last, k))
+                    if end == n:
+                        stack.append((n, piece, 0))
+                    else:
+                        further = arcs.get(end)
+                        if further is None:
+                            further = arcs[end] = self._arcs(unit, end)
+                        stack.append((end, piece, len(further)))
                     path.append(ids)
                     break
             else:
@@ -205,15 +245,34 @@ class Transducer:
 
     def encode(self, text: str) -> bytes:
         memo, out = self.memo, []
-        for run in self._runs(self.normalise(text)):
+        for run in self._runs(self.normaliser.compose(text)):
             got = memo.get(run)
             if got is None:
-                if len(memo) >= self.most:
-                    memo.clear()
-                got = memo[run] = b"".join(map(self._unit, self._split(run)))
+                got = self._unit(run, self._encoded)
+                memo = self.memo  # a full one has been set aside
             out.append(got)
         return b"".join(out)
 
+    def _encoded(self, run: str) -> bytes:
+        units = self._split(run)
+        return self._shortest(run) if len(units) == 1 else b"".join(self._unit(u, self._shortest) for u in units)
+
+    def _shortest(self, unit: str) -> bytes:
+        return array.array("I", self.shortest(unit)).tobytes()
+
+    def _unit(self, key: str, make) -> bytes:
+        got = self.memo.get(key)
+        if got is None:
+            got = self.older.get(key)
+            if got is None:
+                got = make(key)
+            if len(key) <= LONG:
+                self.memo[key] = got
+                self.size += len(got) + len(key) + ENTRY
+                if self.size > self.most:
+                    self.older, self.memo, self.size = self.memo, {}, 0
+        return got
+
     def _runs(self, text: str) -> list[str]:
         """Cut before each mark that follows another character, where no piece has one there."""
         if self.inner:
@@ -224,12 +283,6 @@ class Transducer:
         cuts = [0, *(i for i in range(1, len(run)) if run[i - 1 : i + 1] not in self.joined), len(run)]
         return [run[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def _unit(self, unit: str) -> bytes:
-        got = self.memo.get(unit)
-        if got is None:
-            got = self.memo[unit] = array.array("I", self.shortest(unit)).tobytes()
-        return got
-
     def decode(self, ids: bytes) -> str:
         data = b"".join(map(self.out.__getitem__, memoryview(ids).cast("I")))
         if self.model.prefix and data[:1] == b" ":
@@ -262,7 +315,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded (the text that the ids stand for) for each row of docs.
 
     model: a SentencePiece model file, unigram or BPE, without a character map. Null text: empty, no ids. A null doc_id stays null;
-    repeated rows are encoded each. Other columns are not read.
+    repeated rows are encoded each; an empty table gives none. Other columns are not read.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return own.mapInArrow(_coded(model), RESULT)
