@@ -121,7 +121,7 @@ def n_edited(a: Column, b: Column) -> Column:
 def _ranged(own: DataFrame) -> DataFrame:
     """own with a column range, in the order of doc_id. Ranges grow in number with the bytes of text."""
     n_bytes = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    wanted = max(2 * parts(own.sparkSession), n_bytes // RANGE_BYTES)
+    wanted = max(8 * parts(own.sparkSession), n_bytes // RANGE_BYTES)
     coarse = min(wanted, RANGES)
     fine = -(-wanted // coarse)
     ends = lambda n: F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)
