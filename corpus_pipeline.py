@@ -14,54 +14,82 @@ from umbra.llm.simhash import simhash_groups
 from umbra.llm.substring_dedup import substring_dedup
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a column _row, of one value a row, in the order of doc_id (null first) and then of the texts.
+def _fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names that no column of docs has, in any case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column of one value a row, in the order of doc_id (null first) and then of the texts; and its name.
 
     Operators decide on it in place of doc_id, so that each decision comes back to its own row. Where doc_ids are distinct they serve as they are.
     """
-    own = F.col("doc_id").cast("long")
+    own, (row,) = F.col("doc_id").cast("long"), _fresh(docs, "_row")
     if docs.select(own.alias("id")).groupBy("id").count().where(f"count > 1 or id is null or id = {NO_ID}").isEmpty():
-        return docs.withColumn("_row", own)
+        return docs.withColumn(row, own), row
     # The place in the input parts equal rows of one large group.
-    placed = docs.withColumn("_row", F.monotonically_increasing_id()).orderBy(own.asc_nulls_first(), "text", "_row")
-    return stored(placed.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    placed = docs.withColumn(row, F.monotonically_increasing_id()).orderBy(own.asc_nulls_first(), "text", row)
+    return stored(placed.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
 
+def _decided(docs: DataFrame, decide, text: str | None = None, default: bool = False) -> DataFrame:
+    """docs as decide() leaves them: rows in doc_id, text (and lang, source) to decisions by doc_id.
 
-def _as_docs(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("doc_id", F.col("_row")).drop("_row")
+    Without `text` the rows that decisions name stay as they are. With it, decisions have a column of that name, which takes the place of the
+    text; rows without a decision go, or stay with their own text if `default`. Other columns, whatever their names, stay with their rows.
+    """
+    rows, row = _keyed(docs)
+    given = [F.col(row).alias("doc_id"), *(F.col(c) for c in ("text", "lang", "source") if c in docs.columns)]
+    found, columns = decide(rows.select(*given)), [F.col(f"`{c}`") for c in docs.columns]
+    if text is None:
+        return rows.join(found.select(F.col("doc_id").alias(row)), row, "left_semi").select(columns)
+    new, hit = _fresh(rows, "_new", "_hit")
+    joined = rows.join(found.select(F.col("doc_id").alias(row), F.col(text).alias(new), F.lit(True).alias(hit)), row, "left" if default else "inner")
+    joined = joined.withColumn("text", F.when(F.col(hit), F.col(new)).otherwise(F.col("text")))
+    return joined.withColumn("n_chars", F.length("text").cast("long")).select(columns) if "n_chars" in docs.columns else joined.select(columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    rows = _keyed(docs)
-    kept = judge(_as_docs(rows)).where("kept").select(F.col("doc_id").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(docs.columns)
+    """Documents that the rules reject go: null and empty texts among them. Repeated rows are judged each, so all or none of them stay.
+
+    A null or repeated doc_id parts no rows and joins none. An empty table gives none.
+    """
+    return _decided(docs, lambda d: judge(d).where("kept"))
 
 
 def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines like earlier ones go; a document of which no line is left goes with them."""
-    rows = _keyed(docs)
-    found = line_dedup(_as_docs(rows)).where("n_kept > 0").select(F.col("doc_id").alias("_row"), F.col("text").alias("new_text"))
-    joined = rows.drop("text").join(found, "_row").withColumn("text", F.col("new_text")).withColumn("n_chars", F.length("text").cast("long"))
-    return joined.select(docs.columns)
+    """Lines like earlier ones go; a document of which no line is left goes with them, and so do null and empty texts.
+
+    Rows that share a doc_id, or have none, are documents of their own, in the order of their texts; of equal rows the first stays. An empty
+    table gives none.
+    """
+    return _decided(docs, lambda d: line_dedup(d).where("n_kept > 0"), "text")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies stays."""
-    rows = _keyed(docs)
-    first = simhash_groups(_as_docs(rows)).where("doc_id = component_id").select(F.col("doc_id").alias("_row"))
-    return rows.join(first, "_row", "left_semi").select(docs.columns)
+    """The first document of each group of near copies stays; null and empty texts are one group.
+
+    Rows that share a doc_id, or have none, are documents of their own, in the order of their texts. An empty table gives none.
+    """
+    return _decided(docs, lambda d: simhash_groups(d).where("doc_id = component_id"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of repeated windows go. Where nothing is removed a text stays as it is, white space included."""
-    rows = _keyed(docs)
-    found = substring_dedup(_as_docs(rows)).where("n_removed > 0").select(F.col("doc_id").alias("_row"), F.col("kept_text").alias("new_text"))
-    joined = rows.withColumnRenamed("text", "own").join(found, "_row", "left")
-    return joined.withColumn("text", F.coalesce("new_text", "own")).withColumn("n_chars", F.length("text").cast("long")).where("text <> ''").select(docs.columns)
+    """Words of repeated windows go, and documents of which none is left. Where nothing is removed a text stays as it is, white space included.
+
+    Null and empty texts go. Rows that share a doc_id, or have none, are documents of their own, in the order of their texts; of equal rows
+    of 20 words or more the first stays. An empty table gives none.
+    """
+    return _decided(docs, lambda d: substring_dedup(d).where("n_removed > 0"), "kept_text", default=True).where("text <> ''")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences. Repeated rows, and rows without a doc_id or text, are packed each; an empty table gives none."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
