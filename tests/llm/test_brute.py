@@ -350,8 +350,15 @@ def test_pipeline_keeps_each_row(spark, tmp_path):
     a, b, c, d, e = (say(24) for _ in range(5))
     part = say(21)
     rows = [(5, a), (5, a), (6, b), (6, "too short"), (7, say(12) + "\n" + say(12)), (7, c), (None, d), (None, d), (None, e), (8, f"{say(5)} {part}"), (9, f"{part} {say(6)}"), (10, None), (11, a), (12, f"{say(11)}\n{c}")]
-    rows = [(i, t, "en", "web", len(t or "")) for i, t in rows]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(i, t, "en", "web", len(t or ""), f"mine {n}", 1, None, "x", n) for n, (i, t) in enumerate(rows)]
+    extra = "doc_id long, text string, lang string, source string, n_chars long, new_text string, own int, _row long, _New string, `a.b` int"
+    docs = spark.createDataFrame(rows, extra).repartition(3)
+    docs.drop("a.b").write.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns and stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        own = {x["a.b"]: (x.doc_id, x.new_text) for x in kept.collect()}
+        assert own and all(own[n] == (rows[n][0], rows[n][5]) for n in own), name
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     order = lambda ds: sorted(ds, key=lambda x: (x[0] is not None, x[0] or 0, (x[1] or "").encode()))
     now = order((i, t) for i, t, *_ in rows if len(words(t)) >= 10)

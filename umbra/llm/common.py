@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,15 +19,23 @@ NO_ID = -(1 << 63)
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where that setting is unset, as in tests on one machine, a temporary folder takes its place.
+    Only where that setting is unset and all tasks run on this machine, as in tests, a temporary folder takes its place.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="umbra-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = _own_folder()
     return f"{base.rstrip('/')}/umbra-{name}-{uuid.uuid4().hex}"
 
 
+@cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="umbra-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends here and a lost executor costs no recomputation."""
     spark = df.sparkSession
