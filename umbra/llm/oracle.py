@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import fingerprints as fp
 from . import quality as q
+from .chat import Template
 
 _s = lambda x: "'" + x.replace("'", "''") + "'"
 #: A word, and white space, in the dialect of the patterns here.
@@ -47,4 +48,71 @@ OP10 = f"""with base as (select doc_id, coalesce(text, '') as text, length(coale
   select doc_id, n as n_chars, sha256(edited) as edited_sha256, a as fingerprint, c as edited_fingerprint, {_near('a', 'c')} as near_edited, {_near('a', 'b')} as near_next,
     len(list_filter(list_distinct({_every('v')}), lambda x: not list_contains({_every('t')}, x)))::bigint as n_edited_paragraphs from prints"""
 
-ORACLE = {"op10_fingerprints": OP10}
+
+def _windows(width: int) -> str:
+    """doc_id, i, w and g: every word, and the text of the window of `width` words that begins with it, null where there is none."""
+    return f"""(select doc_id, i, w, case when count(*) over s = {width} then string_agg(w, ' ') over s end as g from
+      (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{_W}')) as w, generate_subscripts(regexp_extract_all(coalesce(text, ''), '{_W}'), 1) as i from documents)
+      window s as (partition by doc_id order by i rows between current row and {width - 1} following))"""
+
+
+OP6 = f"""with w as {_windows(20)}, again as (select *, coalesce(g is not null and row_number() over (partition by g order by doc_id, i) > 1, false) as later from w),
+  gone as (select doc_id, i, w, bool_or(later) over (partition by doc_id order by i rows between 19 preceding and current row) as gone from again),
+  kept as (select doc_id, count(*) as n, count(*) filter (gone) as r, string_agg(w, ' ' order by i) filter (not gone) as t from gone group by 1)
+  select d.doc_id, coalesce(n, 0) as n_words, coalesce(r, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from documents d left join kept k on d.doc_id = k.doc_id"""
+
+OP2 = f"""with every as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as p from documents),
+  own as (select doc_id, line, row_number() over (partition by doc_id order by min(p)) - 1 as i from every where regexp_matches(line, '{_W}') group by 1, 2),
+  class as (select line, min(struct_pack(doc_id := doc_id, i := i)) as spot, row_number() over () as id from own group by 1),
+  token as (select distinct id, unnest(regexp_extract_all(line, '{_W}')) as w from class),
+  sized as (select id, count(*) as n from token group by 1),
+  rare as (select t.id, t.w, s.n, row_number() over (partition by t.id order by f.c, t.w) as r from token t join (select w, count(*) as c from token group by 1) f on t.w = f.w join sized s on t.id = s.id),
+  head as (select h.id, w, n, c.spot from rare h join class c on h.id = c.id where r <= n - (4 * n + 4) // 5 + 1),
+  pair as (select distinct a.id as x, b.id as y, a.n as n, b.n as m from head a join head b on a.w = b.w and a.spot < b.spot and 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+  near as (select distinct y from (select x, y, n, m, count(*) as s from pair join token t on t.id = x join token u on u.id = y and u.w = t.w group by 1, 2, 3, 4) where 5 * s >= 4 * (n + m - s)),
+  kept as (select spot.doc_id as doc_id, spot.i as i from class where id not in (select y from near))
+  select d.doc_id, coalesce(n, 0) as n_lines, coalesce(n, 0) - coalesce(k, 0) as n_removed, coalesce(l, '') as kept_lines from documents d
+  left join (select doc_id, count(*) as n from own group by 1) o on d.doc_id = o.doc_id left join (select doc_id, count(*) as k, string_agg(i::varchar, ',' order by i) as l from kept group by 1) z on d.doc_id = z.doc_id"""
+
+_t = Template()
+_heads = "[" + "".join(sorted({"\\" + c[0] if c[0] in "[]^" else c[0] for c in _t.controls})) + "]"
+_rests = "|".join(sorted({"".join("\\" + c if c in "[]()|/." else c for c in x[1:]) for x in _t.controls})).replace("\\/", "/")
+_long = lambda x: f"(length({x}) + len(regexp_extract_all({x}, {_s(_heads + chr(92) * 2 + '*(?:' + _rests + ')')})))"
+_marks = "case role " + " ".join(f"when {_s(r)} then {len(m.open) + len(m.close)}" for r, m in _t.turns.items()) + f" else {len(_t.role) + len(_t.named) + len(_t.role_close)} + {_long('role')} end"
+_moves = "case s || ' ' || r " + " ".join(f"when {_s(f'{a} {b}')} then {_s(b)}" for a, bs in _t.moves.items() for b in bs) + " else '' end"
+_loss = ", ".join(_s(r) for r, m in _t.turns.items() if m.loss)
+OP3 = f"""with rows as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, i, x, '</s>[INST] ok [/INST]' from (values (0, 'user'), (1, 'assistant')) t(i, x)),
+  made as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as turns, coalesce(string_agg(text, '' order by turn, role, text) filter (role in ({_loss})), '') as loss,
+    sum({_long('text')} + {_marks})::bigint as formatted_chars, list(role order by turn, role, text) as roles from rows group by 1)
+  select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars, list_reduce([{_s(_t.start)}] || roles, lambda s, r: {_moves}) in ({', '.join(map(_s, _t.ends))}) as valid from made"""
+
+
+def _left(i: int) -> str:
+    """What is left of the text when the first i classes of characters are taken out."""
+    out = "text"
+    for _, pattern in q._STEPS[:i]:
+        out = f"regexp_replace({out}, {_s(pattern)}, '', 'g')"
+    return out
+
+
+_n = len(q._STEPS)
+_js = lambda p, r: f"sqrt(greatest(0.0::double, list_sum(list_transform(list_zip({p}, {r}), lambda z: (case when z[1] > 0 then z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) else 0.0 end) + (case when z[2] > 0 then z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) else 0.0 end))) / 2))"
+_rest = lambda x: f"({x} || [greatest(0.0::double, 1.0::double - coalesce(list_sum({x}), 0.0))])"
+_own_words = "list_transform(top, lambda x: coalesce(len(list_filter(ws, lambda y: y = x.w)), 0) / greatest(n_words, 1)::double)"
+_pad = lambda x: f"list_resize(coalesce({x}, []::double[]), {q.COMMON}, 0.0::double)"
+OP1 = f"""with own as (select doc_id, coalesce(text, '') as text, coalesce(lang, '') as lang from documents),
+  word as (select lang, w, count(*) as n from (select lang, unnest(string_split_regex(text, '{_B}+')) as w from own) where regexp_matches(w, '^[\p{{L}}\p{{M}}]+$') group by 1, 2),
+  tops as (select lang, list(struct_pack(w := w, n := n) order by r) as top from (select *, row_number() over (partition by lang order by n desc, w) as r from word) where r <= {q.COMMON} group by 1),
+  five as {_windows(5)}, twice as (select *, g is not null and count(*) over (partition by doc_id, g) > 1 as again from five),
+  covered as (select doc_id, count(*) filter (c) as n from (select doc_id, bool_or(again) over (partition by doc_id order by i rows between 4 preceding and current row) as c from twice) group by 1),
+  counted as (select doc_id, own.lang, regexp_extract_all(text, '{_W}') as ws, len(regexp_extract_all(text, '{_W}')) as n_words, length(text) as n_chars, [{', '.join(f'length({_left(i)}) - length({_left(i + 1)})' for i in range(_n))}, length({_left(_n)})] as classes,
+    length(text) - length(regexp_replace(text, '{_B}+', '', 'g')) as n_space, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_W}')) as ls, coalesce(c.n, 0) as n_repeat_words, top from own left join covered c using (doc_id) left join tops on own.lang = tops.lang),
+  refs as (select lang, list_transform([{', '.join(f'sum(classes[{i + 1}])' for i in range(_n + 1))}], lambda x: x / greatest(sum(n_chars), 1)::double) as cs, any_value(list_transform(top, lambda x: x.n::double)) as ns, greatest(sum(n_words), 1)::double as total from counted group by 1),
+  judged as (select c.*, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+    case when n_chars >= {q.LEAST_CHARS} then {_js('list_transform(classes, lambda x: x / greatest(n_chars, 1)::double)', 'cs')} end as cd,
+    case when n_words >= {q.LEAST_WORDS} then {_js(_rest(_pad(_own_words)), _rest(_pad('list_transform(ns, lambda x: x / total)')))} end as wd from counted c join refs r on c.lang = r.lang)
+  select doc_id, n_words, n_chars - n_space as word_chars, n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines, n_repeat_words, base_failed, round(cd, 6) as class_distance, round(wd, 6) as word_distance,
+    not base_failed and coalesce(cd, 0) <= {q.CLASS_DISTANCE} and coalesce(wd, 0) <= {q.WORD_DISTANCE} as kept from judged"""
+
+ORACLE = {"op1_quality_rules": OP1, "op2_line_dedup": OP2, "op3_chat_formatting": OP3, "op6_substring_dedup": OP6, "op10_fingerprints": OP10}

@@ -116,4 +116,6 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The judgement of every document, distances to six digits."""
+    judged = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return judged.withColumn("class_distance", F.round("class_distance", 6)).withColumn("word_distance", F.round("word_distance", 6))
