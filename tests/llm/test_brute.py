@@ -70,7 +70,9 @@ def test_substring(docs, made):
     assert sum(v[1] for v in want.values()) > 1000
 
 
-def test_suffix(docs, made):
+@pytest.mark.parametrize("step", [suffix_dedup.STEP, 300])
+def test_suffix(docs, made, monkeypatch, step):
+    monkeypatch.setattr(suffix_dedup, "STEP", step)
     seen, want = set(), {}
     for d, t, *_ in made:
         b = (t or "").encode()
@@ -84,19 +86,31 @@ def test_suffix(docs, made):
     assert by_id(suffix_dedup.suffix_dedup(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
-def test_huge_texts_in_parts(docs, monkeypatch):
-    sub, suf = by_id(substring_dedup.substring_dedup(docs), "n_removed"), by_id(suffix_dedup.suffix_dedup(docs), "n_removed")
+def test_cuts_of_huge_texts(made, monkeypatch):
     monkeypatch.setattr(blocks, "HUGE", 2000)
-    big = docs.collect()[0]
-    text = max((r.text or "" for r in docs.collect()), key=len)
-    assert len(substring_dedup._cut(text.encode())) > 3 and big
-    parts = substring_dedup._cut(text.encode())
-    n = len(text.split())
-    windows = [base + i for base, p in parts for i in range(len(p.split()) - 19)]
-    assert windows == list(range(n - 19))
+    text = max((m[1] or "" for m in made), key=len)
+    parts, n = substring_dedup._cut(text.encode()), len(text.split())
+    assert len(parts) > 3 and [base + i for base, p in parts for i in range(len(p.split()) - 19)] == list(range(n - 19))
     cut = suffix_dedup._cut(text.encode())
     assert [base + i for base, p in cut for i in range(len(p) - 99)] == list(range(len(text.encode()) - 99))
-    assert sub and suf
+
+
+def test_huge_texts(spark):
+    """Texts beyond HUGE go through both removers in parts: passages that repeat inside one, across its cuts, and in others."""
+    r = random.Random(8)
+    say = lambda n: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(n))
+    passage, long = say(120), say(700_000)
+    assert len(long) > blocks.HUGE
+    words_ = long.split()
+    middle = words_[260_000:260_200]
+    rows = [(1, long), (2, f"{say(30)} {passage}"), (3, f"{say(300_000)} {passage} {say(320_000)} {' '.join(middle)} {say(5)} {passage}"), (4, long), (5, " ".join(words_[len(words_) // 2 - 2000 : len(words_) // 2 + 2000]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sub = {x.doc_id: (x.n_words, x.n_removed) for x in substring_dedup.substring_dedup(df, keep_texts=False).collect()}
+    assert sub == {1: (700_000, 0), 2: (150, 0), 3: (620_445, 440), 4: (700_000, 700_000), 5: (4000, 4000)}
+    suf = {x.doc_id: (x.n_removed, x.n_spans) for x in suffix_dedup.suffix_dedup(df).drop("kept").collect()}
+    assert suf[1] == suf[2] == (0, 0) and suf[4] == (len(long), 1) and suf[5] == (len(rows[4][1]), 1)
+    # A passage and what happens to be alike beside it.
+    assert suf[3][1] == 3 and 0 <= suf[3][0] - (2 * len(passage) + len(" ".join(middle))) <= 30
 
 
 def test_multikey_sort():

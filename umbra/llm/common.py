@@ -26,7 +26,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _own_folder()
-    return f"{base.rstrip('/')}/umbra-{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/umbra-{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+#: Paths handed out and not dropped yet, in order.
+_MADE: list[str] = []
+
+
+def tables() -> list[str]:
+    return list(_MADE)
+
+
+def drop_tables(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete intermediate tables, all of this session's by default. Only what has been computed from them and written is left then."""
+    folders = spark._jvm.org.apache.hadoop.fs
+    for p in _MADE.copy() if paths is None else paths:
+        at = folders.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _MADE.remove(p)
 
 
 @cache

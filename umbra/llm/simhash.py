@@ -15,7 +15,7 @@ SEED, SHINGLE, MOST_BITS = 42, 3, 3
 #: Two of eight bytes differ in a bit at least each, so a pair within MOST_BITS bits has the same byte at this many places.
 LEAST_BYTES = 8 - MOST_BITS
 #: A posting list of more fingerprints is split by two further places.
-HOT = 20_000
+HOT = 2_000
 ROWS = 20_000
 U64 = np.uint64
 

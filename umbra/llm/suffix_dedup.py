@@ -1,32 +1,34 @@
 """Suffix-array dedup: bytes that a repeated string of 100 bytes covers.
 
-Suffixes are kept sparse. Only windows whose anchor (see blocks.py) also occurs elsewhere become suffixes; sampled splitters
-range-partition them by the leading bytes of their anchors, so equal strings meet in one bucket and never straddle a boundary;
-a bucket sorts them by multikey quicksort, eight bytes a key, and marks every later one of equals.
+Suffixes are kept sparse. Only windows whose anchor (see blocks.py) also occurs elsewhere become suffixes. Splitters that Spark samples
+range-partition them by the leading bytes of their anchors, and each partition is sorted by anchor. Equal strings have equal anchors,
+so they lie side by side in one partition and none straddles a boundary. A task goes through its partition a few megabytes at a time,
+what is left of the last anchor being carried into the next ones; there it sorts the suffixes by multikey quicksort, eight bytes a
+key, and marks every later one of equals.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import NO_ID
+from .common import NO_ID, parts, stored
 
 GRAM, WIDTH = 32, 100
 ASKED, FOUND = 1, 2
-#: Rows, of all, from which the splitters are taken.
-SAMPLE = 20_000
+#: Bytes of suffixes that are sorted at a time, and of the partitions in which they lie.
+STEP, PART = 2 << 20, 256 << 20
 U64 = np.uint64
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 _TABLE = np.random.default_rng(100).integers(1, 2**63, 256, dtype=U64) | U64(1)
-#: doc_id, ordinal, first byte, windows, bytes; then what the block has settled itself.
-_TYPES = ("<i8", "<i4", "<i4", "<i4", "u1", "<i4", "<i4", "<i4")
+#: A stretch of text whose windows share an anchor; without anchor the intervals that a block has settled itself.
+STRETCH = "anchor binary, block int, doc_id long, ordinal int, place int, stretch binary"
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -60,10 +62,11 @@ class Anchors:
         self.keys, self.inverse, self.count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
 
 
-def _segments(a: Anchors, n_buckets: int, splitters: list[bytes]) -> list[tuple[int, int, bytes]]:
-    """The stretches of text whose windows have repeated anchors, by range bucket; those that the block itself has earlier are settled here."""
+def _stretches(a: Anchors, n_buckets: int) -> pa.Table:
+    """STRETCH: where anchors are repeated; those that the block itself has earlier are settled here."""
     alive = ((a.count > 1) | a.block.bits(ASKED, a.keys, n_buckets))[a.inverse]
-    found, seen, settled, lo = {}, set(), [], 0
+    seen, settled, lo = set(), [], 0
+    cols: tuple[list, ...] = ([], [], [], [], [])
     for ordinal, shift, data, at, start, n, _ in a.pieces:
         keep = np.flatnonzero(alive[lo : lo + len(at)])
         lo += len(at)
@@ -74,26 +77,25 @@ def _segments(a: Anchors, n_buckets: int, splitters: list[bytes]) -> list[tuple[
                 settled.append((o, s + x, s + x + m + WIDTH - 1))
             else:
                 seen.add(stretch)
-                found.setdefault(bisect_right(splitters, raw[g : g + GRAM]), []).append((int(a.block.ids[o]), o, s + x, m, stretch))
-    known = np.array(settled, "<i4").reshape(-1, 3)
-    rows = []
-    for b, segs in found.items() or ([(0, [])] if len(known) else []):
-        d, o, s, m, t = zip(*segs, strict=True) if segs else ((),) * 5
-        rows.append((b, a.block.block, B.pack(np.array(d, "<i8"), np.array(o, "<i4"), np.array(s, "<i4"), np.array(m, "<i4"), np.frombuffer(b"".join(t), "u1"), *known.T)))
-        known = known[:0]
-    return rows
+                for c, v in zip(cols, (raw[g : g + GRAM], int(a.block.ids[o]), o, s + x, stretch), strict=True):
+                    c.append(v)
+    if settled:
+        for c, v in zip(cols, (None, 0, 0, 0, B.pack(*np.array(settled, "<i4").T)), strict=True):
+            c.append(v)
+    anchor, doc, o, place, stretch = cols
+    return pa.table({"anchor": pa.array(anchor, pa.binary()), "block": pa.array([a.block.block] * len(anchor), pa.int32()), "doc_id": pa.array(doc, pa.int64()), "ordinal": pa.array(o, pa.int32()), "place": pa.array(place, pa.int32()), "stretch": pa.array(stretch, pa.binary())})
 
 
-def multikey(data: np.ndarray, starts: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """For each string of `width` bytes at starts, in order, whether an equal one comes before.
+def multikey(data: np.ndarray, starts: np.ndarray, width: int = WIDTH, group: np.ndarray | None = None) -> np.ndarray:
+    """For each string of `width` bytes at starts, in order, whether an equal one of its group comes before.
 
     Multikey quicksort, eight bytes a key: strings that are alone at a depth drop out, those that tie go on to the next.
     """
     key = np.ndarray((len(data) - 7,), ">u8", np.ascontiguousarray(data), strides=(1,)) if len(data) >= 8 else np.zeros(0, ">u8")
-    mine, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
+    mine, group = np.arange(len(starts)), np.zeros(len(starts), np.int64) if group is None else group
     for depth in [*range(0, width - 8, 8), width - 8]:
         k = key[starts[mine] + depth].astype(U64)
-        order = np.lexsort((k, group)) if depth else np.argsort(k, kind="stable")
+        order = np.lexsort((k, group))
         mine, group, k = mine[order], group[order], k[order]
         new = np.r_[True, (k[1:] != k[:-1]) | (group[1:] != group[:-1])] if len(k) else np.zeros(0, bool)
         group = np.cumsum(new)
@@ -106,40 +108,68 @@ def multikey(data: np.ndarray, starts: np.ndarray, width: int = WIDTH) -> np.nda
     return out
 
 
-def _judge(rows: pa.Table) -> pa.Table:
-    """A bucket: all its windows by (text, place); each later one of equals is marked; answers as byte intervals by block."""
-    parts = [B.unpack(p, _TYPES) for p in rows.column("payload").to_pylist()]
-    doc, ordinal, place, size = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    data = np.concatenate([p[4] for p in parts])
-    source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    length = size.astype(np.int64) + WIDTH - 1
-    begin = np.cumsum(np.r_[0, length])[:-1].astype(np.int64)
-    raw, seen, distinct = data.tobytes(), set(), []
-    whole = np.zeros(len(doc), bool)
-    for i in np.lexsort((place, ordinal, doc)).tolist():
-        stretch = raw[begin[i] : begin[i] + length[i]]
-        if stretch in seen:
-            whole[i] = True
-        else:
-            seen.add(stretch)
-            distinct.append(i)
-    del seen
-    seg = np.array(distinct, np.int64)
-    n = size[seg].astype(np.int64)
+def _judged(anchor: np.ndarray, block: np.ndarray, doc: np.ndarray, ordinal: np.ndarray, place: np.ndarray, texts: pa.Array) -> list[tuple[int, int, int, bytes]]:
+    """Windows of stretches by anchor (a number for each), text and place; each later one of equals is marked. Answers as byte intervals by block."""
+    ends = np.frombuffer(texts.buffers()[1], "<i4", len(texts) + 1, 4 * texts.offset).astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)
+    begin, length = ends[:-1], np.diff(ends)
+    raw = texts.to_pylist()
+    seen, whole = set(), np.zeros(len(doc), bool)
+    order = np.lexsort((place, ordinal, doc, anchor))
+    for i in order.tolist():  # equal stretches have equal anchors
+        whole[i] = raw[i] in seen
+        seen.add(raw[i])
+    del seen, raw
+    seg = order[~whole[order]]
+    n = length[seg] - WIDTH + 1
     group = np.repeat(np.arange(len(seg)), n)
     within = np.arange(len(group)) - np.repeat(np.cumsum(n) - n, n)
-    flags = multikey(data, begin[seg][group] + within)
+    flags = multikey(data, begin[seg][group] + within, group=anchor[seg][group])
     at, lo, hi = B.runs(flags, group, place[seg][group] + within, WIDTH)
     copies = np.flatnonzero(whole)
     who = np.r_[seg[at] if len(at) else at, copies].astype(np.int64)
     lo, hi = np.r_[lo, place[copies]], np.r_[hi, place[copies] + length[copies]]
-    out, bucket = [], rows.column("bucket")[0].as_py()
-    for i, block in enumerate(rows.column("block").to_pylist()):
-        mine = source[who] == i
-        o, x, y = (np.concatenate([p, q]).astype("<i4") for p, q in zip(parts[i][5:], (ordinal[who[mine]], lo[mine], hi[mine]), strict=True))
-        if len(o):
-            out.append((block, FOUND, bucket, B.pack(o, x, y)))
-    return B.message_table(out)
+    out, by = [], np.argsort(block[who], kind="stable")
+    cuts = np.flatnonzero(np.diff(block[who][by])) + 1
+    for x in np.split(by, cuts) if len(by) else ():
+        out.append((int(block[who[x[0]]]), FOUND, 0, B.pack(ordinal[who[x]].astype("<i4"), lo[x].astype("<i4"), hi[x].astype("<i4"))))
+    return out
+
+
+def _judge(step: int):
+    """Goes through a partition in the order of anchors. What the last anchor of a batch has is carried into the next, for more of it may follow."""
+
+    def run(t: pa.Table) -> list[pa.RecordBatch]:
+        t = t.combine_chunks()
+        codes = t.column("anchor").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        cols = [t.column(c).to_numpy() for c in ("block", "doc_id", "ordinal", "place")]
+        return B.message_table(_judged(codes, *cols, t.column("stretch").combine_chunks())).combine_chunks().to_batches()
+
+    def judge(batches):
+        left, size = [], 0
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                known = pc.is_null(part.column("anchor"))
+                if pc.any(known).as_py():
+                    own = part.filter(known)
+                    yield from B.message_table([(k, FOUND, 0, p) for k, p in zip(own.column("block").to_pylist(), own.column("stretch").to_pylist(), strict=True)]).to_batches()
+                    part = part.filter(pc.invert(known))
+                if not part.num_rows:
+                    continue
+                left.append(part)
+                size += part.nbytes
+                if size >= step:
+                    t = pa.Table.from_batches(left)
+                    n = pc.sum(pc.equal(t.column("anchor"), t.column("anchor")[-1])).as_py()
+                    if n < t.num_rows:
+                        yield from run(t.slice(0, t.num_rows - n))
+                        t = t.slice(t.num_rows - n)
+                    left, size = t.combine_chunks().to_batches(), 0
+        if left:
+            yield from run(pa.Table.from_batches(left))
+
+    return judge
 
 
 def _finish(docs: pa.Table, messages: pa.Table) -> pa.Table:
@@ -160,17 +190,6 @@ def _finish(docs: pa.Table, messages: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(block.ids, long, mask=block.ids == NO_ID), "n_bytes": pa.array(n_bytes, long), "n_removed": pa.array(n_removed, long), "n_spans": pa.array(n_spans, long), "kept": pa.array(kept, pa.binary()), "kept_sha256": pa.array(shas, pa.string())})
 
 
-def splitters(plan: B.Plan) -> list[bytes]:
-    """n_buckets - 1 strings that part about SAMPLE places of the corpus, a random one in each sampled text, evenly."""
-    if plan.n_buckets == 1:
-        return []
-    data = F.encode("text", "utf-8")
-    at = (1 + F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.octet_length("text") - GRAM))).cast("int")
-    some = plan.docs.sample(min(1.0, SAMPLE / max(1, plan.n_docs)), seed=5).where(F.octet_length("text") >= WIDTH)
-    got = sorted(bytes(r[0]) for r in some.select(F.substring(data, at, GRAM)).collect())
-    return sorted({got[len(got) * i // plan.n_buckets] for i in range(1, plan.n_buckets)}) if got else []
-
-
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """Remove every byte that a 100-byte string covers which also starts earlier in the corpus.
 
@@ -182,17 +201,21 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     order of their texts. Other columns, whatever their names, are not read.
     """
     plan = B.Plan(docs)
-    n, cuts = plan.n_buckets, splitters(plan)
+    n = plan.n_buckets
 
     def first(d: pa.Table, m: pa.Table) -> pa.Table:
         a = Anchors(B.Block(d, m))
         return B.ask(a.block.block, a.keys, n)
 
     def second(d: pa.Table, m: pa.Table) -> pa.Table:
-        return B.out_table(_segments(Anchors(B.Block(d, m)), n, cuts))
+        return _stretches(Anchors(B.Block(d, m)), n)
 
     asked = plan.reps.unionByName(B.answers(plan.visit(plan.reps, first, B.OUT), ASKED))
-    found = plan.visit(asked, second, B.OUT).groupBy("bucket").applyInArrow(_judge, B.MESSAGE)
+    made = stored(plan.visit(asked, second, STRETCH), "stretches")
+    n_bytes = made.agg(F.sum(F.octet_length("stretch"))).first()[0] or 0
+    parts_ = max(parts(docs.sparkSession), -(-n_bytes // PART))
+    dealt = made.repartitionByRange(parts_, "anchor").sortWithinPartitions("anchor")
+    found = dealt.mapInArrow(_judge(STEP), B.MESSAGE)
     return plan.visit(plan.reps.unionByName(found), _finish, RESULT)
 
 
