@@ -15,6 +15,7 @@ Blocks are a function of doc_id, sorted by doc_id inside, so any lost task gives
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -35,14 +36,19 @@ HUGE = 4 << 20
 
 
 class Plan:
-    """Documents by block, and how many blocks and buckets suit their size."""
+    """Documents by block, and how many blocks and buckets suit their size.
 
-    def __init__(self, docs: DataFrame, small: int = 2 << 20, large: int = 64 << 20):
+    Both grow with the square root of the corpus, so that a block has about eight anchors for each bucket it writes to at any size: at 100 TB
+    both hold 160 MB of text, and the messages of a pass stay under the text itself.
+    """
+
+    def __init__(self, docs: DataFrame, small: int = 2 << 20, large: int = 256 << 20):
         own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
         self.n_docs, n_bytes = own.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
         n_bytes = n_bytes or 0
-        self.n_blocks = max(1, -(-n_bytes // min(large, max(small, n_bytes >> 12))))
-        self.n_buckets = max(1, -(-n_bytes // (8 << 20)))
+        side = min(large, math.isqrt(256 * n_bytes))
+        self.n_blocks = max(1, -(-n_bytes // max(small, side)))
+        self.n_buckets = max(1, -(-n_bytes // max(4 * small, side)))
         self.docs = own.select(self._block(F.col("doc_id")).alias("block"), "doc_id", "text")
         # One row per distinct text: the smallest doc_id that has it.
         by_text = own.groupBy(F.unhex(F.md5("text")).alias("digest")).agg(F.min("doc_id").alias("doc_id"))
