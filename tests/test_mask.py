@@ -75,3 +75,11 @@ def test_usable_documents(spark, tmp_path):
     rows = [(0, "x" * 30 + "\x01" * 30, False), (3, "\x01\x02\x03" + "x" * 100, True), (6, "\x01\x02\x03" + "x" * 20, False), (9, "plain", True), (1, " \n", False), (2, "\x01" * 3, False)]
     spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {x.doc_id: x.usable for x in QUERIES["usable_documents"](spark, str(tmp_path)).collect()} == {i: u for i, _, u in rows}
+
+
+def test_own_detectors(spark):
+    """A function of the text among the detectors claims after the built-in ones."""
+    tickets = lambda t: M.spans(t, F.lit(r"T-\d+|x@y\.com"), F.lit(9), F.lit("Ticket"), "own")
+    docs = spark.createDataFrame([(1, "T-1 of x@y.com, T-22")], "doc_id long, text string")
+    got = M.claims(docs, detectors=("Email", tickets)).orderBy("seq").collect()
+    assert [(r.category, r.text, r.start) for r in got] == [("Email", "x@y.com", 7), ("Ticket", "T-1", 0), ("Ticket", "T-22", 16)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ HEAD = 4
 #: Numbers that a running sum adds up at a time.
 CHUNK = 64
 DETECTORS = {"Email": L.EMAIL, "Phone": L.PHONE, "UEN": L.UEN, "ABN": L.ABN, "Address": L.ADDRESS}
+#: What finds spans in a text: a function of the text's Column to an array of SPAN. spans() makes one of a pattern.
+Detector = Callable[[Column], Column]
 #: A list of known entities: (value, category) pairs, or rows of value, category and row_no as entity_rows() gives them.
 Entities = list | DataFrame
 
@@ -91,10 +95,10 @@ def joined_list(docs: DataFrame, entities: DataFrame, key: str, text: str) -> Da
     return near.select(key, F.transform("near", lambda e: F.struct(e["value"].alias("value"), e["category"].alias("category"))).alias("near"))
 
 
-def detected(text: Column, near: Column | None = None, detectors: tuple[str, ...] = tuple(DETECTORS), found: Column | None = None) -> Column:
+def detected(text: Column, near: Column | None = None, detectors: tuple[str | Detector, ...] = tuple(DETECTORS), found: Column | None = None) -> Column:
     """Candidates in the order of their claims: known entities (longest first), email, phone, UEN, ABN, then what a tagger found or else addresses.
 
-    near: array of value and category. detectors: those that run, by category. found: array of text, category, start, end, from ner.candidates().
+    near: array of value and category. detectors: those that run, by category; functions among them go last, in their order. found: array of text, category, start, end, from ner.candidates().
     """
     out = []
     if near is not None:
@@ -112,6 +116,7 @@ def detected(text: Column, near: Column | None = None, detectors: tuple[str, ...
     if found is not None:
         own = lambda s: F.struct(F.lit(len(DETECTORS)).alias("tier"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), s["category"].alias("category"), F.lit("ner").alias("source"), s["text"].alias("group_key"))
         out.append(F.transform(found, own))
+    out += [d(text) for d in detectors if callable(d)]
     return F.concat(*out) if out else F.expr(NONE)
 
 
@@ -167,7 +172,7 @@ def _prepared(docs: DataFrame, entities: Entities, key: str, text: str) -> tuple
     return docs, listed(F.col(text), longest) if longest else None
 
 
-def claims(docs: DataFrame, entities: Entities = (), use_regex: bool = True, key: str = "doc_id", text: str = "text", detectors: tuple[str, ...] = tuple(DETECTORS), found: str | None = None) -> DataFrame:
+def claims(docs: DataFrame, entities: Entities = (), use_regex: bool = True, key: str = "doc_id", text: str = "text", detectors: tuple[str | Detector, ...] = tuple(DETECTORS), found: str | None = None) -> DataFrame:
     """key, seq and the span of every claim, in the order of the claims. Null text has none. found: a column of ner.candidates()."""
     own, near = _prepared(docs, entities, key, text)
     kept = arbitrate(detected(F.col(text), near, detectors if use_regex else (), F.col(found) if found else None))
@@ -184,7 +189,7 @@ def first_texts(kept: Column) -> Column:
     return F.transform(F.sort_array(F.transform(S.let(by_text, firsts), lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s")))), lambda x: x["s"])
 
 
-def items(docs: DataFrame, entities: Entities = (), use_regex: bool = True, key: str = "doc_id", text: str = "text", detectors: tuple[str, ...] = tuple(DETECTORS), found: str | None = None) -> DataFrame:
+def items(docs: DataFrame, entities: Entities = (), use_regex: bool = True, key: str = "doc_id", text: str = "text", detectors: tuple[str | Detector, ...] = tuple(DETECTORS), found: str | None = None) -> DataFrame:
     """The claims whose text a document has first, with their context."""
     own, near = _prepared(docs, entities, key, text)
     kept = first_texts(arbitrate(detected(F.col(text), near, detectors if use_regex else (), F.col(found) if found else None)))
@@ -349,15 +354,18 @@ def sanitize_name(stem: Column, pairs: Column) -> Column:
 
 
 def dedupe_blobs(blobs: DataFrame, content: Column, key: str) -> DataFrame:
-    """One row per distinct content: the first key, all keys in order, their count."""
-    return blobs.groupBy(F.md5(content).alias("digest")).agg(F.min(key).alias("first_id"), F.sort_array(F.collect_list(key)).alias("all_ids"), F.count("*").alias("n"))
+    """key, digest, first_id (the first key with that content), n (how many have it): a row for each blob, so no group is gathered in one place."""
+    own = blobs.select(key, F.md5(content).alias("digest"))
+    groups = own.groupBy("digest").agg(F.min(key).alias("first_id"), F.count("*").alias("n"))
+    return own.join(groups, "digest").select(key, "digest", "first_id", "n")
 
 
 def zip_names(files: DataFrame, name: str, order: str) -> DataFrame:
     """Names as a zip file takes them: the second of a name gets ' (1)' before its extension, and so on."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
+    placed = numbered(files, [name], order, [], "_z").withColumn("_z", F.col("_z") - 1)
     stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]+)?$", 1), F.regexp_extract(name, r"(\.[^.]+)$", 1)
-    return files.withColumn("zip_name", F.when(n > 0, F.concat(stem, F.lit(" ("), n.cast("string"), F.lit(")"), ext)).otherwise(F.col(name)))
+    numbered_name = F.concat(stem, F.lit(" ("), F.col("_z").cast("string"), F.lit(")"), ext)
+    return placed.withColumn("zip_name", F.when(F.col("_z") > 0, numbered_name).otherwise(F.col(name))).drop("_z")
 
 
 def ocr_lines(words: DataFrame, least: int = 40, dpi: int = 200) -> DataFrame:

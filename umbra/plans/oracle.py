@@ -129,7 +129,7 @@ ORACLE = {
     "verify_clean": f"select doc_id from documents where {_leak} = 0",
     "category_summary": f"""select category, count(*) as n, count(distinct g) as n_groups from (select 'Email' as category, text as g from ({_email}) union all select 'Phone', text from ({{phones}}) union all
       select category, case when tier = 0 then case category when '=Azure' then 'list:acme' when 'Entity' then 'list:acme holdings' else 'list:acme holdings 7 pte ltd' end else text end from ({_claims()})) group by 1""",
-    "blob_dedupe": "select md5(text) as digest, min(doc_id) as first_id, count(*) as n, string_agg(cast(doc_id as varchar), ',' order by doc_id) as all_ids from documents group by 1",
+    "blob_dedupe": "select doc_id, md5(text) as digest, min(doc_id) over (partition by text) as first_id, count(*) over (partition by text) as n from documents",
     "usable_text": f"select doc_id, length(s) > 0 and length(regexp_replace(x, '[^\\x00-\\x08\\x0E-\\x1B]', '', 'g')) / greatest(length(s), 1) < 0.1 as usable from (select doc_id, {_spoilt} as x, regexp_replace({_spoilt}, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}]', '', 'g') as s from documents)",
     "usable_documents": "select doc_id, length(s) > 0 and length(regexp_replace(text, '[^\\x00-\\x08\\x0E-\\x1B]', '', 'g')) / greatest(length(s), 1) < 0.1 as usable from (select doc_id, text, regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}]', '', 'g') as s from documents)",
     "ocr_lines": """select l_orderkey as block, l_suppkey % 2 as par, cast(l_quantity as int) % 2 as line, string_agg(l_returnflag || cast(l_partkey as varchar), ' ' order by l_linenumber, l_returnflag || cast(l_partkey as varchar)) as text,

@@ -181,8 +181,7 @@ def category_summary(spark, d):
 
 
 def blob_dedupe(spark, d):
-    out = M.dedupe_blobs(_docs(spark, d), F.col("text"), "doc_id")
-    return out.select("digest", "first_id", "n", F.array_join(F.col("all_ids").cast("array<string>"), ",").alias("all_ids"))
+    return M.dedupe_blobs(_docs(spark, d), F.col("text"), "doc_id")
 
 
 def usable_text(spark, d):
