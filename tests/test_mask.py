@@ -30,7 +30,7 @@ def test_letters(spark):
     "text,want",
     [
         ("2504-0018", [("Phone", "2504-0018")]), ("PRO-DES-2504-0018", []), ("003300399701002", []), ("2504\n0018", []), ("2025-2026", []), ("34 009 200 686", [("ABN", "34 009 200 686")]),
-        ("201912345A T09LL1234A 6738219C", [("UEN", "201912345A"), ("UEN", "T09LL1234A"), ("UEN", "6738219C")]), ("😀 x@y.com", [("Email", "x@y.com")]), ("", []),
+        ("201912345A T09LL1234A 6738219C", [("UEN", "201912345A"), ("UEN", "T09LL1234A"), ("UEN", "6738219C")]), ("😀 x@y.com", [("Email", "x@y.com")]), ("", []), ("\ufdd0a@b.co\ufdd0 c@d.ef", [("Email", "a@b.co"), ("Email", "c@d.ef")]),
     ],
 )
 def test_detectors(spark, text, want):

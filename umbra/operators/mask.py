@@ -16,6 +16,8 @@ NONE = f"cast(array() as array<{SPAN}>)"
 LITERAL = 1_000
 #: Squashed characters of an entity on which a long list is joined.
 HEAD = 4
+#: A code point that is no character, and so in hardly any text.
+EDGE = "\ufdd0"
 #: Numbers that a running sum adds up at a time.
 CHUNK = 64
 DETECTORS = {"Email": L.EMAIL, "Phone": L.PHONE, "UEN": L.UEN, "ABN": L.ABN, "Address": L.ADDRESS}
@@ -38,25 +40,28 @@ def before(sizes: Column) -> Column:
 
 
 def spans(text: Column, pattern: Column, tier: Column, category: Column, source: str, group: Column | None = None) -> Column:
-    """Every match of pattern as SPAN; offsets are the lengths of the matches and of what lies between them, added up."""
+    """Every match of pattern, none of which is empty, as SPAN; offsets are the lengths of what lies before, added up.
 
-    def made(x: Column) -> Column:
-        m, gaps, starts = x["m"], x["g"], x["at"]
+    The pattern goes through the text once, to put EDGE on either side of each match. A text that has that character itself is searched twice instead.
+    """
 
-        def one(t: Column, i: Column) -> Column:
-            start = F.get(starts, i) + F.length(F.get(gaps, i))
+    def made(x: Column) -> Column:
+        def one(i: Column) -> Column:
+            t, start = F.get(x["parts"], i), F.get(x["at"], i)
             return F.struct(tier.cast("int").alias("tier"), start.alias("start"), (start + F.length(t)).alias("end"), t.alias("text"), category.alias("category"), F.lit(source).alias("source"), (t if group is None else group).alias("group_key"))
 
-        return F.transform(m, one)
+        return F.transform(F.sequence(F.lit(1), F.size(x["parts"]) - 2, F.lit(2)), one)
 
-    def walk(matches: Column) -> Column:
-        def sized(gaps: Column) -> Column:
-            at = before(F.transform(matches, lambda t, i: F.length(t) + F.length(F.get(gaps, i))))
-            return S.let(F.struct(matches.alias("m"), gaps.alias("g"), at.alias("at")), made)
+    def placed(parts: Column) -> Column:
+        some = S.let(F.struct(parts.alias("parts"), before(F.transform(parts, F.length)).alias("at")), made)
+        return F.when(F.size(parts) > 1, some).otherwise(F.expr(NONE))
 
-        return F.when(F.size(matches) > 0, S.let(F.split(text, pattern, -1), sized)).otherwise(F.expr(NONE))
+    def woven(m: Column) -> Column:
+        # What lies between matches and the matches, in turn.
+        return F.flatten(F.transform(F.split(text, pattern, -1), lambda g, i: F.when(i < F.size(m), F.array(g, F.get(m, i))).otherwise(F.array(g))))
 
-    return S.let(F.regexp_extract_all(text, pattern, F.lit(0)), walk)
+    edged = F.split(F.regexp_replace(text, pattern, F.lit(f"{EDGE}$0{EDGE}")), EDGE, -1)
+    return S.let(F.when(F.contains(text, F.lit(EDGE)), S.let(F.regexp_extract_all(text, pattern, F.lit(0)), woven)).otherwise(edged), placed)
 
 
 def squashed(text: Column) -> Column:
