@@ -11,6 +11,7 @@ from ..operators import mask as M
 from ..operators import ner
 from ..operators import review as R
 from ..sources import office, ooxml
+from .queries import WORDS, _docs
 
 EXTENSIONS = [".docx", ".XLSX", ".pptx", ".pdf", ".txt", ""]
 FONTS = ["Arial", "Times New Roman Bold", "CourierNew-Oblique", "Georgia-BoldItalic", "Consolas", "Calibri Bold", "DejaVuSansMono-BoldOblique", "Garamond Italic"]
@@ -28,10 +29,6 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _docs(spark, d):
-    return _table(spark, d, "documents").select("doc_id", "text")
-
-
 def _literals(rows: list[str]):
     return F.array(*map(F.lit, rows))
 
@@ -138,8 +135,6 @@ def mapping_pairs(spark, d):
 
 
 def verify_report(spark, d):
-    from .queries import WORDS
-
     return R.verify_report(_docs(spark, d), WORDS, "doc_id").select("doc_id", "n_leaks", "clean", "any_leak")
 
 

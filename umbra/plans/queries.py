@@ -29,12 +29,19 @@ NAMES = ["ORA_Financials {n}.xlsx", "Cyan_group_listing-{n}.docx", "Cyanide {n}.
 NAME_PAIRS = [("Bed Rock", "Azure"), ("ORA", "Onyx Ridge"), ("Rock", "X"), ("Cyan", "$1")]
 
 
+def spread(texts: DataFrame) -> DataFrame:
+    """texts over all cores where its files have fewer parts than that, as one small file has. Larger inputs stay as they are read."""
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(cores) if texts.rdd.getNumPartitions() < cores else texts
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
 
 
 def _memos(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey as doc_id", MEMO.format(s="string") + " as text")
+    keys = spread(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", "c_nationkey"))
+    return keys.selectExpr("c_custkey as doc_id", MEMO.format(s="string") + " as text")
 
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
