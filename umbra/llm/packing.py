@@ -165,10 +165,19 @@ def _sums(batches):
         yield pa.RecordBatch.from_arrays([b.column("block"), b.column("source"), b.column("k"), pa.array([part] * n, pa.int32()), pa.array(ends - b.column("full").to_numpy(), pa.int64()), pa.array(ends, pa.int64())], ["block", "source", "k", "part", "at", "end"])
 
 
+def _with_before(sizes: DataFrame, queue: str) -> DataFrame:
+    """sizes with a column before: the tokens of a queue in the blocks before each. Blocks are added up by the 256 tasks that made them, then the sums."""
+    own = sizes.withColumn("_g", F.shiftright("block", 40))
+    ahead = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = own.groupBy(queue, "_g").agg(F.sum("n").alias("_s"))
+    bases = sums.select(queue, "_g", F.coalesce(F.sum("_s").over(ahead([queue], "_g")), F.lit(0)).alias("_b"))
+    inside = F.coalesce(F.sum("n").over(ahead([queue, "_g"], "block")), F.lit(0))
+    return own.withColumn("_i", inside).join(bases, [queue, "_g"]).withColumn("before", F.col("_b") + F.col("_i")).drop("_g", "_b", "_i")
+
+
 def _starts(sizes: DataFrame, totals: DataFrame, q: int) -> DataFrame:
     """block, source, queue, before, starts: where the quanta begin of which a block has tokens, in order."""
-    w = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stored(sizes.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))), "offsets")
+    offsets = stored(_with_before(sizes, "source").select("block", "source", "n", "before"), "offsets")
     each = offsets.join(totals, "source").withColumn("k", F.explode(F.sequence(F.expr(f"before div {q}"), F.expr(f"(before + n - 1) div {q}"))))
     full = F.least(F.lit(q).cast("long"), F.col("tokens") - F.col("k") * q)
     each = each.select("block", "source", "k", "before", full.alias("full"), F.when(F.col("k") * q >= F.col("before"), full).otherwise(F.lit(0)).alias("size"), ((F.col("k") * q + F.col("phase") * full) / F.col("share")).alias("due"))
@@ -216,8 +225,9 @@ def pack(docs: DataFrame, tokenizer: str, source: str = "source", targets: dict[
     names = {r["source"]: i for i, r in enumerate(top)}
     order = Order([r["n"] for r in top], shares=[targets.get(r["source"], least) for r in top] if targets and top else None)
     queue = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[F.col("source")] if names else F.lit(0)
-    w = Window.partitionBy("queue").orderBy("block", "source").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stored(sizes.withColumn("queue", queue).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n").withColumn("starts", F.lit(None).cast("array<long>")), "offsets")
+    # A queue is a source, so a block has one row of it.
+    offsets = _with_before(sizes.withColumn("queue", queue), "queue").select("block", "source", "queue", "before", F.lit(None).cast("array<long>").alias("starts"))
+    offsets = stored(offsets, "offsets")
     if offsets.count() <= SMALL:
         offsets = F.broadcast(offsets)
     return blocks.join(offsets, ["block", "source"]).mapInArrow(_place(order), RESULT)

@@ -12,7 +12,7 @@ COMMON = 16
 #: Greatest Jensen-Shannon distances (base 2, from 0 to 1) of a document that is kept.
 CLASS_DISTANCE, WORD_DISTANCE = 0.3, 0.3
 #: A shorter document's histogram says too little, and is not judged.
-LEAST_CHARS, LEAST_WORDS = 200, 100
+LEAST_CHARS, LEAST_WORDS = 200, 80
 #: Languages up to which the references, of a few hundred bytes each, are broadcast.
 LANGUAGES = 1000
 CLASSES = ("lower", "space", "upper", "letter", "digit", "stop", "symbol")
@@ -74,7 +74,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
     Words are [^\\x20\\x09-\\x0D]+. base_failed: under 10 words, or over a fifth of them in repeated windows of five. kept: base passed,
     and neither histogram (character classes, common words) lies beyond its greatest distance from the language's reference, which
-    is counted over all of docs. Histograms of under 200 characters or 100 words are not judged.
+    is counted over all of docs. Histograms of under 200 characters or 80 words are not judged.
 
     Null or empty text: no words, so rejected. A null language is a language. Repeated rows are judged each. An empty table gives
     none. Other columns are not read.
