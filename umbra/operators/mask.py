@@ -13,9 +13,11 @@ from ..functions import scalars as S
 SPAN = "struct<tier:int,start:int,end:int,text:string,category:string,source:string,group_key:string>"
 NONE = f"cast(array() as array<{SPAN}>)"
 #: Rows of a list of known entities up to which it becomes a constant of the plan; a longer one is joined.
-LITERAL = 1_000
-#: Squashed characters of an entity on which a long list is joined.
-HEAD = 4
+LITERAL = 250
+#: Squashed characters of an entity on which a long list is joined, and that are compared before the text is searched.
+HEAD, REACH = 4, 16
+#: Bytes of a list up to which it is broadcast.
+SMALL_LIST = 32 << 20
 #: A code point that is no character, and so in hardly any text.
 EDGE = "\ufdd0"
 #: Numbers that a running sum adds up at a time.
@@ -84,17 +86,20 @@ def listed(text: Column, entities: list[tuple[str, str]]) -> Column:
 def joined_list(docs: DataFrame, entities: DataFrame, key: str, text: str) -> DataFrame:
     """key and near: what listed() gives, for a list of any length, as an equi-join instead of a scan of the list for every text.
 
-    An entity begins where no ASCII word character stands before it, so the first HEAD squashed characters from each such place on (and
-    shorter beginnings, where the list has entities as short) are the keys that meet the list.
+    An entity begins where no ASCII word character stands before it. From each such place on the first REACH squashed characters are
+    taken, each distinct beginning once a text; their first HEAD (and fewer, where the list has entities as short) are the keys that meet the
+    list, and the rest is compared. So a row holds a beginning, never a text.
     """
-    own = entities.select("value", "category", "row_no", squashed(F.col("value")).alias("squashed")).withColumn("head", F.substring("squashed", 1, HEAD))
-    short = [r[0] for r in own.where(F.length("squashed") < HEAD).select(F.length("squashed")).distinct().collect()]
-    starts = F.regexp_extract_all(F.col(text), F.lit(rf"(?<![A-Za-z0-9_])(?=((?:\S(?U:[\s\x1c-\x1f]*)){{1,{HEAD}}}))"), F.lit(1))
-    heads = F.transform(starts, lambda x: F.substring(squashed(x), 1, HEAD))
-    cut = lambda n: F.transform(heads, lambda x: F.substring(x, 1, n))
-    heads = F.array_distinct(F.concat(heads, *map(cut, short)))
-    places = docs.select(key, squashed(F.col(text)).alias("_squashed"), F.explode(heads).alias("head"))
-    pairs = places.join(own, "head").where(F.contains("_squashed", F.col("squashed")))
+    own = entities.select("value", "category", "row_no", squashed(F.col("value")).alias("squashed"))
+    own = own.select("value", "category", "row_no", F.substring("squashed", 1, HEAD).alias("head"), F.substring("squashed", 1, REACH).alias("reach"))
+    size, short = own.agg(F.sum(F.octet_length("value") + 64), F.collect_set(F.when(F.length("head") < HEAD, F.length("head")))).first()
+    if (size or 0) <= SMALL_LIST:
+        own = F.broadcast(own)
+    starts = F.regexp_extract_all(F.col(text), F.lit(rf"(?<![A-Za-z0-9_])(?=((?:\S(?U:[\s\x1c-\x1f]*)){{1,{REACH}}}))"), F.lit(1))
+    begins = F.array_distinct(F.transform(starts, lambda x: F.substring(squashed(x), 1, REACH)))
+    places = docs.select(key, F.explode(begins).alias("begin"))
+    heads = places.select(key, "begin", F.explode(F.array_distinct(F.array(*(F.substring("begin", 1, n) for n in [HEAD, *short])))).alias("head"))
+    pairs = heads.join(own, "head").where(F.startswith("begin", F.col("reach"))).select(key, "row_no", "value", "category").distinct()
     row = F.struct((-F.length("value")).alias("rank"), "row_no", "value", "category")
     near = pairs.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("near"))
     return near.select(key, F.transform("near", lambda e: F.struct(e["value"].alias("value"), e["category"].alias("category"))).alias("near"))
