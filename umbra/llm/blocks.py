@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID
+from .common import NO_ID, alone, trim
 
 MESSAGE = "block int, kind int, bucket int, doc_id long, payload binary"
 OUT = "bucket int, block int, payload binary"
@@ -59,7 +59,13 @@ class Plan:
 
     def visit(self, messages: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
         """f(documents of a block, its messages) for each block."""
-        return self.docs.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(f, schema)
+
+        def one(docs: pa.Table, messages: pa.Table) -> pa.Table:
+            out = f(docs, messages)
+            alone()
+            return out
+
+        return self.docs.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(one, schema)
 
 
 class Block:
@@ -158,6 +164,7 @@ def answers(asked: DataFrame, kind: int) -> DataFrame:
         flags = n[at] > 1
         cuts = np.cumsum([len(p) for p in parts])[:-1]
         bucket = rows.column("bucket")[0].as_py()
+        trim()
         return message_table([(k, kind, bucket, np.packbits(x).tobytes()) for k, x in zip(rows.column("block").to_pylist(), np.split(flags, cuts), strict=True)])
 
     return asked.groupBy("bucket").applyInArrow(answer, MESSAGE)

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +63,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What operators remember in a Python worker, by operator: how to forget it.
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def remember(owner: str, forget: Callable[[], None]) -> None:
+    _REMEMBERED[owner] = forget
+
+
+def alone(owner: str = "") -> None:
+    """In a Python worker that serves one operator after another: forget what others remember, and give free memory back."""
+    for name in [n for n in _REMEMBERED if n != owner]:
+        _REMEMBERED.pop(name)()
+    trim()
+
+
+def trim() -> None:
+    """Give memory that is free back to the system, for workers stay after their task."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -22,8 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import wordids
 from .common import NO_ID, parts, stored
-from .wordids import WordIds
 
 WINDOW, QUANTUM, END = 2048, 128, 1
 #: Sources up to which places come from the formula. Those of more are sorted.
@@ -32,16 +32,13 @@ QUEUES = 256
 SMALL = 50_000
 BLOCK = "block long, source string, n long, doc_ids binary, lengths binary, ids binary"
 RESULT = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_MEMO: dict[str, WordIds] = {}
 
 
 def _tokenise(path: str, most: int = 4 << 20):
     def run(batches):
         from pyspark import TaskContext
 
-        if path not in _MEMO:
-            _MEMO[path] = WordIds(path)
-        memo = _MEMO[path]
+        memo = wordids.shared(path)
         block, size, found = TaskContext.get().partitionId() << 32, 0, {}
         end = np.array([END], "<u4").tobytes()
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import alone, remember
+
 NORMAL, USER, BYTE = 1, 4, 6
 UNIGRAM, BPE = 1, 2
 MARK = "▁"
@@ -294,8 +296,11 @@ _LOADED: dict[str, Transducer] = {}
 
 
 def _loaded(path: str) -> Transducer:
+    """One transducer for all tasks of a Python worker."""
+    alone("sentencepieces")
     if path not in _LOADED:
         _LOADED[path] = Transducer(Model(path))
+        remember("sentencepieces", _LOADED.clear)
     return _LOADED[path]
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import blocks as B
-from .common import NO_ID
+from .common import NO_ID, trim
 
 SHORT, MIDDLE, WIDTH = 5, 10, 20
 LEVEL5, LEVEL10, FOUND = 1, 2, 3
@@ -195,6 +195,7 @@ def _judge(rows: pa.Table) -> pa.Table:
         o, a, b = (np.concatenate([x, y]).astype("<i4") for x, y in zip(known, (ordinal[seg[mine]], lo[mine], hi[mine]), strict=True))
         if len(o):
             out.append((block, FOUND, bucket, B.pack(o, a, b)))
+    trim()
     return B.message_table(out)
 
 

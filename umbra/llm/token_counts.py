@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import alone, remember
 from .wordids import byte_letters
 
 #: Characters of a chunk, and the overlap to begin with.
@@ -128,12 +129,18 @@ class Counter:
                 return p
         return None
 
+def _shared(path: str, fast: tuple[str, str] | None) -> Counter:
+    """One counter for all tasks of a Python worker."""
+    alone("token_counts")
+    if (path, fast) not in _COUNTERS:
+        _COUNTERS[path, fast] = Counter(path, fast)
+        remember("token_counts", _COUNTERS.clear)
+    return _COUNTERS[path, fast]
+
+
 def _counted(path: str, fast, limit: int):
     def run(batches):
-        key = (path, fast)
-        if key not in _COUNTERS:
-            _COUNTERS[key] = Counter(path, fast)
-        c = _COUNTERS[key]
+        c = _shared(path, fast)
         for b in batches:
             sizes, n = [], []
             for t in b.column("text"):

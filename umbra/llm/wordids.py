@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import alone, remember
+
 #: Bytes of text that are cut and looked up at a time, and of runs that the library encodes at a time.
 STEP, GROUP = 4 << 20, 1 << 19
 #: Bytes that an entry of the memo takes beside its run and ids; longer runs are encoded each time they come.
@@ -24,6 +26,18 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
 
 
+_SHARED: dict[str, WordIds] = {}
+
+
+def shared(path: str) -> WordIds:
+    """One memo for all tasks of a Python worker."""
+    alone("wordids")
+    if path not in _SHARED:
+        _SHARED[path] = WordIds(path)
+        remember("wordids", _SHARED.clear)
+    return _SHARED[path]
+
+
 def _classes() -> np.ndarray:
     """The class of each byte. OTHER: no ASCII, control characters, ' (contractions) and < (special strings)."""
     out = np.full(256, OTHER, np.uint8)
@@ -54,7 +68,7 @@ class WordIds:
     other file has the library encode each whole text.
     """
 
-    def __init__(self, path: str, most: int = 48 << 20):
+    def __init__(self, path: str, most: int = 40 << 20):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
