@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordids
-from .common import NO_ID, parts, stored
+from .common import NO_ID, parts, stored, trim
 
 WINDOW, QUANTUM, END = 2048, 128, 1
 #: Sources up to which places come from the formula. Those of more are sorted.
@@ -59,6 +59,7 @@ def _tokenise(path: str, most: int = 4 << 20):
                     yield flush()
                     block, size = block + 1, 0
                     found.clear()
+                    trim()
         if found:
             yield flush()
 

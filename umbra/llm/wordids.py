@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from .common import alone, remember
 
 #: Bytes of text that are cut and looked up at a time, and of runs that the library encodes at a time.
-STEP, GROUP = 4 << 20, 1 << 19
+STEP, GROUP = 2 << 20, 1 << 18
 #: Bytes that an entry of the memo takes beside its run and ids; longer runs are encoded each time they come.
 ENTRY, LONG = 120, 64
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -68,7 +68,7 @@ class WordIds:
     other file has the library encode each whole text.
     """
 
-    def __init__(self, path: str, most: int = 40 << 20):
+    def __init__(self, path: str, most: int = 24 << 20):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
