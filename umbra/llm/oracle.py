@@ -101,7 +101,7 @@ _rest = lambda x: f"({x} || [greatest(0.0::double, 1.0::double - coalesce(list_s
 _own_words = "list_transform(top, lambda x: coalesce(len(list_filter(ws, lambda y: y = x.w)), 0) / greatest(n_words, 1)::double)"
 _pad = lambda x: f"list_resize(coalesce({x}, []::double[]), {q.COMMON}, 0.0::double)"
 OP1 = f"""with own as (select doc_id, coalesce(text, '') as text, coalesce(lang, '') as lang from documents),
-  word as (select lang, w, count(*) as n from (select lang, unnest(string_split_regex(text, '{_B}+')) as w from own) where regexp_matches(w, '^[\p{{L}}\p{{M}}]+$') group by 1, 2),
+  word as (select lang, w, count(*) as n from (select lang, unnest(string_split_regex(text, '{_B}+')) as w from own) where regexp_matches(w, '^[\\p{{L}}\\p{{M}}]+$') group by 1, 2),
   tops as (select lang, list(struct_pack(w := w, n := n) order by r) as top from (select *, row_number() over (partition by lang order by n desc, w) as r from word) where r <= {q.COMMON} group by 1),
   five as {_windows(5)}, twice as (select *, g is not null and count(*) over (partition by doc_id, g) > 1 as again from five),
   covered as (select doc_id, count(*) filter (c) as n from (select doc_id, bool_or(again) over (partition by doc_id order by i rows between 4 preceding and current row) as c from twice) group by 1),
