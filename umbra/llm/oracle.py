@@ -115,4 +115,36 @@ OP1 = f"""with own as (select doc_id, coalesce(text, '') as text, coalesce(lang,
   select doc_id, n_words, n_chars - n_space as word_chars, n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines, n_repeat_words, base_failed, round(cd, 6) as class_distance, round(wd, 6) as word_distance,
     not base_failed and coalesce(cd, 0) <= {q.CLASS_DISTANCE} and coalesce(wd, 0) <= {q.WORD_DISTANCE} as kept from judged"""
 
-ORACLE = {"op1_quality_rules": OP1, "op2_line_dedup": OP2, "op3_chat_formatting": OP3, "op6_substring_dedup": OP6, "op10_fingerprints": OP10}
+def _lloyd(rounds: int = 6, parts: int = 8, entries: int = 16) -> str:
+    """Every distance of every round, without bounds."""
+    steps = [
+        """kept as materialized (select vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as v from embeddings
+ where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        f"parted as materialized (select vec_id, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] as x from kept, unnest(range({parts})) as u(p))",
+        f"seeds as (select vec_id, row_number() over (order by vec_id) - 1 as e from kept qualify e < {entries})",
+        "book0 as materialized (select p, e, x as c from parted join seeds using (vec_id))",
+    ]
+    for r in range(rounds + 1):
+        d = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint"
+        steps.append(f"near{r} as materialized (select vec_id, p, any_value(x) as x, min({d}) as d, arg_min(e, {d} * {entries} + e) as e from parted join book{r} using (p) group by vec_id, p)")
+        if r < rounds:
+            mean = f"select p, e, i, floor(sum(y)::double / count(*))::bigint as y from (select p, e, unnest(x) as y, unnest(range(len(x))) as i from near{r}) group by p, e, i"
+            steps.append(f"book{r + 1} as materialized (select b.p, b.e, coalesce(m.c, b.c) as c from book{r} b left join (select p, e, list(y order by i) as c from ({mean}) group by p, e) m on b.p = m.p and b.e = m.e)")
+    return f"""with {", ".join(steps)},
+ coded as (select vec_id, string_agg(printf('%02x', e), '' order by p) as code, sum(d)::bigint as error from near{rounds} group by vec_id)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error,
+ (select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) from book{rounds}) as codebooks_sha256 from coded join kept using (vec_id)"""
+
+
+OP13 = """with given as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, embedding from embeddings),
+ own as materialized (select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from given
+ where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ scored as materialized (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score
+ from own a join own b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+ positives as (select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+ qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by n.score desc, n.vec_id)::int as rank, n.vec_id as negative_id, positive_score, n.score as negative_score
+ from positives join scored n using (anchor_id) where not n.same and 30 * positive_score <= 100 * n.score and 100 * n.score <= 90 * positive_score
+ qualify rank <= 10"""
+
+ORACLE = {"op1_quality_rules": OP1, "op2_line_dedup": OP2, "op3_chat_formatting": OP3, "op6_substring_dedup": OP6, "op10_fingerprints": OP10, "op11_code_compression": _lloyd(), "op13_hard_negatives": OP13}

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op3_chat_formatting
+from .code_compression import op11_code_compression
 from .fingerprints import op10_fingerprints
+from .hard_negatives import op13_hard_negatives
 from .line_dedup import op2_line_dedup
 from .oracle import ORACLE
 from .packing import op8_packing
@@ -21,6 +23,7 @@ from .token_counts import op9_token_counts
 
 _ALL = (
     op1_quality_rules, op2_line_dedup, op3_chat_formatting, op4_sentencepiece, op5_suffix_dedup, op6_substring_dedup, op7_simhash, op8_packing, op9_token_counts, op10_fingerprints,
+    op11_code_compression, op13_hard_negatives,
 )
 
 
