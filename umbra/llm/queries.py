@@ -13,6 +13,7 @@ from .hard_negatives import op13_hard_negatives
 from .line_dedup import op2_line_dedup
 from .oracle import ORACLE
 from .packing import op8_packing
+from .personal_data import op12_personal_data
 from .quality import op1_quality_rules
 from .sentencepieces import op4_sentencepiece
 from .simhash import op7_simhash
@@ -23,7 +24,7 @@ from .token_counts import op9_token_counts
 
 _ALL = (
     op1_quality_rules, op2_line_dedup, op3_chat_formatting, op4_sentencepiece, op5_suffix_dedup, op6_substring_dedup, op7_simhash, op8_packing, op9_token_counts, op10_fingerprints,
-    op11_code_compression, op13_hard_negatives,
+    op11_code_compression, op12_personal_data, op13_hard_negatives,
 )
 
 
