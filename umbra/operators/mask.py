@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from ..functions import scalars as S
+from .numbering import folder_names, numbered, zip_names  # noqa: F401
 
 SPAN = "struct<tier:int,start:int,end:int,text:string,category:string,source:string,group_key:string>"
 NONE = f"cast(array() as array<{SPAN}>)"
@@ -207,21 +208,6 @@ def items(docs: DataFrame, entities: Entities = (), use_regex: bool = True, key:
     return rows.withColumn("context", S.snippet(F.col("_whole"), F.col("s.text"))).select(key, "seq", "s.*", "context")
 
 
-def numbered(rows: DataFrame, groups: list[str], key: str, order: list[str], name: str) -> DataFrame:
-    """rows with the place of each, from 1, in its group by key and order. No task sees more than one bucket of keys of a group.
-
-    A bucket is a run of 4,096 numbers or the strings with their first characters alike, so buckets lie in the order of their keys.
-    """
-    kind = rows.schema[key].dataType.typeName()
-    bucket = F.substring(key, 1, 4) if kind == "string" else F.floor(F.col(key) / 4096)
-    own = rows.withColumn("_b", bucket)
-    sizes = own.groupBy(*groups, "_b").agg(F.count("*").alias("_c"))
-    ahead = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select(*groups, "_b", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_a"))
-    inside = F.row_number().over(Window.partitionBy(*groups, "_b").orderBy(key, *order))
-    return own.withColumn("_n", inside).join(bases, [*groups, "_b"]).withColumn(name, F.col("_a") + F.col("_n")).drop("_a", "_b", "_n")
-
-
 def with_item_ids(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """found with an id from 0 in the order of (key, seq)."""
     return numbered(found, [], key, ["seq"], "id").withColumn("id", F.col("id") - 1)
@@ -370,14 +356,6 @@ def dedupe_blobs(blobs: DataFrame, content: Column, key: str) -> DataFrame:
     return own.join(groups, "digest").select(key, "digest", "first_id", "n")
 
 
-def zip_names(files: DataFrame, name: str, order: str) -> DataFrame:
-    """Names as a zip file takes them: the second of a name gets ' (1)' before its extension, and so on."""
-    placed = numbered(files, [name], order, [], "_z").withColumn("_z", F.col("_z") - 1)
-    stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]+)?$", 1), F.regexp_extract(name, r"(\.[^.]+)$", 1)
-    numbered_name = F.concat(stem, F.lit(" ("), F.col("_z").cast("string"), F.lit(")"), ext)
-    return placed.withColumn("zip_name", F.when(F.col("_z") > 0, numbered_name).otherwise(F.col(name))).drop("_z")
-
-
 def ocr_lines(words: DataFrame, least: int = 40, dpi: int = 200) -> DataFrame:
     """Words of confidence `least` or more, by block, par and line: their text in order and the box around them, in points (72 an inch)."""
     good = words.where((F.col("conf") >= least) & (F.trim("text") != ""))
