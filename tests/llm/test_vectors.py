@@ -16,8 +16,8 @@ SCHEMA = "vec_id long, embedding array<float>, label int, v string, code string,
 def table(seed, n, spread=1.0, copies=0):
     """Vectors of which many tie: components are few values, and some vectors are copies. With rows that take no part, and clashing columns."""
     r = random.Random(seed)
-    rows = [(3 * i + 1, [r.choice([-1, 0, 1, 0.5]) * spread * r.choice([1, 1, 0.99]) for _ in range(16)], r.choice([0, 1, 2, None])) for i in range(n)]
-    rows += [(3 * n + 3 * i + 2, rows[0][1], 1) for i in range(copies)]
+    rows = [(100 * i + 1 + i % 99, [r.choice([-1, 0, 1, 0.5]) * spread * r.choice([1, 1, 0.99]) for _ in range(16)], r.choice([0, 1, 2, None])) for i in range(n)]
+    rows += [(100 * (n + i) + 2, rows[0][1], 1) for i in range(copies)]
     rows += [(100 * i, [r.gauss(0, spread) for _ in range(16)], i % 3) for i in range(1, 8)]
     rows += [(-5, None, 1), (-4, [None] * 16, 1), (-3, [float("nan")] * 16, 2), (-2, [float("inf")] + [0.0] * 15, 0)]
     r.shuffle(rows)

@@ -40,7 +40,7 @@ FOUND = "anchor long, j int, score long, vec_id long"
 class Index:
     """All rows, by (cell, part) and sorted by (pivot, distance); pivots, and of each cell its pivot, least and greatest distance and its parts."""
 
-    def __init__(self, rows: DataFrame, group: int = GROUP, least: int = LEAST):
+    def __init__(self, rows: DataFrame, group: int = GROUP):
         """rows: vec_id, label, v (whole numbers)."""
         spark = rows.sparkSession
         self.width = dimension(rows, "v")
@@ -59,7 +59,7 @@ class Index:
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), b.column("v"), pa.array(p, pa.int32()), pa.array(d[np.arange(len(p)), p])], ["vec_id", "label", "v", "pivot", "key"])
 
         keyed = stored(rows.select("vec_id", "label", "v").mapInArrow(near, "vec_id long, label long, v array<int>, pivot int, key double"), "keys")
-        n_cells = max(1, min(N_CELLS, n // (N_PIVOTS * least)))
+        n_cells = max(1, min(N_CELLS, n // (N_PIVOTS * LEAST)))
         shares = [i / n_cells for i in range(1, n_cells)]
         cuts = {r["pivot"]: r["c"] for r in keyed.groupBy("pivot").agg(F.percentile_approx("key", shares, 1000).alias("c")).collect()} if shares else {}
         # A cell is named by its pivot and the number of cuts that lie under its distances.

@@ -504,5 +504,6 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", labe
 def op12_personal_data(spark, sf_dir: str) -> DataFrame:
     found = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    of = lambda kind: F.filter("base", lambda s: s["kind"] == kind)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
