@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from umbra import cli
 from umbra.functions import scalars as S
+from umbra.operators import entities as E
 from umbra.operators import mask as M
 from umbra.operators import ner
 from umbra.operators import review as R
@@ -123,8 +124,9 @@ def test_command_line(spark, tmp_path, capsys):
     manifest = json.loads((tmp_path / "images" / "images_manifest.json").read_text())
     assert [(m["id"], m["all_ids"], m["count"]) for m in manifest] == [("word/media/a.jpg", ["word/media/a.jpg"], 1), ("word/media/b.PNG", ["word/media/b.PNG", "word/media/c.png"], 2)]
     review = tmp_path / "review.json"
-    assert cli.main(["scan", *names, "--known-entities", str(tmp_path / "list.csv"), "--out", str(review)], spark) == 0
-    assert "unsupported file type .txt" in capsys.readouterr().err
+    assert cli.main(["scan", *names, "--known-entities", str(tmp_path / "list.csv"), "--out", str(review)], spark) == 2
+    err = capsys.readouterr().err
+    assert "unsupported file type .txt" in err and "d.docx: can't be read: BadZipFile" in err and "f.docx: no extractable text found" in err
     data = json.loads(review.read_text())
     got = [(i["id"], i["file_index"], i["text"], i["category"], i["placeholder"], i.get("sheet")) for i in data["items"]]
     assert got == [(0, 0, "Acme Ltd", "Client", "Client A", None), (1, 0, "Acme", "Custom", "Azure", None), (2, 1, "Acme", "Custom", "Azure", "One"), (3, 1, "12 Baker Road", "Address", "Address", "One"), (4, 2, "Acme", "Custom", "Azure", None)]
@@ -134,12 +136,19 @@ def test_command_line(spark, tmp_path, capsys):
     review.write_text(json.dumps(data))
     out = tmp_path / "out"
     assert cli.main(["apply", str(review), "--output-dir", str(out)], spark) == 0
-    assert sorted(x.name for x in out.iterdir() if not x.name.startswith(".")) == ["Azure +1.docx", "b.xlsx", "mapping_log.json"]
+    assert sorted(x.name for x in out.iterdir() if not x.name.startswith(".")) == ["Azure +1.docx", "b.xlsx", "mapping_log.json", "outcomes.json"]
     assert read((out / "b.xlsx").read_bytes(), ".xlsx")[0][2] == "Azure at Address"
     assert json.loads((out / "mapping_log.json").read_text()) == [{"original": "Acme Ltd", "placeholder": "Client A"}, {"original": "Acme", "placeholder": "Azure"}, {"original": "12 Baker Road", "placeholder": "Address"}]
-    assert "4 text item(s) and 1 image(s) masked across 2 file(s)" in capsys.readouterr().out
+    said = capsys.readouterr().out
+    assert "4 text(s) and 1 image(s) replaced in 2 file(s)" in said and "c.pptx: nothing to mask" in said and "d.docx: nothing to mask" in said
     assert cli.main(["verify", str(out / "Azure +1.docx"), str(out / "b.xlsx"), "--known-entities", str(tmp_path / "list.csv")], spark) == 0
-    assert cli.main(["verify", str(out / "b.xlsx"), names[2], "--known-entities", str(tmp_path / "list.csv")], spark) == 1
+    (tmp_path / "p.pdf").write_bytes(b"%PDF Acme Ltd")
+    capsys.readouterr()
+    assert cli.main(["verify", names[3], str(tmp_path / "p.pdf"), names[4], names[5], str(out / "b.xlsx"), "--known-entities", str(tmp_path / "list.csv")], spark) == 2
+    said = capsys.readouterr()
+    assert "d.docx: can't be read" in said.err and "NOT CHECKED" in said.err and "p.pdf: can't be read: there is no reader for PDF" in said.err and "skipped" in said.err
+    assert "clean: " in said.out and "d.docx" not in said.out and "p.pdf" not in said.out and "f.docx" in said.out
+    assert cli.main(["verify", str(out / "b.xlsx"), names[2], names[3], "--known-entities", str(tmp_path / "list.csv")], spark) == 1
 
 
 def test_names_of_saved_files(spark, tmp_path):
@@ -155,7 +164,7 @@ def test_lists_of_any_length(spark, monkeypatch):
     texts = [None, "", "BedRock bed  ROCK bedrocks"] + ["".join(r.choice(["a", "b", "B", " ", "\n", "bed", "rock", "(x)", "é", "e", "f", "g", "-", ",", "_"]) for _ in range(r.randint(1, 60))) for _ in range(60)] + ["a b"] * 3
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     short = sorted(map(tuple, M.claims(docs, [(v, v) for v in letters], use_regex=False).collect()), key=repr)
-    monkeypatch.setattr(M, "LITERAL", 2)
+    monkeypatch.setattr(E, "LITERAL", 2)
     long = sorted(map(tuple, M.claims(docs, [(v, v) for v in letters], use_regex=False).collect()), key=repr)
     assert short == long and len(short) > 100
     assert sorted(map(tuple, M.verify(docs, [(v, v) for v in letters]).collect()), key=repr)

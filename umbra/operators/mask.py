@@ -9,16 +9,11 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from ..functions import scalars as S
+from .entities import entity_rows, known_entities, listed, squashed, with_near  # noqa: F401
 from .numbering import folder_names, numbered, zip_names  # noqa: F401
 
 SPAN = "struct<tier:int,start:int,end:int,text:string,category:string,source:string,group_key:string>"
 NONE = f"cast(array() as array<{SPAN}>)"
-#: Rows of a list of known entities up to which it becomes a constant of the plan; a longer one is joined.
-LITERAL = 250
-#: Squashed characters of an entity on which a long list is joined, and that are compared before the text is searched.
-HEAD, REACH = 4, 16
-#: Bytes of a list up to which it is broadcast.
-SMALL_LIST = 32 << 20
 #: A code point that is no character, and so in hardly any text.
 EDGE = "\ufdd0"
 #: Numbers that a running sum adds up at a time.
@@ -67,45 +62,6 @@ def spans(text: Column, pattern: Column, tier: Column, category: Column, source:
     return S.let(F.when(F.contains(text, F.lit(EDGE)), S.let(F.regexp_extract_all(text, pattern, F.lit(0)), woven)).otherwise(edged), placed)
 
 
-def squashed(text: Column) -> Column:
-    return F.lower(F.regexp_replace(text, S.SPACE, ""))
-
-
-def _literals(entities: list[tuple[str, str]]) -> Column:
-    one = lambda v, c: F.struct(F.lit(v).alias("value"), F.lit(c).alias("category"), squashed(F.lit(v)).alias("squashed"))
-    return F.array(*(one(v, c) for v, c in entities))
-
-
-def listed(text: Column, entities: list[tuple[str, str]]) -> Column:
-    """Those of a short list, in its order, whose characters but white space are in the text. The text is squashed once for all of them."""
-    if not entities:
-        return F.expr("cast(array() as array<struct<value:string,category:string>>)")
-    pick = lambda t: F.filter(_literals(entities), lambda e: F.contains(t, e["squashed"]))
-    return F.transform(S.let(squashed(text), pick), lambda e: F.struct(e["value"].alias("value"), e["category"].alias("category")))
-
-
-def joined_list(docs: DataFrame, entities: DataFrame, key: str, text: str) -> DataFrame:
-    """key and near: what listed() gives, for a list of any length, as an equi-join instead of a scan of the list for every text.
-
-    An entity begins where no ASCII word character stands before it. From each such place on the first REACH squashed characters are
-    taken, each distinct beginning once a text; their first HEAD (and fewer, where the list has entities as short) are the keys that meet the
-    list, and the rest is compared. So a row holds a beginning, never a text.
-    """
-    own = entities.select("value", "category", "row_no", squashed(F.col("value")).alias("squashed"))
-    own = own.select("value", "category", "row_no", F.substring("squashed", 1, HEAD).alias("head"), F.substring("squashed", 1, REACH).alias("reach"))
-    size, short = own.agg(F.sum(F.octet_length("value") + 64), F.collect_set(F.when(F.length("head") < HEAD, F.length("head")))).first()
-    if (size or 0) <= SMALL_LIST:
-        own = F.broadcast(own)
-    starts = F.regexp_extract_all(F.col(text), F.lit(rf"(?<![A-Za-z0-9_])(?=((?:\S(?U:[\s\x1c-\x1f]*)){{1,{REACH}}}))"), F.lit(1))
-    begins = F.array_distinct(F.transform(starts, lambda x: F.substring(squashed(x), 1, REACH)))
-    places = docs.select(key, F.explode(begins).alias("begin"))
-    heads = places.select(key, "begin", F.explode(F.array_distinct(F.array(*(F.substring("begin", 1, n) for n in [HEAD, *short])))).alias("head"))
-    pairs = heads.join(own, "head").where(F.startswith("begin", F.col("reach"))).select(key, "row_no", "value", "category").distinct()
-    row = F.struct((-F.length("value")).alias("rank"), "row_no", "value", "category")
-    near = pairs.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("near"))
-    return near.select(key, F.transform("near", lambda e: F.struct(e["value"].alias("value"), e["category"].alias("category"))).alias("near"))
-
-
 def detected(text: Column, near: Column | None = None, detectors: tuple[str | Detector, ...] = tuple(DETECTORS), found: Column | None = None) -> Column:
     """Candidates in the order of their claims: known entities (longest first), email, phone, UEN, ABN, then what a tagger found or else addresses.
 
@@ -155,37 +111,9 @@ def longest_spans(candidates: Column) -> Column:
     return F.transform(by_place, lambda s: s["s"])
 
 
-def entity_rows(rows: DataFrame) -> DataFrame:
-    """value, category and row_no of a list: stripped, blank values dropped, Entity where there is no category."""
-    if "row_no" not in rows.columns:
-        rows = rows.withColumn("row_no", F.monotonically_increasing_id())
-    category = F.coalesce(F.nullif(S.strip(F.col("category")), F.lit("")), F.lit("Entity")).alias("category")
-    return rows.select(S.strip(F.col("value")).alias("value"), category, "row_no").where("value <> ''")
-
-
-def known_entities(rows: DataFrame) -> Entities:
-    """entity_rows() as pairs, the longest first, of equals the one listed first; if there are more than LITERAL, the rows themselves."""
-    own = entity_rows(rows)
-    got = own.orderBy(F.length("value").desc(), "row_no").limit(LITERAL + 1).collect()
-    return [(r["value"], r["category"]) for r in got] if len(got) <= LITERAL else own
-
-
-def _prepared(docs: DataFrame, entities: Entities, key: str, text: str) -> tuple[DataFrame, Column | None]:
-    """docs with a text, and a column of the known entities that may be in it; None if there is no list."""
-    docs = docs.where(F.col(text).isNotNull())
-    if not isinstance(entities, DataFrame) and len(entities) > LITERAL:
-        rows = [(v, c, i) for i, (v, c) in enumerate(entities)]
-        entities = docs.sparkSession.createDataFrame(rows, "value string, category string, row_no long")
-    if isinstance(entities, DataFrame):
-        near = joined_list(docs, entities, key, text).withColumnRenamed("near", "_near")
-        return docs.join(near, key, "left"), F.coalesce("_near", listed(F.lit(""), []))
-    longest = sorted(entities, key=lambda e: -len(e[0]))
-    return docs, listed(F.col(text), longest) if longest else None
-
-
 def claims(docs: DataFrame, entities: Entities = (), use_regex: bool = True, key: str = "doc_id", text: str = "text", detectors: tuple[str | Detector, ...] = tuple(DETECTORS), found: str | None = None) -> DataFrame:
     """key, seq and the span of every claim, in the order of the claims. Null text has none. found: a column of ner.candidates()."""
-    own, near = _prepared(docs, entities, key, text)
+    own, near = with_near(docs, entities, text)
     kept = arbitrate(detected(F.col(text), near, detectors if use_regex else (), F.col(found) if found else None))
     return own.select(key, F.posexplode(kept).alias("seq", "s")).select(key, "seq", "s.*")
 
@@ -202,7 +130,7 @@ def first_texts(kept: Column) -> Column:
 
 def items(docs: DataFrame, entities: Entities = (), use_regex: bool = True, key: str = "doc_id", text: str = "text", detectors: tuple[str | Detector, ...] = tuple(DETECTORS), found: str | None = None) -> DataFrame:
     """The claims whose text a document has first, with their context."""
-    own, near = _prepared(docs, entities, key, text)
+    own, near = with_near(docs, entities, text)
     kept = first_texts(arbitrate(detected(F.col(text), near, detectors if use_regex else (), F.col(found) if found else None)))
     rows = own.select(key, F.col(text).alias("_whole"), F.posexplode(kept).alias("seq", "s"))
     return rows.withColumn("context", S.snippet(F.col("_whole"), F.col("s.text"))).select(key, "seq", "s.*", "context")
@@ -224,9 +152,9 @@ def with_placeholders(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.join(named, "group_key").withColumn("category", F.when(F.col("category").startswith("="), "Custom").otherwise(F.col("category")))
 
 
-def mapping(chosen: DataFrame, key: str = "doc_id") -> DataFrame:
+def mapping(items: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, pairs: for each document the longest originals first, of equal length the one seen first; of equal originals the last counts."""
-    last = chosen.groupBy(key, "text").agg(F.max_by("placeholder", "seq").alias("p"), F.max_by("category", "seq").alias("c"), F.min("seq").alias("seq"))
+    last = items.groupBy(key, "text").agg(F.max_by("placeholder", "seq").alias("p"), F.max_by("category", "seq").alias("c"), F.min("seq").alias("seq"))
     pair = F.struct((-F.length("text")).alias("rank"), "seq", F.col("text").alias("o"), "p", S.is_grey(F.col("c"), F.col("p")).alias("grey"))
     return last.groupBy(key).agg(F.sort_array(F.collect_list(pair)).alias("pairs"))
 
@@ -283,7 +211,8 @@ def masked_lines(text: Column, pairs: Column) -> Column:
     return F.aggregate(pairs, text, step)
 
 
-def _chosen(reviewed: DataFrame) -> DataFrame:
+def chosen(reviewed: DataFrame) -> DataFrame:
+    """The items that are included; all that do not say."""
     return reviewed.where(F.coalesce(F.col("include"), F.lit(True))) if "include" in reviewed.columns else reviewed
 
 
@@ -292,7 +221,7 @@ def apply(docs: DataFrame, reviewed: DataFrame, key: str = "doc_id", text: str =
 
     docs may hold a document in several rows (cells, paragraphs), each masked by the mapping of the document. A null text stays null.
     """
-    joined = docs.join(mapping(_chosen(reviewed), key), key)
+    joined = docs.join(mapping(chosen(reviewed), key), key)
     done = joined.withColumn("_m", folded(F.col(text), F.col("pairs")))
     return done.select(*docs.columns, F.col("_m.text").alias("masked"), F.col("_m.changed").alias("changed"), F.col("_m.grey").alias("any_grey"))
 
@@ -309,12 +238,18 @@ def review(found: DataFrame, decisions: DataFrame) -> DataFrame:
     return found.join(d, "id", "left").withColumn("include", F.coalesce("_i", F.lit(True))).withColumn("placeholder", F.coalesce("_p", "placeholder")).drop("_i", "_p")
 
 
-def verify(docs: DataFrame, entities: Entities, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_leaks, values (the known entities that a text still holds, longest first), clean: a row for each text that is not null."""
-    own, near = _prepared(docs, entities, key, text)
+def verified(docs: DataFrame, entities: Entities, text: str = "text") -> DataFrame:
+    """docs with values: the known entities that a text still holds, longest first. A row for each text that is not null."""
+    own, near = with_near(docs, entities, text)
     near = listed(F.lit(""), []) if near is None else near
     hits = F.transform(F.filter(near, lambda e: F.rlike(F.col(text), S.flexible(e["value"]))), lambda e: e["value"])
-    return own.select(key, hits.alias("values")).select(key, F.size("values").alias("n_leaks"), "values", (F.size("values") == 0).alias("clean"))
+    return own.select(*docs.columns, hits.alias("values"))
+
+
+def verify(docs: DataFrame, entities: Entities, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_leaks, values (the known entities that a text still holds, longest first), clean: a row for each text that is not null."""
+    found = verified(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), entities, "_text")
+    return found.select(F.col("_key").alias(key), F.size("values").alias("n_leaks"), "values", (F.size("values") == 0).alias("clean"))
 
 
 def leaks(docs: DataFrame, entities: Entities, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import os
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources import office
+from ..sources.folder import write_folder
 from . import mask as M
 from . import ner
 
@@ -99,18 +97,37 @@ def read_review(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
     return review_rows(spark.read.text(path, wholetext=True))
 
 
-def write_text(path: str, text: str) -> None:
-    if folder := os.path.dirname(path):
-        os.makedirs(folder, exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+def _values(rows: DataFrame, section: str, place: int, order: Column, schema: str) -> DataFrame:
+    cols = [n for n in (c.split()[0] for c in schema.split(", ")) if n in rows.columns]
+    return rows.select(F.lit(place).alias("place"), order.alias("order"), F.lit(section).alias("section"), F.to_json(F.struct(*cols), {"ignoreNullFields": "true"}).alias("value"))
+
+
+def _document(values: DataFrame, path: str, sections: tuple[str, ...]) -> None:
+    """Values by place and order, written by their tasks; the commit joins them."""
+    folder, _, name = path.rpartition("/")
+    nothing = F.lit(None)
+    rows = values.orderBy("place", "order").select(nothing.cast("string").alias("path"), nothing.cast("binary").alias("content"), "section", "value")
+    write_folder(rows, folder or ".", name, sections)
 
 
 def write_review(path: str, files: DataFrame, items: DataFrame, images: DataFrame | None = None) -> int:
-    """The review as a JSON file, indented; how many items it has."""
-    review = json.loads(review_json(files, items, images).first()[0])
-    write_text(path, json.dumps(review, indent=2, ensure_ascii=False))
-    return len(review["items"])
+    """The review as a JSON file, a line an entry; how many items it has. Tasks write it in order, so no row holds a batch."""
+    counted = Observation("items")
+    parts = [_values(files, "files", 0, F.col("file_index"), FILES), _values(items.observe(counted, F.count(F.lit(1)).alias("n")), "items", 1, F.col("id"), ITEMS)]
+    if images is not None:
+        ids = images.withColumn("_n", F.monotonically_increasing_id())
+        parts.append(_values(ids, "images", 2, F.col("_n"), IMAGES))
+    values = parts[0]
+    for p in parts[1:]:
+        values = values.unionByName(p)
+    _document(values, path, ("files", "items", "images"))
+    return counted.get["n"]
+
+
+def write_log(path: str, log: DataFrame) -> None:
+    """A mapping log as a JSON array, in the order first seen. log: of M.mapping_log()."""
+    rows = log.select(F.lit(0).alias("place"), F.col("at").alias("order"), F.lit("").alias("section"), F.to_json(F.struct("original", "placeholder"), {"ignoreNullFields": "false"}).alias("value"))
+    _document(rows, path, ("",))
 
 
 def log_json(log: DataFrame) -> DataFrame:
@@ -133,3 +150,23 @@ def verify_report(texts: DataFrame, entities: M.Entities, key: str = "file_index
     """key, n_leaks, values, clean, any_leak: a row a text; any_leak is the batch's verdict in every row."""
     found = M.verify(texts, entities, key)
     return found.crossJoin(F.broadcast(found.agg(F.coalesce(F.bool_or(~F.col("clean")), F.lit(False)).alias("any_leak"))))  # one row
+
+
+def verify_files(files: DataFrame, entities: M.Entities, key: str = "file_index") -> DataFrame:
+    """key, extension, verdict, n_leaks, values, reason: a row a file. files: key, extension, text, error (null where the text is all that the file holds).
+
+    leak: a known entity is left. clean: the text is known and none is. skipped: of a kind that is never masked. unread: the text is not known,
+    so nothing is said of it; reason tells why.
+    """
+    reason = office.unread_reason(F.col("extension"), F.col("error"))
+    own = files.select(key, "extension", F.coalesce("text", F.lit("")).alias("text"), reason.alias("reason"), office.is_supported(F.coalesce("extension", F.lit(""))).alias("_s"))
+    found = M.verified(own.where("reason is null"), entities).select(key, "extension", F.when(F.size("values") > 0, "leak").otherwise("clean").alias("verdict"), F.size("values").alias("n_leaks"), "values", "reason")
+    none = F.expr("cast(array() as array<string>)")
+    rest = own.where("reason is not null").select(key, "extension", F.when(F.col("_s"), "unread").otherwise("skipped").alias("verdict"), F.lit(0).alias("n_leaks"), none.alias("values"), "reason")
+    return found.unionByName(rest)
+
+
+def exit_code(verdicts: DataFrame) -> int:
+    """1 if anything leaks, else 2 if a file of a known kind was not read, else 0."""
+    got = {r["verdict"] for r in verdicts.select("verdict").distinct().collect()}  # four at most
+    return 1 if "leak" in got else 2 if "unread" in got else 0

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import mask as M
 from . import ooxml
+from .folder import write_folder
 
 SUPPORTED = (".docx", ".xlsx", ".pptx", ".pdf")
 SEGMENTS = "file_index long, seg_no int, container string, cell_type string, text string, error string"
@@ -32,13 +32,35 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return own.join(keys, ["given", "input_file"]).drop("given")
 
 
+def given_files(rows: DataFrame, name: str = "name", content: str = "content", order: str = "file_index") -> DataFrame:
+    """Files that are rows already, as uploads are, in the form of read_files(). order: a long that gives each its file_index."""
+    own = rows.select(F.col(order).cast("long").alias("file_index"), F.col(name).alias("input_file"), F.element_at(F.split(name, "/"), -1).alias("file_name"), F.col(content).alias("content"))
+    return own.withColumn("extension", S.extension(F.col("file_name"))).select("input_file", "content", "file_name", "extension", "file_index")
+
+
 def is_supported(extension: Column) -> Column:
     return F.lower(extension).isin(*SUPPORTED)
 
 
-def skip_reason(extension: Column, text: Column) -> Column:
+def unread_reason(extension: Column, error: Column | None = None) -> Column:
+    """Why a file's text is not known; null if it is."""
+    why = F.when(~is_supported(F.coalesce(extension, F.lit(""))), F.concat(F.lit("unsupported file type "), F.coalesce(F.lower(extension), F.lit(""))))
+    return why if error is None else why.when(error.isNotNull(), F.concat(F.lit("can't be read: "), error))
+
+
+def skip_reason(extension: Column, text: Column, error: Column | None = None) -> Column:
     """Why a file is not scanned; null if it is."""
-    return F.when(~is_supported(extension), F.concat(F.lit("unsupported file type "), F.lower(extension))).when(F.coalesce(S.strip(text), F.lit("")) == "", "no extractable text found")
+    return F.coalesce(unread_reason(extension, error), F.when(F.coalesce(S.strip(text), F.lit("")) == "", "no extractable text found"))
+
+
+def with_texts(files: DataFrame, found: DataFrame) -> DataFrame:
+    """files of read_files() with text and error instead of content: PDF files, of which nothing here reads the text, and broken ones have an error.
+
+    found: segments(files).
+    """
+    errors = found.where("error is not null").groupBy("file_index").agg(F.min("error").alias("error"))
+    whole = files.drop("content").join(full_texts(found), "file_index", "left").join(errors, "file_index", "left")
+    return whole.withColumn("error", F.when(F.lower("extension") == ".pdf", "there is no reader for PDF files").otherwise(F.col("error")))
 
 
 def _parsed(make, schema: str):
@@ -117,22 +139,30 @@ def flagged_images(manifest: DataFrame, decisions: DataFrame, has_logo: bool) ->
     return manifest.select("file_index", "id", "all_ids").join(chosen, ["file_index", "id"]).select("file_index", F.explode("all_ids").alias("id"), "action")
 
 
-def masked_files(files: DataFrame, pairs: DataFrame, flagged: DataFrame | None = None, logo: bytes | None = None) -> DataFrame:
-    """file_index, file_name, content of every DOCX, XLSX and PPTX with something to mask, and n_items, n_images, error.
-
-    pairs: file_index and pairs, of M.mapping(); flagged: of flagged_images(). File names are masked too.
-    """
-    own = files.where(F.lower("extension").isin(*ooxml.MEDIA)).join(pairs, "file_index", "left")
+def _to_mask(files: DataFrame, pairs: DataFrame, flagged: DataFrame | None) -> DataFrame:
+    own = files.where(F.lower("extension").isin(*ooxml.MEDIA)).join(pairs.select("file_index", "pairs"), "file_index", "left")
     if flagged is not None:
         ids = flagged.groupBy("file_index").agg(F.sort_array(F.collect_list(F.struct("id", "action"))).alias("flags"))
         own = own.join(ids, "file_index", "left")
     else:
         own = own.withColumn("flags", F.expr("cast(null as array<struct<id:string,action:string>>)"))
     none = F.expr("cast(array() as array<struct<rank:int,seq:int,o:string,p:string,grey:boolean>>)")
-    known = F.coalesce("pairs", none)
-    own = own.where(F.col("pairs").isNotNull() | F.col("flags").isNotNull()).withColumn("pairs", known)
+    own = own.where(F.col("pairs").isNotNull() | F.col("flags").isNotNull()).withColumn("pairs", F.coalesce("pairs", none))
     stem = F.regexp_extract("file_name", r"^(.*?)(\.[^.]+)?$", 1)
-    own = own.withColumn("file_name", F.concat(M.sanitize_name(stem, F.col("pairs")), F.col("extension")))
+    return own.withColumn("file_name", F.concat(M.sanitize_name(stem, F.col("pairs")), F.col("extension")))
+
+
+def masked_names(files: DataFrame, pairs: DataFrame, flagged: DataFrame | None = None) -> DataFrame:
+    """file_index and file_name, masked, of the files that masked_files() gives; no content is read for it."""
+    return _to_mask(files, pairs, flagged).select("file_index", "file_name")
+
+
+def masked_files(files: DataFrame, pairs: DataFrame, flagged: DataFrame | None = None, logo: bytes | None = None) -> DataFrame:
+    """file_index, file_name, content of every DOCX, XLSX and PPTX with something to mask, and n_items, n_images, error.
+
+    pairs: file_index and pairs, of M.mapping(); flagged: of flagged_images(). File names are masked too.
+    """
+    own = _to_mask(files, pairs, flagged)
     schema = "file_index long, file_name string, content binary, n_items int, n_images int, error string"
 
     def run(batches):
@@ -172,24 +202,21 @@ def _change(pairs: list[tuple[str, str, bool]]) -> ooxml.Rewrite:
     return change
 
 
-def save_files(outputs: DataFrame, folder: str, name: str = "file_name", content: str = "content") -> None:
-    """Write each row's content to a file of its name, by the file system of the folder. Rows of one name get (1), (2) and so on.
+def placed_names(outputs: DataFrame, name: str = "file_name", order: str = "file_index", inside: str | None = None) -> DataFrame:
+    """order and path: where each row goes below a folder, no two to one place; inside: a column that names a folder in it."""
+    bare = lambda c: F.regexp_replace(F.element_at(F.split(F.coalesce(c, F.lit("")), r"[/\\\\]"), -1), r"^(|\.|\.\.)$", "file")
+    path = bare(F.col(name)) if inside is None else F.concat(bare(F.col(inside)), F.lit("/"), bare(F.col(name)))
+    return M.folder_names(outputs.select(F.col(order).alias("order"), path.alias("path")), "path", "order").select("order", F.col("folder_name").alias("path"))
 
-    Each task writes its own files; one that runs again writes the same bytes again.
-    """
-    named = M.zip_names(outputs, name, "file_index")
-    target = folder.removeprefix("file:")
-
-    def write(rows):
-        import pyarrow.fs as fs
 
-        system, base = (fs.LocalFileSystem(), target) if "://" not in target else fs.FileSystem.from_uri(target)
-        system.create_dir(base, recursive=True)
-        for r in rows:
-            with system.open_output_stream(os.path.join(base, os.path.basename(r["zip_name"]))) as f:
-                f.write(bytes(r[content]))
+def save_files(outputs: DataFrame, folder: str, name: str = "file_name", content: str = "content", order: str = "file_index", inside: str | None = None) -> None:
+    """Write each row's content to a file of its name below folder; where names are alike the first by order has it, others get a number that is free.
 
-    named.where(F.col(content).isNotNull()).select("zip_name", content).foreachPartition(write)
+    order: distinct values. Rows without content have no file and no name. Files appear when all are written, see write_folder().
+    """
+    named = placed_names(outputs.where(F.col(content).isNotNull()), name, order, inside)
+    rows = outputs.where(F.col(content).isNotNull()).join(named, F.col(order) == F.col("order"))
+    write_folder(rows.select("path", F.col(content).alias("content"), F.lit(None).cast("string").alias("section"), F.lit(None).cast("string").alias("value")), folder)
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
