@@ -16,6 +16,8 @@ SPAN = "struct<tier:int,start:int,end:int,text:string,category:string,source:str
 NONE = f"cast(array() as array<{SPAN}>)"
 #: A code point that is no character, and so in hardly any text.
 EDGE = "\ufdd0"
+#: Candidates, and those of a cluster, up to which each is compared with all that are kept.
+FOLD = 64
 #: Numbers that a running sum adds up at a time.
 CHUNK = 64
 DETECTORS = {"Email": L.EMAIL, "Phone": L.PHONE, "UEN": L.UEN, "ABN": L.ABN, "Address": L.ADDRESS}
@@ -28,13 +30,14 @@ Entities = list | DataFrame
 def before(sizes: Column) -> Column:
     """The sums of what lies before each of an array of numbers. Added up in chunks, so that long arrays are not copied for each number."""
     add = lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / CHUNK).cast("int")), lambda i: F.slice(sizes, i * CHUNK + 1, F.lit(CHUNK)))
+    last = lambda x, i: F.least((i + 1) * CHUNK, F.size(x)) - 1
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int")), lambda i: F.transform(F.sequence(i * CHUNK, last(x, i)), lambda j: F.get(x, j)))
 
     def summed(c: Column) -> Column:
         totals = F.transform(c, lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y))
         return S.let(F.aggregate(totals, F.array(F.lit(0)), add), lambda base: F.flatten(F.transform(c, lambda x, i: F.slice(F.aggregate(x, F.array(F.get(base, i)), add), F.lit(1), F.size(x)))))
 
-    return F.when(F.size(sizes) > 0, S.let(chunks, summed)).otherwise(F.expr("cast(array() as array<int>)"))
+    return S.let(sizes, lambda x: F.when(F.size(x) > 0, S.let(cut(x), summed)).otherwise(F.expr("cast(array() as array<int>)")))
 
 
 def spans(text: Column, pattern: Column, tier: Column, category: Column, source: str, group: Column | None = None) -> Column:
@@ -98,9 +101,73 @@ def overlapping(candidates: Column) -> Column:
 
 def arbitrate(candidates: Column) -> Column:
     """Keep each candidate, in order, that overlaps none kept before it."""
+    return S.let(candidates, lambda c: F.when(overlapping(c), F.when(F.size(c) > FOLD, _by_clusters(c)).otherwise(_fold(c))).otherwise(c))
+
+
+def _fold(c: Column) -> Column:
     free = lambda kept, s: ~F.exists(kept, lambda k: (k["start"] < s["end"]) & (k["end"] > s["start"]))
-    fold = lambda c: F.aggregate(c, F.slice(c, 1, 0), lambda kept, s: F.when(free(kept, s), F.concat(kept, F.array(s))).otherwise(kept))
-    return S.let(candidates, lambda c: F.when(overlapping(c), fold(c)).otherwise(c))
+    return F.aggregate(c, F.slice(c, 1, 0), lambda kept, s: F.when(free(kept, s), F.concat(kept, F.array(s))).otherwise(kept))
+
+
+def _by_clusters(c: Column) -> Column:
+    """arbitrate() for many candidates: those that hang together by overlaps are a cluster, and each cluster is decided for itself.
+
+    Starts and ends are put in order, an end before the starts at its place; a cluster is over where as many have ended as have begun. From
+    there on a span is the places lo and hi of its start and end in that order, which overlap as the spans do and of which no two are equal.
+    """
+    edges = F.flatten(F.transform(c, lambda s, i: F.array(F.struct(s["start"].alias("at"), F.lit(1).alias("kind"), i.alias("i")), F.struct(s["end"].alias("at"), F.lit(0).alias("kind"), i.alias("i")))))
+
+    def placed(e: Column) -> Column:
+        depth = before(F.transform(e, lambda x: 2 * x["kind"] - 1))  # how many are open before each
+        first = F.transform(depth, lambda d: (d == 0).cast("int"))
+        cluster = lambda f, n: F.transform(e, lambda x, at: F.struct(x["i"].alias("i"), at.alias("at"), (F.get(n, at) + F.get(f, at) - 1).alias("cluster")))
+        # By candidate, its start's place and then its end's.
+        return F.sort_array(S.let(first, lambda f: S.let(before(f), lambda n: cluster(f, n))))
+
+    def spans(p: Column) -> Column:
+        one = lambda i: F.struct(F.get(p, 2 * i)["cluster"].alias("cluster"), i.alias("i"), F.get(p, 2 * i)["at"].alias("start"), F.get(p, 2 * i + 1)["at"].alias("end"))
+        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(c) - 1), one))
+
+    def decided(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (j == 0) | (F.get(s, F.greatest(j - 1, F.lit(0)))["cluster"] != F.get(s, j)["cluster"]))
+        end = lambda b, k: F.coalesce(F.get(b, k + 1), F.size(s)) - 1
+        own = lambda b: F.transform(b, lambda j, k: F.transform(F.sequence(j, end(b, k)), lambda x: F.get(s, x)))
+        return F.flatten(F.transform(S.let(starts, own), lambda g: F.when(F.size(g) == 1, g).when(F.size(g) <= FOLD, _fold(g)).otherwise(_by_buckets(g))))
+
+    kept = S.let(S.let(S.let(F.sort_array(edges), placed), spans), decided)
+    return F.transform(F.array_sort(F.transform(kept, lambda k: k["i"])), lambda i: F.get(c, i))
+
+
+#: What a span's start is multiplied by where start and end make one number.
+_PAIR = 1 << 32
+
+
+def _by_buckets(c: Column) -> Column:
+    """arbitrate() for a large cluster of spans whose starts and ends differ.
+
+    The line is cut into about sqrt(n) buckets, and what is kept is entered, as one number, in each bucket that it reaches into. So a candidate
+    is only compared with the kept ones of its own buckets.
+    """
+    low, high = F.array_min(F.transform(c, lambda s: s["start"])), F.array_max(F.transform(c, lambda s: s["end"]))
+    side = F.ceil(F.sqrt(F.size(c).cast("double"))).cast("int")
+    frame = F.struct(low.alias("low"), F.ceil((high - low + 1) / side).cast("int").alias("w"), side.alias("side"))
+
+    def kept(x: Column) -> Column:
+        bucket = lambda at: F.floor((at - x["low"]) / x["w"]).cast("int")
+        code = lambda s: s["start"].cast("long") * _PAIR + s["end"]
+
+        def step(have: Column, s: Column) -> Column:
+            # What an aggregate hands on is copied each time, so it is numbers and no structs.
+            first, last = bucket(s["start"]), bucket(s["end"])
+            own = F.slice(have, first + 1, last - first + 1)
+            taken = F.exists(own, lambda b: F.exists(b, lambda k: (F.shiftright(k, 32) < s["end"]) & (k % _PAIR > s["start"])))
+            entered = F.concat(F.slice(have, F.lit(1), first), F.transform(own, lambda b: F.concat(b, F.array(code(s)))), F.slice(have, last + 2, F.size(have)))
+            return F.when(taken, have).otherwise(entered)
+
+        empty = F.array_repeat(F.expr("cast(array() as array<bigint>)"), x["side"] + 1)
+        return S.let(F.aggregate(c, empty, step), lambda h: F.filter(c, lambda s: F.array_contains(F.get(h, bucket(s["start"])), code(s))))
+
+    return S.let(frame, kept)
 
 
 def longest_spans(candidates: Column) -> Column:
