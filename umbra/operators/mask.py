@@ -100,8 +100,8 @@ def overlapping(candidates: Column) -> Column:
 
 
 def arbitrate(candidates: Column) -> Column:
-    """Keep each candidate, in order, that overlaps none kept before it."""
-    return S.let(candidates, lambda c: F.when(overlapping(c), F.when(F.size(c) > FOLD, _by_clusters(c)).otherwise(_fold(c))).otherwise(c))
+    """Keep each candidate, in order, that overlaps none kept before it. Each is compared with all that are kept: arbitrated() is for any number."""
+    return S.let(candidates, lambda c: F.when(overlapping(c), _fold(c)).otherwise(c))
 
 
 def _fold(c: Column) -> Column:
@@ -109,65 +109,69 @@ def _fold(c: Column) -> Column:
     return F.aggregate(c, F.slice(c, 1, 0), lambda kept, s: F.when(free(kept, s), F.concat(kept, F.array(s))).otherwise(kept))
 
 
-def _by_clusters(c: Column) -> Column:
-    """arbitrate() for many candidates: those that hang together by overlaps are a cluster, and each cluster is decided for itself.
+def arbitrated(rows: DataFrame, candidates: Column, name: str) -> DataFrame:
+    """rows with a column of arbitrate(candidates), for any number of them in a row.
 
-    Starts and ends are put in order, an end before the starts at its place; a cluster is over where as many have ended as have begun. From
-    there on a span is the places lo and hi of its start and end in that order, which overlap as the spans do and of which no two are equal.
+    Where there are many, those that hang together by overlaps are a cluster, and each cluster is decided for itself. Starts and ends are put in
+    order, an end before the starts at its place; a cluster is over where as many have ended as have begun. From there on a span is the places
+    of its start and end in that order, which overlap as the spans do and of which no two are equal. Each step is a column of its own, null
+    where candidates are few, since an expression as deep as all of them together is beyond the analyser.
     """
-    edges = F.flatten(F.transform(c, lambda s, i: F.array(F.struct(s["start"].alias("at"), F.lit(1).alias("kind"), i.alias("i")), F.struct(s["end"].alias("at"), F.lit(0).alias("kind"), i.alias("i")))))
+    keep = [F.col(f"`{x}`") for x in rows.columns]
+    own = rows.select(*keep, candidates.alias("_c")).select("*", overlapping(F.col("_c")).alias("_o"))
+    for step in _STEPS:
+        own = own.selectExpr("*", step)
+    return own.select(*keep, F.expr(f"case when _h then {_let('_k', 'k', _let('_c', 'c', 'transform(array_sort(transform(k, x -> x.i)), i -> get(c, i))'))} when _o then {_fold_sql('_c')} else _c end").alias(name))
 
-    def placed(e: Column) -> Column:
-        depth = before(F.transform(e, lambda x: 2 * x["kind"] - 1))  # how many are open before each
-        first = F.transform(depth, lambda d: (d == 0).cast("int"))
-        cluster = lambda f, n: F.transform(e, lambda x, at: F.struct(x["i"].alias("i"), at.alias("at"), (F.get(n, at) + F.get(f, at) - 1).alias("cluster")))
-        # By candidate, its start's place and then its end's.
-        return F.sort_array(S.let(first, lambda f: S.let(before(f), lambda n: cluster(f, n))))
 
-    def spans(p: Column) -> Column:
-        one = lambda i: F.struct(F.get(p, 2 * i)["cluster"].alias("cluster"), i.alias("i"), F.get(p, 2 * i)["at"].alias("start"), F.get(p, 2 * i + 1)["at"].alias("end"))
-        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(c) - 1), one))
+# SQL here, since an expression of Columns as long as this takes seconds to make.
+_let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
+_fold_sql = lambda c: f"aggregate({c}, slice({c}, 1, 0), (kept, s) -> if(exists(kept, k -> k.start < s.end and k.end > s.start), kept, concat(kept, array(s))))"
 
-    def decided(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (j == 0) | (F.get(s, F.greatest(j - 1, F.lit(0)))["cluster"] != F.get(s, j)["cluster"]))
-        end = lambda b, k: F.coalesce(F.get(b, k + 1), F.size(s)) - 1
-        own = lambda b: F.transform(b, lambda j, k: F.transform(F.sequence(j, end(b, k)), lambda x: F.get(s, x)))
-        return F.flatten(F.transform(S.let(starts, own), lambda g: F.when(F.size(g) == 1, g).when(F.size(g) <= FOLD, _fold(g)).otherwise(_by_buckets(g))))
 
-    kept = S.let(S.let(S.let(F.sort_array(edges), placed), spans), decided)
-    return F.transform(F.array_sort(F.transform(kept, lambda k: k["i"])), lambda i: F.get(c, i))
+def _before_sql(numbers: str) -> str:
+    """before()."""
+    add = "(a, z) -> concat(a, array(element_at(a, -1) + z))"
+    cut = f"transform(sequence(0, cast(floor((size(x) - 1) / {CHUNK}) as int)), i -> transform(sequence(i * {CHUNK}, least((i + 1) * {CHUNK}, size(x)) - 1), j -> get(x, j)))"
+    base = f"aggregate(transform(c, y -> aggregate(y, 0, (a, z) -> a + z)), array(0), {add})"
+    sums = f"flatten(transform(c, (y, i) -> slice(aggregate(y, array(get(base, i)), {add}), 1, size(y))))"
+    return _let(numbers, "x", f"if(size(x) > 0, {_let(cut, 'c', _let(base, 'base', sums))}, cast(array() as array<int>))")
 
 
-#: What a span's start is multiplied by where start and end make one number.
-_PAIR = 1 << 32
+def _buckets_sql(c: str) -> str:
+    """Decides a large cluster of spans, whose starts and ends differ.
 
-
-def _by_buckets(c: Column) -> Column:
-    """arbitrate() for a large cluster of spans whose starts and ends differ.
-
-    The line is cut into about sqrt(n) buckets, and what is kept is entered, as one number, in each bucket that it reaches into. So a candidate
-    is only compared with the kept ones of its own buckets.
+    The line is cut into about sqrt(n) buckets, and what is kept is entered in each bucket that it reaches into. So a candidate is only compared with
+    the kept ones of its own buckets. What an aggregate hands on is copied each time, so a kept span is one number, start * 2^32 + end.
     """
-    low, high = F.array_min(F.transform(c, lambda s: s["start"])), F.array_max(F.transform(c, lambda s: s["end"]))
-    side = F.ceil(F.sqrt(F.size(c).cast("double"))).cast("int")
-    frame = F.struct(low.alias("low"), F.ceil((high - low + 1) / side).cast("int").alias("w"), side.alias("side"))
-
-    def kept(x: Column) -> Column:
-        bucket = lambda at: F.floor((at - x["low"]) / x["w"]).cast("int")
-        code = lambda s: s["start"].cast("long") * _PAIR + s["end"]
-
-        def step(have: Column, s: Column) -> Column:
-            # What an aggregate hands on is copied each time, so it is numbers and no structs.
-            first, last = bucket(s["start"]), bucket(s["end"])
-            own = F.slice(have, first + 1, last - first + 1)
-            taken = F.exists(own, lambda b: F.exists(b, lambda k: (F.shiftright(k, 32) < s["end"]) & (k % _PAIR > s["start"])))
-            entered = F.concat(F.slice(have, F.lit(1), first), F.transform(own, lambda b: F.concat(b, F.array(code(s)))), F.slice(have, last + 2, F.size(have)))
-            return F.when(taken, have).otherwise(entered)
-
-        empty = F.array_repeat(F.expr("cast(array() as array<bigint>)"), x["side"] + 1)
-        return S.let(F.aggregate(c, empty, step), lambda h: F.filter(c, lambda s: F.array_contains(F.get(h, bucket(s["start"])), code(s))))
-
-    return S.let(frame, kept)
+    bucket = lambda at: f"cast(floor(({at} - f.low) / f.w) as int)"
+    code, pair = "(cast(s.start as bigint) * 4294967296 + s.end)", 1 << 32
+    low, high, side = f"array_min(transform({c}, s -> s.start))", f"array_max(transform({c}, s -> s.end))", f"cast(ceil(sqrt(size({c}))) as int)"
+    frame = f"named_struct('low', {low}, 'w', cast(ceil(({high} - {low} + 1) / {side}) as int), 'side', {side})"
+    first, last = bucket("s.start"), bucket("s.end")
+    own = f"slice(have, {first} + 1, {last} - {first} + 1)"
+    taken = f"exists({own}, b -> exists(b, k -> shiftright(k, 32) < s.end and k % {pair} > s.start))"
+    entered = f"concat(slice(have, 1, {first}), transform({own}, b -> concat(b, array({code}))), slice(have, {last} + 2, size(have)))"
+    have = f"aggregate({c}, array_repeat(cast(array() as array<bigint>), f.side + 1), (have, s) -> if({taken}, have, {entered}))"
+    return _let(frame, "f", _let(have, "h", f"filter({c}, s -> array_contains(get(h, {first}), {code}))"))
+
+
+_PLACED = "transform(_e, (y, at) -> named_struct('i', y.i, 'at', at, 'cluster', get(n, at) + int(get(d, at) = 0)))"
+_SPANS = "transform(sequence(0, cast(size(p) / 2 as int) - 1), i -> named_struct('cluster', get(p, 2 * i).cluster, 'i', i, 'start', get(p, 2 * i).at, 'end', get(p, 2 * i + 1).at))"
+#: Bound by _let() is what a lambda looks into, for the optimiser puts what a column stands for in its place.
+_STEPS = [
+    f"_o and size(_c) > {FOLD} as _h",
+    "if(_h, sort_array(flatten(transform(_c, (s, i) -> array(named_struct('at', s.start, 'kind', 1, 'i', i), named_struct('at', s.end, 'kind', 0, 'i', i))))), null) as _e",
+    # How many are open before each place, and how many clusters have begun there.
+    f"if(_h, {_before_sql('transform(_e, x -> 2 * x.kind - 1)')}, null) as _d",
+    f"if(_h, {_before_sql('transform(_d, d -> int(d = 0))')}, null) as _n",
+    # By candidate, its start's place and then its end's.
+    f"if(_h, sort_array({_let('_d', 'd', _let('_n', 'n', _PLACED))}), null) as _p",
+    f"if(_h, sort_array({_let('_p', 'p', _SPANS)}), null) as _s",
+    f"if(_h, {_let('_s', 's', 'filter(sequence(0, size(s) - 1), j -> j = 0 or get(s, greatest(j - 1, 0)).cluster <> get(s, j).cluster)')}, null) as _b",
+    f"if(_h, {_let('_b', 'b', _let('_s', 's', 'transform(b, (j, k) -> transform(sequence(j, coalesce(get(b, k + 1), size(s)) - 1), y -> get(s, y)))'))}, null) as _g",
+    f"if(_h, flatten(transform(_g, g -> case when size(g) = 1 then g when size(g) <= {FOLD} then {_fold_sql('g')} else {_buckets_sql('g')} end)), null) as _k",
+]
 
 
 def longest_spans(candidates: Column) -> Column:
@@ -180,9 +184,21 @@ def longest_spans(candidates: Column) -> Column:
 
 def claims(docs: DataFrame, entities: Entities = (), use_regex: bool = True, key: str = "doc_id", text: str = "text", detectors: tuple[str | Detector, ...] = tuple(DETECTORS), found: str | None = None) -> DataFrame:
     """key, seq and the span of every claim, in the order of the claims. Null text has none. found: a column of ner.candidates()."""
-    own, near = with_near(docs, entities, text)
-    kept = arbitrate(detected(F.col(text), near, detectors if use_regex else (), F.col(found) if found else None))
-    return own.select(key, F.posexplode(kept).alias("seq", "s")).select(key, "seq", "s.*")
+    kept = _kept(docs, entities, use_regex, key, text, detectors, found)
+    return _each(kept, F.col("_kept"), "_key").select(F.col("_key").alias(key), "seq", "s.*")
+
+
+def _each(rows: DataFrame, found: Column, *keep: str) -> DataFrame:
+    """keep, seq and s: a row for each of an array. An inner explode would have the optimiser make the array a second time, to see whether it is empty."""
+    return rows.select(*keep, F.posexplode_outer(found).alias("seq", "s")).where("seq is not null")
+
+
+def _kept(docs: DataFrame, entities: Entities, use_regex: bool, key: str, text: str, detectors: tuple[str | Detector, ...], found: str | None) -> DataFrame:
+    """_key, _text and _kept, the claims, of each row whose text is not null."""
+    given = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), *([F.col(found).alias("_found")] if found else []))
+    own, near = with_near(given, entities, "_text")
+    candidates = detected(F.col("_text"), near, detectors if use_regex else (), F.col("_found") if found else None)
+    return arbitrated(own, candidates, "_kept").select("_key", "_text", "_kept")
 
 
 def first_texts(kept: Column) -> Column:
@@ -197,10 +213,9 @@ def first_texts(kept: Column) -> Column:
 
 def items(docs: DataFrame, entities: Entities = (), use_regex: bool = True, key: str = "doc_id", text: str = "text", detectors: tuple[str | Detector, ...] = tuple(DETECTORS), found: str | None = None) -> DataFrame:
     """The claims whose text a document has first, with their context."""
-    own, near = with_near(docs, entities, text)
-    kept = first_texts(arbitrate(detected(F.col(text), near, detectors if use_regex else (), F.col(found) if found else None)))
-    rows = own.select(key, F.col(text).alias("_whole"), F.posexplode(kept).alias("seq", "s"))
-    return rows.withColumn("context", S.snippet(F.col("_whole"), F.col("s.text"))).select(key, "seq", "s.*", "context")
+    kept = _kept(docs, entities, use_regex, key, text, detectors, found)
+    rows = _each(kept, first_texts(F.col("_kept")), "_key", "_text")
+    return rows.select(F.col("_key").alias(key), "seq", "s.*", S.snippet(F.col("_text"), F.col("s.text")).alias("context"))
 
 
 def with_item_ids(found: DataFrame, key: str = "doc_id") -> DataFrame:
