@@ -70,9 +70,10 @@ def test_substring(docs, made):
     assert sum(v[1] for v in want.values()) > 1000
 
 
-@pytest.mark.parametrize("step", [suffix_dedup.STEP, 300])
-def test_suffix(docs, made, monkeypatch, step):
+@pytest.mark.parametrize(("step", "hot"), [(suffix_dedup.STEP, suffix_dedup.HOT), (300, 1), (300, 4)])
+def test_suffix(docs, made, monkeypatch, step, hot):
     monkeypatch.setattr(suffix_dedup, "STEP", step)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     seen, want = set(), {}
     for d, t, *_ in made:
         b = (t or "").encode()

@@ -2,6 +2,7 @@
 
 import array
 import random
+import struct
 from itertools import pairwise, product
 
 import public_tokenizers as P
@@ -69,3 +70,41 @@ def test_table(spark):
     key = lambda x: (x[0] is not None, x[0] or 0, x[1], x[3])
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert encode(spark.createDataFrame([], "doc_id long, text string"), PIECES).count() == 0
+
+
+def written(path, pieces, kind, fallback=False, prefix=True):
+    """A model file with the given pieces, as the library reads it."""
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    part = lambda n, b: number(n << 3 | 2) + number(len(b)) + b
+    flag = lambda n, v: number(n << 3) + number(v)
+    data = b"".join(part(1, part(1, p.encode()) + number(2 << 3 | 5) + struct.pack("<f", w) + flag(3, k)) for p, w, k in pieces)
+    data += part(2, flag(3, kind) + flag(35, int(fallback))) + part(3, part(1, b"identity") + flag(3, int(prefix)) + flag(4, 1) + flag(5, 1))
+    path.write_bytes(data)
+    return str(path)
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+def test_unigram_like_the_library(tmp_path, fallback):
+    """Made-up weights, characters that no piece is, alone and in rows; ids and texts are the library's."""
+    r = random.Random(6)
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + ([(f"<0x{i:02X}>", 0.0, 6) for i in range(256)] if fallback else [])
+    pieces += [("".join(x), -round(r.random() * 9, 3), 1) for n in (1, 2, 3) for x in product("ab\u2581", repeat=n) if (n == 1 or r.random() < 0.5) and "\u2581" not in x[1:]]
+    path = written(tmp_path / "m.model", pieces, 1, fallback)
+    sp, t = sentencepiece.SentencePieceProcessor(model_file=path), Transducer(Model(path))
+    for _ in range(500):
+        x = "".join(r.choice("aaabbb  xy\u00e9\u6f22\U0001f600") for _ in range(r.randint(0, 30)))
+        ids = t.encode(x)
+        assert list(array.array("I", ids)) == sp.encode(x), x
+        assert t.decode(ids) == sp.decode(sp.encode(x))
+
+
+def test_models_that_are_refused(tmp_path):
+    path = written(tmp_path / "m.model", [("<unk>", 0.0, 2), ("a", -1.0, 1), ("<x>", 0.0, 4)], 1)
+    with pytest.raises(ValueError, match="user-defined"):
+        Model(path)

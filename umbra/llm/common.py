@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,16 +29,28 @@ def shared_path(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _own_folder()
-    _MADE.append(f"{base.rstrip('/')}/umbra-{name}-{uuid.uuid4().hex}")
-    return _MADE[-1]
+    path = f"{base.rstrip('/')}/umbra-{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    for own in _SCOPES.get():
+        own.append(path)
+    return path
 
 
 #: Paths handed out and not dropped yet, in order.
 _MADE: list[str] = []
+#: The lists of the scopes that are open in this thread.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
-def tables() -> list[str]:
-    return list(_MADE)
+@contextmanager
+def scope():
+    """A list of the paths that are handed out inside, in this thread; other runs and threads have their own."""
+    own: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), own))
+    try:
+        yield own
+    finally:
+        _SCOPES.reset(token)
 
 
 def drop_tables(spark: SparkSession, paths: list[str] | None = None) -> None:
@@ -45,7 +59,8 @@ def drop_tables(spark: SparkSession, paths: list[str] | None = None) -> None:
     for p in _MADE.copy() if paths is None else paths:
         at = folders.Path(p)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        _MADE.remove(p)
+        if p in _MADE:  # it may have been dropped before
+            _MADE.remove(p)
 
 
 @cache

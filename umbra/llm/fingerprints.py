@@ -10,9 +10,11 @@ from .common import NO_ID, let, parts
 #: A section ends after a blank line, a paragraph after its line feeds.
 SECTION = r"(?s).+?(?:\n[\x20\t\r]*\n[\x20\t\r\n]*|\z)"
 PARAGRAPH = r"[^\n]+\n*|\n+"
-#: A leaf ends where its own text says so, so leaves behind an edit stay as they were: at the first word from 16 characters on that ends in
-#: one of these, or after 256.
-LEAF = r"(?s).{16,256}?[aeo,.;:!?][\x20\t\r\n]+|.{1,256}"
+#: Where a leaf can end in text without blanks: after one character in thirty or so, in scripts written so and in unspaced ASCII.
+_MARKS = r"7wWmM_/+=\-\x{3002}\x{3001}\x{FF0C}\x{306E}\x{306F}\x{3092}\x{30A2}\x{30F3}\x{0E00}-\x{0E0F}\x{4E00}-\x{4EFF}\x{6500}-\x{65FF}\x{8000}-\x{80FF}\x{AC00}-\x{ADFF}\x{C700}-\x{C7FF}"
+#: A leaf ends where its own text says so, so leaves behind an edit stay as they were: from 16 characters on at the first word that ends in one
+#: of these, or where no blank comes at one of the marks, or after 256.
+LEAF = rf"(?s).{{16,256}}?[aeo,.;:!?][\x20\t\r\n]+|[^\x20\t\r\n]{{16,255}}?[{_MARKS}]|.{{1,256}}"
 #: Leaves in a sketch, of 8 hex digits each: those of least hash.
 SKETCH = 128
 #: Bytes of text that one task sorts by doc_id and looks at beside their neighbours.

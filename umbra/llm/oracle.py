@@ -147,4 +147,15 @@ select anchor_id, positive_id, row_number() over (partition by anchor_id, positi
  from positives join scored n using (anchor_id) where not n.same and 30 * positive_score <= 100 * n.score and 100 * n.score <= 90 * positive_score
  qualify rank <= 10"""
 
-ORACLE = {"op1_quality_rules": OP1, "op2_line_dedup": OP2, "op3_chat_formatting": OP3, "op6_substring_dedup": OP6, "op10_fingerprints": OP10, "op11_code_compression": _lloyd(), "op13_hard_negatives": OP13}
+OP5 = """with d as materialized (select doc_id, encode(coalesce(text, '')) as b from documents),
+ w as materialized (select doc_id, i, b[i:i + 99] as g from d, unnest(range(1, octet_length(b) - 98)) as u(i) where octet_length(b) >= 100),
+ again as (select doc_id, i from (select doc_id, i, row_number() over (partition by g order by doc_id, i) as r from w) where r > 1),
+ cut as (select doc_id, i, coalesce(i > lag(i) over (partition by doc_id order by i) + 100, true) as new from again),
+ run as (select doc_id, i, sum(new::int) over (partition by doc_id order by i) as r from cut),
+ gone as (select doc_id, r, min(i) as lo, max(i) + 99 as hi from run group by doc_id, r),
+ kept as (select doc_id, coalesce(lag(hi) over (partition by doc_id order by r), 0) as from_, lo, hi, row_number() over (partition by doc_id order by r desc) as last from gone),
+ left_ as (select d.doc_id, list(b[from_ + 1:lo - 1] order by from_) as l, max(hi) as hi, count(*) as n_spans, sum(hi - lo + 1) as n_removed from d join kept using (doc_id) group by d.doc_id)
+select d.doc_id, octet_length(b)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+ sha256(case when l is null then b else list_reduce(l || [b[hi + 1:octet_length(b)]], lambda x, y: x || y) end) as kept_sha256 from d left join left_ using (doc_id)"""
+
+ORACLE = {"op1_quality_rules": OP1, "op2_line_dedup": OP2, "op3_chat_formatting": OP3, "op5_suffix_dedup": OP5, "op6_substring_dedup": OP6, "op10_fingerprints": OP10, "op11_code_compression": _lloyd(), "op13_hard_negatives": OP13}

@@ -14,6 +14,7 @@ import re
 import struct
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +75,8 @@ class Model:
                 charsmap, prefix, squeeze = t.get(2, b""), t.get(3, 1), t.get(4, 1)
         if charsmap or self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models without a character map are supported")
+        if any(kind == USER for _, _, kind in self.pieces):
+            raise ValueError("models with user-defined pieces are not supported: the library cuts texts at them before it encodes")
         self.prefix, self.squeeze = bool(prefix), bool(squeeze)
         self.text = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind in (NORMAL, USER)}
         self.bytes = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE} if fallback else {}
@@ -122,6 +125,8 @@ class Transducer:
         self.normaliser = Normaliser(model)
         self.trie: dict = {}
         self.longest = max(map(len, model.text), default=0)
+        # What a character weighs that no piece is: ten more than the heaviest piece.
+        self.strange = float(np.float32(-min((w for _, w, k in model.pieces if k == NORMAL), default=0.0)) + np.float32(10))
         self.joined: set[str] = set()  # pairs of characters side by side in some piece
         for p, i in model.text.items():
             node = self.trie
@@ -196,7 +201,7 @@ class Transducer:
                 arcs.append((end, arc))
         if not arcs or arcs[0][0] != at + 1:
             ids = tuple(self.model.bytes[b] for b in unit[at].encode()) if self.model.bytes else (self.model.unknown,)
-            arcs.insert(0, (at + 1, (-1, ids, 20.0)))
+            arcs.insert(0, (at + 1, (-1, ids, self.strange)))
         return arcs
 
     def shortest(self, unit: str) -> list[int]:
@@ -204,12 +209,12 @@ class Transducer:
         return self._only(unit) if self.model.kind == BPE else self._relaxed(unit)
 
     def _relaxed(self, unit: str) -> list[int]:
-        """Relaxation in the order of places; pieces do not constrain each other, so a place is a state."""
-        best: list = [(0.0, 0, ())] + [None] * len(unit)
+        """Relaxation in the order of places; pieces do not constrain each other, so a place is a state. Sums are 32-bit floats, as the library's."""
+        best: list = [(np.float32(0), 0, ())] + [None] * len(unit)
         for at in range(len(unit)):
             if best[at] is not None:
                 for end, (_, ids, weight) in self._arcs(unit, at):
-                    cost = best[at][0] + weight
+                    cost = best[at][0] + np.float32(weight)
                     if best[end] is None or cost < best[end][0]:
                         best[end] = (cost, at, ids)
         at, path = len(unit), []
@@ -246,6 +251,11 @@ class Transducer:
                 path.pop()
 
     def encode(self, text: str) -> bytes:
+        if self.model.kind == UNIGRAM:
+            # The library adds weights up over the whole text, as 32-bit floats: what ties in one place may not in another, so units are not parted.
+            whole = self.normaliser.compose(text)
+            ids = array.array("I", self._relaxed(whole)).tobytes() if whole else b""
+            return ids if self.model.bytes else self._merged(ids)
         memo, out = self.memo, []
         for run in self._runs(self.normaliser.compose(text)):
             got = memo.get(run)
@@ -253,7 +263,14 @@ class Transducer:
                 got = self._unit(run, self._encoded)
                 memo = self.memo  # a full one has been set aside
             out.append(got)
-        return b"".join(out)
+        ids = b"".join(out)
+        return ids if self.model.bytes else self._merged(ids)
+
+    def _merged(self, ids: bytes) -> bytes:
+        """Neighbouring characters that no piece is are one unknown piece."""
+        own = np.frombuffer(ids, np.uint32)
+        strange = own == self.model.unknown
+        return own[~(strange & np.r_[False, strange[:-1]])].tobytes() if len(own) else ids
 
     def _encoded(self, run: str) -> bytes:
         units = self._split(run)

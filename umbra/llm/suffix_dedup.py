@@ -27,6 +27,8 @@ STEP, PART = 2 << 20, 256 << 20
 U64 = np.uint64
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 _TABLE = np.random.default_rng(100).integers(1, 2**63, 256, dtype=U64) | U64(1)
+#: Rows of one anchor up to which they are gone through in one task; about 40 MB.
+HOT = 200_000
 #: A stretch of text whose windows share an anchor; without anchor the intervals that a block has settled itself.
 STRETCH = "anchor binary, block int, doc_id long, ordinal int, place int, stretch binary"
 
@@ -146,32 +148,54 @@ def _judge(step: int):
         return B.message_table(_judged(codes, *cols, t.column("stretch").combine_chunks())).combine_chunks().to_batches()
 
     def judge(batches):
-        left, size = [], 0
+        left, size, least = [], 0, step
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                known = pc.is_null(part.column("anchor"))
-                if pc.any(known).as_py():
-                    own = part.filter(known)
-                    yield from B.message_table([(k, FOUND, 0, p) for k, p in zip(own.column("block").to_pylist(), own.column("stretch").to_pylist(), strict=True)]).to_batches()
-                    part = part.filter(pc.invert(known))
-                if not part.num_rows:
-                    continue
                 left.append(part)
                 size += part.nbytes
-                if size >= step:
+                if size >= least:
                     t = pa.Table.from_batches(left)
                     n = pc.sum(pc.equal(t.column("anchor"), t.column("anchor")[-1])).as_py()
                     if n < t.num_rows:
                         yield from run(t.slice(0, t.num_rows - n))
                         t = t.slice(t.num_rows - n)
-                    left, size = t.combine_chunks().to_batches(), 0
+                    left = t.combine_chunks().to_batches()
+                    size = sum(x.nbytes for x in left)
+                    least = max(step, 2 * size)  # what one anchor has is copied no more than twice over
         if left:
             yield from run(pa.Table.from_batches(left))
 
     return judge
 
 
+def _by_windows(rows: DataFrame) -> DataFrame:
+    """The answers for anchors that have more rows than a task should hold: every window is a row, met by its bytes, so no anchor is in one place."""
+
+    def cut(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500).to_pydict()
+                n = [len(x) - WIDTH + 1 for x in part["stretch"]]
+                windows = [x[i : i + WIDTH] for x in part["stretch"] for i in range(len(x) - WIDTH + 1)]
+                spread = lambda c, t, n=n, part=part: pa.array(np.repeat(np.array(part[c], t), n))
+                place = np.repeat(np.array(part["place"], np.int32), n) + np.concatenate([np.arange(x, dtype=np.int32) for x in n])
+                yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), spread("block", np.int32), spread("doc_id", np.int64), spread("ordinal", np.int32), pa.array(place.astype(np.int32))], ["w", "block", "doc_id", "ordinal", "place"])
+
+    windows = rows.mapInArrow(cut, "w binary, block int, doc_id long, ordinal int, place int")
+    at = F.struct("doc_id", "block", "ordinal", "place")
+    firsts = windows.groupBy("w").agg(F.min(at).alias("first"))
+    later = windows.join(firsts, "w").where(at > F.col("first")).select("block", "ordinal", "place")
+
+    def told(batches):
+        for b in batches:
+            block, o, p = (b.column(c).to_numpy() for c in ("block", "ordinal", "place"))
+            out = [(int(k), FOUND, 0, B.pack(o[block == k].astype("<i4"), p[block == k].astype("<i4"), (p[block == k] + WIDTH).astype("<i4"))) for k in np.unique(block)]
+            yield from B.message_table(out).combine_chunks().to_batches()
+
+    return later.mapInArrow(told, B.MESSAGE)
+
+
 def _finish(docs: pa.Table, messages: pa.Table) -> pa.Table:
     block = B.Block(docs, messages)
     found = B.intervals(block, FOUND)
@@ -212,10 +236,18 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
     asked = plan.reps.unionByName(B.answers(plan.visit(plan.reps, first, B.OUT), ASKED))
     made = stored(plan.visit(asked, second, STRETCH), "stretches")
-    n_bytes = made.agg(F.sum(F.octet_length("stretch"))).first()[0] or 0
+    # What blocks have settled goes back to them as it is.
+    settled = made.where("anchor is null").select("block", F.lit(FOUND).alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("long").alias("doc_id"), F.col("stretch").alias("payload"))
+    open_ = made.where("anchor is not null")
+    n_bytes = open_.agg(F.sum(F.octet_length("stretch"))).first()[0] or 0
     parts_ = max(parts(docs.sparkSession), -(-n_bytes // PART))
-    dealt = made.repartitionByRange(parts_, "anchor").sortWithinPartitions("anchor")
-    found = dealt.mapInArrow(_judge(STEP), B.MESSAGE)
+    hot = open_.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor")
+    found = settled
+    if not hot.isEmpty():
+        found = found.unionByName(_by_windows(open_.join(hot, "anchor", "left_semi")))
+        open_ = open_.join(hot, "anchor", "left_anti")
+    dealt = open_.repartitionByRange(parts_, "anchor").sortWithinPartitions("anchor")
+    found = found.unionByName(dealt.mapInArrow(_judge(STEP), B.MESSAGE))
     return plan.visit(plan.reps.unionByName(found), _finish, RESULT)
 
 
