@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbra.llm.common import NO_ID, drop_tables, shared_path, stored, tables
+from umbra.llm.common import NO_ID, drop_tables, scope, shared_path, stored
 from umbra.llm.line_dedup import line_dedup
 from umbra.llm.packing import pack
 from umbra.llm.quality import judge
@@ -100,11 +100,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other; what each has stored on its way is deleted when its result is written."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other. What a stage has stored on its way goes when its result is written, and a result when the next one is."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        path, before = shared_path(spark, name), set(tables())
-        stage(spark, docs, sf_dir).write.parquet(path)
-        drop_tables(spark, [t for t in tables() if t not in before])
-        docs = spark.read.parquet(path)
+        path = shared_path(spark, name)
+        with scope() as made:
+            stage(spark, docs, sf_dir).write.parquet(path)
+        drop_tables(spark, made + last)
+        docs, last = spark.read.parquet(path), [path]
     return docs
