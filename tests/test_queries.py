@@ -1,10 +1,10 @@
 import oracle_check
 import pytest
 
-from umbra.plans import flow, flow_oracle, oracle, queries
+from umbra.plans import flow, flow_oracle, oracle, queries, scale, scale_oracle
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = queries.QUERIES | flow.QUERIES, oracle.ORACLE | flow_oracle.ORACLE
+QUERIES, ORACLE = queries.QUERIES | flow.QUERIES | scale.QUERIES, oracle.ORACLE | flow_oracle.ORACLE | scale_oracle.ORACLE
 
 
 @pytest.fixture(scope="module")

@@ -234,11 +234,41 @@ def with_placeholders(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.join(named, "group_key").withColumn("category", F.when(F.col("category").startswith("="), "Custom").otherwise(F.col("category")))
 
 
+def _pairs(items: DataFrame, key: str) -> DataFrame:
+    """key and pair, a row for each original of a document; of equal originals the last counts."""
+    last = items.groupBy(key, "text").agg(F.max_by("placeholder", "seq").alias("p"), F.max_by("category", "seq").alias("c"), F.min("seq").alias("seq"))
+    return last.select(key, F.struct((-F.length("text")).alias("rank"), "seq", F.col("text").alias("o"), "p", S.is_grey(F.col("c"), F.col("p")).alias("grey")).alias("pair"))
+
+
 def mapping(items: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, pairs: for each document the longest originals first, of equal length the one seen first; of equal originals the last counts."""
-    last = items.groupBy(key, "text").agg(F.max_by("placeholder", "seq").alias("p"), F.max_by("category", "seq").alias("c"), F.min("seq").alias("seq"))
-    pair = F.struct((-F.length("text")).alias("rank"), "seq", F.col("text").alias("o"), "p", S.is_grey(F.col("c"), F.col("p")).alias("grey"))
-    return last.groupBy(key).agg(F.sort_array(F.collect_list(pair)).alias("pairs"))
+    return _pairs(items, key).groupBy(key).agg(F.sort_array(F.collect_list("pair")).alias("pairs"))
+
+
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+"), F.lit(0))
+
+
+def indexed(docs: DataFrame, items: DataFrame, key: str, text: str) -> DataFrame:
+    """docs whose mapping is not empty with pairs: those of the mapping that can make a difference to the text, in their order.
+
+    A whole-word original has each of its runs of word characters as a whole run of the text, or of a placeholder that was put in before. So
+    mapping and texts meet by (key, the original's longest run); originals whose run is in a placeholder, or that have none, go with
+    every text. Texts are told apart by a digest.
+    """
+    found = _pairs(items, key)
+    longest = F.array_max(F.transform(_tokens(F.col("pair.o")), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    rows = found.select(F.col(key).alias("_k"), "pair", longest.alias("_w"))
+    put_in = found.select(F.col(key).alias("_pk"), F.explode(_tokens(F.col("pair.p"))).alias("_pw")).distinct().withColumn("_in", F.lit(True))
+    rows = rows.join(put_in, (F.col("_k") == F.col("_pk")) & (F.col("_w") == F.col("_pw")), "left").withColumn("_all", F.col("_w").isNull() | F.col("_in").isNotNull()).select("_k", "_w", "_all", "pair")
+    # A row for each document with a mapping, with what goes with every text.
+    every = rows.groupBy("_k").agg(F.collect_list(F.when(F.col("_all"), F.col("pair"))).alias("_every"))
+    own = docs.withColumn("_t", F.md5(F.col(text)))
+    words = own.select(F.col(key).alias("_k"), "_t", F.explode(F.array_distinct(_tokens(F.col(text)))).alias("_w"))
+    near = words.join(rows.where("not _all").select("_k", "_w", "pair"), ["_k", "_w"]).groupBy("_k", "_t").agg(F.collect_set("pair").alias("_near"))
+    near = near.select(F.col("_k").alias("_nk"), F.col("_t").alias("_nt"), "_near")
+    joined = own.join(every, F.col(key) == F.col("_k")).join(near, (F.col("_k") == F.col("_nk")) & (F.col("_t") == F.col("_nt")), "left")
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.sort_array(F.concat("_every", F.coalesce("_near", F.slice("_every", 1, 0)))).alias("pairs"))
 
 
 def replace_word(text: Column, original: Column, placeholder: Column) -> Column:
@@ -298,12 +328,13 @@ def chosen(reviewed: DataFrame) -> DataFrame:
     return reviewed.where(F.coalesce(F.col("include"), F.lit(True))) if "include" in reviewed.columns else reviewed
 
 
-def apply(docs: DataFrame, reviewed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def apply(docs: DataFrame, reviewed: DataFrame, key: str = "doc_id", text: str = "text", many: bool = False) -> DataFrame:
     """docs whose mapping is not empty, with masked text, changed and any_grey. reviewed: key, seq, text, category, placeholder, include.
 
     docs may hold a document in several rows (cells, paragraphs), each masked by the mapping of the document. A null text stays null.
+    many: mappings have hundreds of entries or more, so that each text is first told which of them concern it; the result is the same.
     """
-    joined = docs.join(mapping(chosen(reviewed), key), key)
+    joined = indexed(docs, chosen(reviewed), key, text) if many else docs.join(mapping(chosen(reviewed), key), key)
     done = joined.withColumn("_m", folded(F.col(text), F.col("pairs")))
     return done.select(*docs.columns, F.col("_m.text").alias("masked"), F.col("_m.changed").alias("changed"), F.col("_m.grey").alias("any_grey"))
 

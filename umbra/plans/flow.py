@@ -93,9 +93,8 @@ def flagged_images(spark, d):
     slots = _slots(spark, d)
     action = F.when(F.col("o_orderstatus") == "F", "replace").when(F.col("o_orderstatus") == "P", "blank")
     decisions = slots.select("file_index", "id", (F.col("o_totalprice") > 200000).alias("include"), action.alias("action"))
-    kind = F.when(F.lower(F.element_at(F.split("id", r"\."), -1)).isin("jpg", "jpeg"), "JPEG").otherwise("PNG")
     out = office.flagged_images(office.image_manifest(slots), decisions, has_logo=True)
-    return out.select("file_index", "id", "action", kind.alias("format"))
+    return out.select("file_index", "id", "action", office.slot_format(F.col("id")).alias("format"))
 
 
 def _items(spark, d):

@@ -2,7 +2,7 @@
 
 Tasks write below a folder of their own, `_umbra-<job>/<task attempt>`. Only when all tasks are through does the commit move what the
 attempts that count have written to its place, and join their pieces of the JSON document in the order of the partitions; an attempt
-that failed, or ran a second time, leaves nothing. An aborted job leaves the folder as it was.
+that failed, or ran a second time, leaves nothing. An aborted job leaves the folder as it was; a task that is late finds no place to write to.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ class FolderWriter(DataSourceArrowWriter):
         # A section without a name makes the document an array; else it is an object of arrays, in this order.
         self.sections = options.get("sections", "").split(",")
         self.job = f"_umbra-{uuid.uuid4().hex}"
+        system, base = file_system(self.folder)
+        system.create_dir(posixpath.join(base, self.job), recursive=True)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
@@ -52,7 +54,7 @@ class FolderWriter(DataSourceArrowWriter):
         system, base = file_system(self.folder)
         own = posixpath.join(base, self.job, f"{task.partitionId()}-{task.taskAttemptId()}")
         out, open_pieces = Written(task.partitionId()), {}
-        system.create_dir(own, recursive=True)
+        system.create_dir(own, recursive=False)  # where the job has been aborted there is no place for a late task
         try:
             for batch in iterator:
                 path, content, section, value = (batch.column(c) for c in ("path", "content", "section", "value"))
@@ -70,6 +72,9 @@ class FolderWriter(DataSourceArrowWriter):
                         stream, _, n = open_pieces[name]
                         stream.write((",\n" if n else "").encode() + value[i].as_py().encode())
                         open_pieces[name][2] += 1
+        except BaseException:
+            self._drop(own)
+            raise
         finally:
             for stream, _, _ in open_pieces.values():
                 stream.close()
@@ -109,12 +114,14 @@ class FolderWriter(DataSourceArrowWriter):
         self._clear()
 
     def _clear(self) -> None:
+        self._drop(posixpath.join(file_system(self.folder)[1], self.job))
+
+    def _drop(self, path: str) -> None:
         import pyarrow.fs as fs
 
-        system, base = file_system(self.folder)
-        own = posixpath.join(base, self.job)
-        if system.get_file_info(own).type != fs.FileType.NotFound:
-            system.delete_dir(own)
+        system, _ = file_system(self.folder)
+        if system.get_file_info(path).type != fs.FileType.NotFound:
+            system.delete_dir(path)
 
 
 class Folder(DataSource):

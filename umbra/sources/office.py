@@ -125,6 +125,11 @@ def image_manifest(found: DataFrame) -> DataFrame:
     return good.groupBy("file_index", "digest").agg(ids.alias("all_ids"), F.count("*").alias("count"), F.min("location").alias("location")).withColumn("id", F.get("all_ids", F.lit(0)))
 
 
+def slot_format(image: Column) -> Column:
+    """The format that an image's place in a file asks for, by its name: what ooxml.image_format() says of it."""
+    return F.when(F.lower(F.element_at(F.split(image, r"\."), -1)).isin("jpg", "jpeg"), "JPEG").otherwise("PNG")
+
+
 def image_action(action: Column, has_logo: bool) -> Column:
     """replace where that is asked for and there is something to replace with, else blank."""
     return F.when((F.coalesce(action, F.lit("blank")) == "replace") & F.lit(has_logo), "replace").otherwise("blank")
