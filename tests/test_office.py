@@ -212,20 +212,60 @@ def test_numbers(spark):
     assert [x[0] for x in spark.createDataFrame([(n,) for n in big], "n long").select(S.letters(F.col("n"))).collect()] == [plain(n) for n in big]
 
 
-def test_tagger_on_chunks(spark):
-    """Streets beyond the first chunk keep their places in the whole text; empty texts have none."""
+def by_words(parts):
+    """A tagger by rule: words and their places; digits are numbers, all else proper nouns."""
+    words = F.expr(r"regexp_extract_all(chunk, '\\S+', 0)")
+    gaps = F.expr(r"split(chunk, '\\S+', -1)")
+    own = parts.withColumn("w", words).withColumn("at", M.before(F.transform(gaps, lambda g, i: F.length(g) + F.coalesce(F.length(F.get("w", i)), F.lit(0)))))
+    token = lambda x, i: F.struct(x.alias("text"), (F.get("at", i) + F.length(F.get(gaps, i))).alias("start"), F.when(x.rlike(r"^\d"), "NUM").otherwise("PROPN").alias("pos"), F.lit(False).alias("punct"))
+    own = own.withColumn("tokens", F.transform("w", token))
+    pair = lambda x, i: F.when(x.rlike("^City") & F.get("w", i + 1).rlike("^Of"), F.struct(i.alias("first"), (i + 2).alias("last"), F.lit("GPE").alias("label")))
+    return own.withColumn("ents", F.filter(F.transform("w", pair), lambda e: e.isNotNull()))
 
-    def tagger(parts):
-        words = F.expr(r"regexp_extract_all(chunk, '\\S+', 0)")
-        gaps = F.expr(r"split(chunk, '\\S+', -1)")
-        own = parts.withColumn("w", words).withColumn("at", M.before(F.transform(gaps, lambda g, i: F.length(g) + F.coalesce(F.length(F.get("w", i)), F.lit(0)))))
-        token = lambda x, i: F.struct(x.alias("text"), (F.get("at", i) + F.length(F.get(gaps, i))).alias("start"), F.when(x.rlike(r"^\d"), "NUM").otherwise("PROPN").alias("pos"), F.lit(False).alias("punct"))
-        return own.withColumn("tokens", F.transform("w", token)).withColumn("ents", F.expr(f"cast(array() as {ner.ENTS})"))
 
+def test_tagger_on_chunks(spark):
+    """Streets beyond the first chunk keep their places in the whole text; empty texts have none; keys may be null or shared."""
     text = "x" * 99_990 + "\n" * 20 + "12 Baker Street"
-    docs = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "7 Jalan Besar")], "doc_id long, text string")
-    out = {r.doc_id: [(x.text, x.start, x.end) for x in r.found] for r in ner.tagged(docs, tagger).collect()}
-    assert out == {1: [("12 Baker Street", 100_010, 100_025)], 2: [], 3: [], 4: [("Jalan Besar", 2, 13)]}
+    docs = spark.createDataFrame([(1, text), (2, ""), (None, None), (None, "7 Jalan Besar"), (None, "7 Jalan Besar")], "doc_id long, text string")
+    out = sorted((r.doc_id or 0, r.text or "", [(x.text, x.start, x.end) for x in r.found]) for r in ner.tagged(docs, by_words).collect())
+    street = [("Jalan Besar", 2, 13)]
+    assert out == [(0, "", []), (0, "7 Jalan Besar", street), (0, "7 Jalan Besar", street), (1, text, [("12 Baker Street", 100_010, 100_025)]), (2, "", [])]
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(100, 400), (150, 500), (400, 700)])
+def test_chunks_find_what_the_whole_text_has(spark, size, overlap):
+    """Entities and streets across every cut are found once and whole; the hard cut loses some."""
+    r = random.Random(size)
+    texts = [" ".join(r.choice(["12 Baker Street", "City1 Of1 048624", "Jalan Besar", "City2 Of", "word", "and", "9 The Old Kent Road , City3 Of2", "b" * 9]) for _ in range(60)) for _ in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tell = lambda **k: {x.doc_id: sorted(tuple(f)[2:] + tuple(f)[:2] for f in x.found) for x in ner.tagged(docs, by_words, **k).collect()}
+    whole = tell()
+    assert tell(size=size, overlap=overlap) == whole and tell(size=size, overlap=0) != whole and sum(map(len, whole.values())) > 100
+
+
+def test_model_is_loaded_once_a_worker(spark, tmp_path):
+    """A loader that counts: as many loads as workers, not as tasks; no call has more characters than asked, but for one text alone."""
+    folder = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        open(f"{folder}/load-{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def model(texts):
+            open(f"{folder}/call-{sum(map(len, texts)) if len(texts) > 1 else 0}-{uuid.uuid4().hex}", "w").close()
+            return [([{"text": t[:5], "start": 0, "pos": "PROPN", "punct": False}], [{"first": 0, "last": 1, "label": "GPE"}]) for t in texts]
+
+        return model
+
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('Paris ', repeat('x', id)) as text").repartition(40)
+    found = ner.tagged(docs, ner.provider(load, 1000), overlap=0)
+    for _ in range(2):
+        assert found.where("found[0].text = 'Paris'").count() == 400
+    names = [p.name.split("-") for p in tmp_path.iterdir()]
+    pids = [n[1] for n in names if n[0] == "load"]
+    assert len(pids) == len(set(pids)) <= 16 and max(int(n[1]) for n in names if n[0] == "call") <= 1000
 
 
 def test_reviews_without_items(spark):

@@ -7,10 +7,13 @@ patterns are regular expressions over the string of these letters.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import lexicons as L
 from ..functions import scalars as S
@@ -20,8 +23,10 @@ TOKENS = "array<struct<text:string,start:int,pos:string,punct:boolean>>"
 ENTS = "array<struct<first:int,last:int,label:string>>"
 FOUND = "array<struct<text:string,category:string,start:int,end:int>>"
 Tagger = Callable[[DataFrame], DataFrame]
-#: Characters that a tagger is given at a time.
-CHUNK = 100_000
+#: A model of a tagger: texts to (tokens, entities) of each, as dicts of what TOKENS and ENTS hold.
+Model = Callable[[list[str]], list[tuple[list[dict], list[dict]]]]
+#: Characters of a text that are a tagger's own to tell at a time, and those on either side that it is shown besides.
+CHUNK, OVERLAP = 100_000, 1_000
 #: One letter for each set of the five kinds of token.
 _LETTERS = "0123456789abcdefghijklmnopqrstuv"
 NUMBER, DETERMINER, NOUN, SUFFIX, PREFIX = range(5)
@@ -35,11 +40,51 @@ STREET = f"^(?:{_kind(NUMBER)}{_kind(DETERMINER)}?{_kind(NOUN)}*{_kind(SUFFIX)}|
 _POSTCODE = r"^\d{4,6}$"
 
 
-def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK) -> DataFrame:
-    """key, offset, chunk: each text in parts of `size` characters, for taggers that take no more. Empty and null texts have none."""
+def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK, overlap: int = 0) -> DataFrame:
+    """key, own, offset, chunk: each text in parts of `size` characters, from own on, with `overlap` more on either side; a chunk begins at offset. Empty and null texts have none."""
     at = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(size)))
-    parts = docs.select(key, text, F.explode(at).alias("offset"))
-    return parts.select(key, "offset", F.substring(F.col(text), F.col("offset") + 1, F.lit(size)).alias("chunk"))
+    parts = docs.select(key, text, F.explode(at).alias("own"))
+    parts = parts.withColumn("offset", F.greatest(F.col("own") - overlap, F.lit(0)))
+    return parts.select(key, "own", "offset", F.substring(F.col(text), F.col("offset") + 1, F.col("own") + size + overlap - F.col("offset")).alias("chunk"))
+
+
+#: Models by provider, for all tasks of a Python worker.
+_MODELS: dict[str, Model] = {}
+
+
+def _model(name: str, load: Callable[[], Model]) -> Model:
+    if name not in _MODELS:
+        _MODELS[name] = load()
+    return _MODELS[name]
+
+
+def provider(load: Callable[[], Model], batch_chars: int = 1_000_000) -> Tagger:
+    """A tagger of a model that is loaded once in each Python worker, when its first task begins, and is given up to batch_chars characters at a time.
+
+    load is sent to the workers, and so must be small; what it returns stays there.
+    """
+    name = uuid.uuid4().hex
+    token = pa.struct([("text", pa.string()), ("start", pa.int32()), ("pos", pa.string()), ("punct", pa.bool_())])
+    ent = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("label", pa.string())])
+
+    def run(batches):
+        model = _model(name, load)
+        for b in batches:
+            at, texts = 0, [t.as_py() for t in b.column("chunk")]
+            while at < len(texts):
+                end, size = at, 0
+                while end < len(texts) and (end == at or size + len(texts[end]) <= batch_chars):
+                    size += len(texts[end])
+                    end += 1
+                tokens, ents = zip(*model(texts[at:end]), strict=True)
+                yield pa.RecordBatch.from_arrays([*b.slice(at, end - at).columns, pa.array(tokens, pa.list_(token)), pa.array(ents, pa.list_(ent))], [*b.schema.names, "tokens", "ents"])
+                at = end
+
+    def tagger(parts: DataFrame) -> DataFrame:
+        kinds = [T.StructField(n, T._parse_datatype_string(k)) for n, k in (("tokens", TOKENS), ("ents", ENTS))]
+        return parts.mapInArrow(run, T.StructType([*parts.schema.fields, *kinds]))
+
+    return tagger
 
 
 def _letter(t: Column) -> Column:
@@ -125,9 +170,31 @@ def candidates(text: Column, tokens: Column, ents: Column, address_only: bool =
     return F.coalesce(S.let(S.let(streets(tokens), grown), both), F.expr(f"cast(array() as {FOUND})"))
 
 
-def tagged(docs: DataFrame, tagger: Tagger, address_only: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with a column found for claims() and items(). The tagger sees chunks: a table of key, offset and chunk."""
-    parts = tagger(chunks(docs, key, text))
-    found = parts.select(key, "offset", candidates(F.col("chunk"), F.col("tokens"), F.col("ents"), address_only, F.col("offset")).alias("found"))
-    whole = found.groupBy(key).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("offset", "found"))), lambda x: x["found"])).alias("found"))
-    return docs.join(whole, key, "left").withColumn("found", F.coalesce("found", F.expr(f"cast(array() as {FOUND})")))
+def tagged(docs: DataFrame, tagger: Tagger, address_only: bool = True, key: str = "doc_id", text: str = "text", size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """docs with a column found for claims() and items(). The tagger sees chunks: a table with the columns offset and chunk. key is not needed.
+
+    Chunks overlap, and what two of them have found is parted at a seam: the first place from where the second one's own part begins at which both
+    have a token and neither has an entity that goes on (else the last one before it). Both have seen what lies around it, so what reaches
+    over the seam is found by the first chunk, whole, and left out by the second. Without overlap texts are cut where size says. A text is
+    tagged once, however many rows have it.
+    """
+    own = docs.where(F.col(text).isNotNull()).select(F.md5(F.col(text)).alias("_t"), F.col(text).alias("_text")).groupBy("_t").agg(F.any_value("_text").alias("_text"))
+    parts = tagger(chunks(own, "_t", "_text", size, overlap))
+    half = overlap // 2
+    goes_on = lambda j: F.exists("ents", lambda e: (e["first"] < j) & (j < e["last"]))
+    places = F.filter(F.transform("tokens", lambda t, j: F.struct((t["start"] + F.col("offset")).alias("at"), j.alias("j"))), lambda x: F.least(F.abs(x["at"] - F.col("_begin")), F.abs(x["at"] - F.col("_begin") - size)) <= half)
+    placed = parts.withColumn("_begin", F.col("own")).select("_t", "_begin", candidates(F.col("chunk"), F.col("tokens"), F.col("ents"), address_only, F.col("offset")).alias("found"), F.transform(F.filter(places, lambda x: ~goes_on(x["j"])), lambda x: x["at"]).alias("_at"))
+    in_order = Window.partitionBy("_t").orderBy("_begin")
+    after = F.col("_begin") + size
+
+    def seam(common: Column) -> Column:
+        return F.coalesce(F.get(F.filter(common, lambda x: x >= after), F.lit(0)), F.try_element_at(F.filter(common, lambda x: x < after), F.lit(-1)), after)
+
+    ahead = F.lead("_at").over(in_order)
+    near = lambda c: F.filter(c, lambda x: F.abs(x - after) <= half)
+    seams = placed.withColumn("_next", ahead).withColumn("_to", F.when(F.col("_next").isNotNull(), S.let(F.array_sort(F.array_intersect(near("_at"), near("_next"))), seam)))
+    seams = seams.withColumn("_from", F.coalesce(F.lag("_to").over(in_order), F.lit(0)))
+    kept = seams.select("_t", "_begin", F.filter("found", lambda c: (c["start"] >= F.col("_from")) & (F.col("_to").isNull() | (c["start"] < F.col("_to")))).alias("found"))
+    whole = kept.groupBy("_t").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_begin", "found"))), lambda x: x["found"])).alias("_found"))
+    joined = docs.withColumn("_t", F.md5(F.col(text))).join(whole, "_t", "left")
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce("_found", F.expr(f"cast(array() as {FOUND})")).alias("found"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import mask as M
+from ..operators import ner
 from ..operators import numbering as N
 from ..operators import review as R
 from ..sources import office
@@ -95,5 +96,30 @@ def mask_many(spark, d):
     return M.apply(docs, reviewed, "batch", many=True).select("doc_id", F.md5("masked").alias("digest"), "changed")
 
 
-_ALL = (known_words, known_word_claims, item_ids_hashed, item_ids_alike, folder_names, verify_files, sql_addresses, sql_scan, mask_many)
+def capitals():
+    """A rule as a model: letters, digits and other characters are tokens; two or more capitalised words in a row are a person."""
+    import re
+
+    def one(text: str) -> tuple[list[dict], list[dict]]:
+        tokens = [{"text": m[0], "start": m.start(), "pos": "PROPN" if re.fullmatch("[A-Z][a-z]+", m[0]) else "NUM" if m[0].isdigit() else "NOUN" if m[0].isalpha() else "PUNCT", "punct": not m[0].isalnum()} for m in re.finditer(r"[A-Za-z]+|[0-9]+|[^ \t\n\x0b\f\r]", text)]
+        ents, at = [], 0
+        while at < len(tokens):
+            end = at
+            while end < len(tokens) and tokens[end]["pos"] == "PROPN" and (end == at or (tokens[end]["start"] == tokens[end - 1]["start"] + len(tokens[end - 1]["text"]) + 1 and text[tokens[end]["start"] - 1] == " ")):
+                end += 1
+            if end - at > 1:
+                ents.append({"first": at, "last": end, "label": "PERSON"})
+            at = max(end, at + 1)
+        return tokens, ents
+
+    return lambda texts: [one(t) for t in texts]
+
+
+def tagged_documents(spark, d):
+    """Names in all documents, by a model that workers load, over chunks that overlap."""
+    found = ner.tagged(_docs(spark, d), ner.provider(capitals, 100_000), False, size=1_000, overlap=400)
+    return found.select("doc_id", F.posexplode("found").alias("seq", "f")).where("f.category = 'Individual'").select("doc_id", "f.start", "f.text")
+
+
+_ALL = (tagged_documents, known_words, known_word_claims, item_ids_hashed, item_ids_alike, folder_names, verify_files, sql_addresses, sql_scan, mask_many)
 QUERIES = {f.__name__: f for f in _ALL}

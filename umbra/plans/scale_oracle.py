@@ -20,6 +20,14 @@ _has = lambda w: f"len(list_filter({_runs}, lambda r: lower(r) = '{w}')) > 0"  #
 _leaks = " + ".join(f"({_has(w)})::int" for w, _ in WORDS)
 _tail = "trim(regexp_replace(trim(string_split(x, ',')[-1]), '[0-9]{4,6}\\s*$', ''))"
 
+# Words with what lies before each; runs of capitalised ones a blank apart.
+_names = """with t as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+')) as w, unnest(range(len(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+')))) as i from documents),
+ p as (select *, sum(length(w)) over (partition by doc_id order by i) - length(w) as start, regexp_full_match(w, '[A-Z][a-z]+') as cap from t),
+ c as (select *, cap and not coalesce(lag(w, 1) over o = ' ' and lag(cap, 2) over o, false) as new from p window o as (partition by doc_id order by i)),
+ r as (select doc_id, w, i, start, sum(new::int) over (partition by doc_id order by i) as run, cap from c),
+ n as (select doc_id, min(start) as start, string_agg(w, ' ' order by i) as text, count(*) as k from r where cap group by doc_id, run)
+select doc_id, start::int as start, text from n where k > 1 and length(text) <= 60"""
+
 ORACLE = {
     "known_words": f"select d.doc_id, count(distinct l.w)::int as n_leaks, count(l.w) = 0 as clean from documents d left join {_placed} p using (doc_id) left join {_listed} l on l.w = p.w group by 1",
     "known_word_claims": f"select doc_id, if(length(w) % 2 = 0, 'Entity', 'Client') as category, count(*) as n, min(start)::int as first, count(distinct w) as n_words from {_placed} join {_listed} using (w) group by 1, 2",
@@ -34,6 +42,7 @@ ORACLE = {
     "sql_addresses": f"""select i, {_country('x')} as country, {_region('x')} as region, coalesce({_country('x')}, {_region('x')}, case when len(string_split(x, ',')) > 1 then coalesce({_country(_tail)}, {_region(_tail)}, ({_map(L.STATE_COUNTRIES)})[lower(regexp_extract({_tail}, '[^ ]+$'))]) end,
       case when regexp_matches(x, '(?i)\\bsingapore\\b') then 'Singapore' end, 'Address') as address from {_filled(ADDRESSES, "lpad(c_custkey::varchar, 5, '0')")}""",
     "sql_scan": _claims(),
+    "tagged_documents": _names,
     # A word that is listed goes wherever it stands whole, so each run of word characters is looked up by itself.
     "mask_many": f"""with m as (select map_from_entries(list((w, '<' || upper(w) || '>'))) as m from (select distinct w from (select unnest({_runs}) as w from benchmark) where regexp_full_match(w, '[a-z]{{4,}}'))),
       t as (select doc_id, text, {_runs} as ws, regexp_split_to_array(text, '[A-Za-z0-9_]+') as gs from documents)
