@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from umbra import batch
+from umbra.functions import scalars as S
 from umbra.operators import entities as E
 from umbra.operators import mask as M
 from umbra.sources import folder, office, ooxml
@@ -130,6 +131,17 @@ def test_files_in_memory(spark):
     assert [o["outcome"].split(":")[0] for o in outcomes] == ["masked", "masked", "nothing to mask", "failed", "nothing to mask"]
 
 
+def test_constant_patterns(spark):
+    """A list's patterns as constants are those that columns make, whatever signs are in them."""
+    values = ["Bed Rock", "a\\Eb", "\\Q", "it's", "é\u3000x", "(x)", "$1 \\d", "a\x1cb", "[", "'"]
+    made = spark.createDataFrame([(v,) for v in values], "v string").select("v", S.flexible(F.col("v")).alias("p")).collect()
+    assert {r.v: r.p for r in made} == {v: S.flexible_text(v) for v in values}
+    texts = spark.createDataFrame([(i, f"x {v}, y") for i, v in enumerate(values)] + [(99, None), (98, "")], "doc_id long, text string")
+    listed = [(v, "c") for v in values]
+    got = {r.doc_id: r["values"] for r in M.verify(texts, listed).collect()}
+    assert all(values[i] in v for i, v in got.items() if i < 90) and got[98] == [] and 99 not in got
+
+
 def test_slots(spark):
     names = ["a.jpg", "b.JPEG", "c.png", "d", "e.jpg.gif", "x/y.Jpg"]
     got = spark.createDataFrame([(n,) for n in names], "n string").select("n", office.slot_format(F.col("n")).alias("f")).collect()

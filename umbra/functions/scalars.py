@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -172,7 +174,14 @@ def extension(name: Column) -> Column:
 def flexible(value: Column) -> Column:
     """A pattern for a known entity: any case, any white space or none between its words, no ASCII word character at either end."""
     words = F.filter(F.split(value, SPACE + "+"), lambda w: w != "")
-    return F.concat(F.lit(r"(?iu)(?<![A-Za-z0-9_])"), F.array_join(F.transform(words, quote), r"(?U:\s*)"), F.lit("(?![A-Za-z0-9_])"))
+    return F.concat(F.lit(r"(?iu)(?<![A-Za-z0-9_])"), F.array_join(F.transform(words, quote), r"(?U:[\s\x1c-\x1f]*)"), F.lit("(?![A-Za-z0-9_])"))
+
+
+def flexible_text(value: str) -> str:
+    """flexible() of a constant, as text."""
+    words = [w for w in re.split(r"[\s\x1c-\x1f]+", value) if w]
+    quoted = ["\\Q" + w.replace("\\E", "\\E\\\\E\\Q") + "\\E" for w in words]
+    return "(?iu)(?<![A-Za-z0-9_])" + r"(?U:[\s\x1c-\x1f]*)".join(quoted) + "(?![A-Za-z0-9_])"
 
 
 def category_key(category: Column) -> Column:

@@ -62,7 +62,7 @@ class Scanner:
         self.entities = []
         for value, category in sorted(entities, key=lambda e: -len(e[0])):
             words = [regex.escape(w) for w in _BLANK.sub(" ", value).split(" ") if w]
-            pattern = regex.compile(rf"(?<!{edge}){rf'[{_SPACE}]*'.join(words)}(?!{edge})", regex.V0 | regex.IGNORECASE)
+            pattern = regex.compile(rf"(?<!{edge}){rf'[{_SPACE}\x1c-\x1f]*'.join(words)}(?!{edge})", regex.V0 | regex.IGNORECASE)
             self.entities.append((_BLANK.sub("", value).lower(), pattern, category))
 
     def claims(self, text: str) -> list[tuple[int, int, int, str, str, str]]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from ..functions import scalars as S
-from .entities import entity_rows, known_entities, listed, squashed, with_near  # noqa: F401
+from .entities import LITERAL, entity_rows, known_entities, listed, squashed, with_near  # noqa: F401
 from .numbering import folder_names, numbered, zip_names  # noqa: F401
 
 SPAN = "struct<tier:int,start:int,end:int,text:string,category:string,source:string,group_key:string>"
@@ -302,7 +302,7 @@ def masked_any_case(text: Column, pairs: Column) -> Column:
 
     def pattern(o: Column) -> Column:
         words = F.filter(F.split(o, S.SPACE + "+"), lambda w: w != "")
-        return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])"), F.array_join(F.transform(words, S.quote), r"(?U:\s+)"), F.lit(r"(?![\p{L}\p{N}])"))
+        return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])"), F.array_join(F.transform(words, S.quote), r"(?U:[\s\x1c-\x1f]+)"), F.lit(r"(?![\p{L}\p{N}])"))
 
     near = F.filter(pairs, lambda m: F.contains(squashed(text), squashed(m["o"])) & (S.strip(m["o"]) != ""))
     hits = F.flatten(F.transform(near, lambda m: spans(text, pattern(m["o"]), F.lit(0), m["p"], "pairs")))
@@ -353,10 +353,22 @@ def review(found: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def verified(docs: DataFrame, entities: Entities, text: str = "text") -> DataFrame:
     """docs with values: the known entities that a text still holds, longest first. A row for each text that is not null."""
+    if not isinstance(entities, DataFrame) and len(entities) <= LITERAL:
+        return docs.where(F.col(text).isNotNull()).withColumn("values", _held(text, sorted(entities, key=lambda e: -len(e[0]))))
     own, near = with_near(docs, entities, text)
-    near = listed(F.lit(""), []) if near is None else near
     hits = F.transform(F.filter(near, lambda e: F.rlike(F.col(text), S.flexible(e["value"]))), lambda e: e["value"])
-    return own.select(*docs.columns, hits.alias("values"))
+    return own.select(*(F.col(f"`{c}`") for c in docs.columns), hits.alias("values"))
+
+
+def _held(text: str, entities: list[tuple[str, str]]) -> Column:
+    """The values of a short list that a text holds. Their patterns are constants, which a task compiles once, and run only where the characters are there."""
+    if not entities:
+        return F.expr("cast(array() as array<string>)")
+    q = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    space = q(S.SPACE)
+    low = lambda x: f"lower(regexp_replace({x}, {space}, ''))"
+    one = lambda v: f"if(contains(low, {low(q(v))}) and rlike(`{text}`, {q(S.flexible_text(v))}), {q(v)}, null)"
+    return F.expr(f"array_compact(transform(array({low(f'`{text}`')}), low -> array({', '.join(one(v) for v, _ in entities)}))[0])")
 
 
 def verify(docs: DataFrame, entities: Entities, key: str = "doc_id", text: str = "text") -> DataFrame:
