@@ -74,8 +74,9 @@ class Counter:
         """Chunks overlap; two meet at a place where both begin a token and the vocabulary proves that no token crosses.
 
         Proof: no token holds the two bytes beside that place next to each other, so neither side's merges ever reach over it; and the runs
-        that the pattern cuts end alike in both chunks. No such place is taken inside of a special string, of which a chunk may hold a part. Where no such place is in the overlap it is widened, then the chunk doubled, so a
-        text without any is encoded at most twice over.
+        that the pattern cuts end alike in both chunks. No such place is taken inside of a special
+        string, of which a chunk may hold a part. Where no such place is in the overlap it is widened, then the chunk doubled, so a text without
+        any is encoded about six times over.
         """
         total, begin, end = 0, 0, self.chunk
         starts = self._starts(text[:end], plain)
