@@ -15,6 +15,7 @@ from umbra.operators import entities as E
 from umbra.operators import mask as M
 from umbra.operators import ner
 from umbra.operators import review as R
+from umbra.plans import samples
 from umbra.sources import office, ooxml
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -114,7 +115,7 @@ def test_images():
 def test_command_line(spark, tmp_path, capsys):
     """Scan, a person's edit, apply and verify of files in a folder; one file is broken, one is of another kind, one is blank."""
     (tmp_path / "in").mkdir()
-    for name, data in (("Acme +1.docx", DOCX), ("b.xlsx", XLSX), ("c.pptx", PPTX), ("d.docx", b"no zip"), ("e.txt", b"x"), ("f.docx", ooxml.build(".docx", []))):
+    for name, data in (("Acme +1.docx", DOCX), ("b.xlsx", XLSX), ("c.pptx", PPTX), ("d.docx", b"no zip"), ("e.txt", b"x"), ("f.docx", samples.build(".docx", []))):
         (tmp_path / "in" / name).write_bytes(data)
     (tmp_path / "list.csv").write_text('﻿value,category\n\n  Acme Ltd , Client\nAcme,=Azure\n"no, such",\n', encoding="utf-8")
     names = sorted(str(x) for x in (tmp_path / "in").iterdir())

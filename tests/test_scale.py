@@ -11,6 +11,7 @@ from umbra import batch
 from umbra.functions import scalars as S
 from umbra.operators import entities as E
 from umbra.operators import mask as M
+from umbra.plans import samples
 from umbra.sources import folder, office, ooxml
 from umbra.sources.folder import write_folder
 
@@ -116,7 +117,7 @@ def test_no_file_is_lost(spark, tmp_path):
 
 
 def test_files_in_memory(spark):
-    doc = lambda *t, ext=".docx", media=None: ooxml.build(ext, [ooxml.Segment("body", "s", x) for x in t], media)
+    doc = lambda *t, ext=".docx", media=None: samples.build(ext, [ooxml.Segment("body", "s", x) for x in t], media)
     uploads = [("a.docx", doc("From Acme Ltd", "mail a@b.co", media={"word/media/l.png": ooxml.blank("PNG", 2)})), ("b.xlsx", doc("Acme Ltd", ext=".xlsx")), ("c.txt", b"x"), ("d.docx", b"no zip"), ("e.docx", doc("nothing here"))]
     review, skipped = batch.run_scan(spark, uploads, [("Acme Ltd", "Client")])
     assert [(i["file_index"], i["text"], i["placeholder"]) for i in review["items"]] == [(0, "Acme Ltd", "Client A"), (0, "a@b.co", "janet.davis7753@example.com"), (1, "Acme Ltd", "Client A")]

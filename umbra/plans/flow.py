@@ -11,6 +11,7 @@ from ..operators import mask as M
 from ..operators import ner
 from ..operators import review as R
 from ..sources import office, ooxml
+from . import samples
 from .queries import WORDS, _docs
 
 EXTENSIONS = [".docx", ".XLSX", ".pptx", ".pdf", ".txt", ""]
@@ -263,7 +264,7 @@ def _made_files(spark, d):
                 if ext != ".xlsx":
                     rows = [r for r in rows if r.cell_type == "s"]
                 media = {ooxml.MEDIA[ext] + "logo.png": ooxml.blank("PNG", 2), ooxml.MEDIA[ext] + "seal.jpeg": ooxml.blank("JPEG", 8)}
-                yield pa.RecordBatch.from_pydict({"file_index": pa.array([index], pa.int64()), "file_name": [f"{name} list{ext}"], "extension": [ext], "content": pa.array([ooxml.build(ext, sorted(rows, key=lambda r: r.container) if ext != ".docx" else rows, media)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"file_index": pa.array([index], pa.int64()), "file_name": [f"{name} list{ext}"], "extension": [ext], "content": pa.array([samples.build(ext, sorted(rows, key=lambda r: r.container) if ext != ".docx" else rows, media)], pa.binary())})
 
     return s.mapInArrow(make, "file_index long, file_name string, extension string, content binary")
 
