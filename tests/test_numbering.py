@@ -38,6 +38,15 @@ def test_no_task_has_more_than_its_range(spark, kind):
     assert len(sizes) == len(cuts) + 1 > 50 and max(r["count"] for r in sizes) < 3000  # 1,000 on average
 
 
+def test_bounds_from_other_keys(spark):
+    """Whatever the sample says, the numbers are the same."""
+    rows = spark.range(5000).selectExpr("id % 700 as k", "xxhash64(id) as o", "id % 3 as g")
+    want = sorted(map(tuple, N.numbered(rows, ["g"], "k", ["o"], "n").collect()))
+    for keys in ("id as k", "id * 100 as k", "cast(null as long) as k"):
+        got = N.numbered(rows, ["g"], "k", ["o"], "n", size=50, keys=spark.range(1000).selectExpr(keys))
+        assert sorted(map(tuple, got.collect())) == want
+
+
 def test_small_and_empty(spark):
     rows = spark.createDataFrame([(3, "a"), (1, "b"), (1, "a")], "k long, o string")
     assert sorted(tuple(r) for r in N.numbered(rows, [], "k", ["o"], "n").collect()) == [(1, "a", 1), (1, "b", 2), (3, "a", 3)]
@@ -71,3 +80,11 @@ def test_folder_names(spark):
 def test_zip_names(spark):
     files = spark.createDataFrame([(1, "a.txt"), (2, "a.txt"), (3, "a (1).txt"), (4, "a.txt"), (5, "b")], "i long, name string")
     assert [x.zip_name for x in N.zip_names(files, "name", "i").orderBy("i").collect()] == ["a.txt", "a (1).txt", "a (1).txt", "a (2).txt", "b"]
+
+
+def test_union_of_numbered_rows(spark):
+    """What placeholders do: numbered rows beside others, over many ranges, with columns that may be null."""
+    rows = spark.createDataFrame([(i % 90, i, "ab"[i % 2]) for i in range(4000)], "k long, o long, g string")
+    both = N.numbered(rows.where("g = 'a'"), ["g"], "k", ["o"], "n", size=100).unionByName(rows.where("g = 'b'").withColumn("n", F.lit(0).cast("long")))
+    got = both.join(rows.select("o", F.col("g").alias("h")), "o").where("n = 0 or g = 'a'")
+    assert got.count() == 4000 and got.agg(F.max("n")).first()[0] == 2000

@@ -43,7 +43,7 @@ def scan(files: DataFrame, entities: M.Entities = (), use_regex: bool = True, ta
     """What files hold. A file that can't be read, or has no text, has no items and says why."""
     whole, found = texts(files)
     sheets = office.sheet_ranges(found.join(files.where("lower(extension) = '.xlsx'").select("file_index"), "file_index", "left_semi"))
-    items = R.scan(whole.where("skip_reason is null"), entities, use_regex, tagger, address_only, sheets)
+    items = R.scan(whole.where("skip_reason is null"), entities, use_regex, tagger, address_only, sheets, files.select("file_index"))
     listed = whole.where(office.is_supported(F.col("extension"))).select("file_index", "input_file", "file_name", "extension")
     return Scanned(whole, listed, items)
 

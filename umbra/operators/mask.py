@@ -218,18 +218,18 @@ def items(docs: DataFrame, entities: Entities = (), use_regex: bool = True, key:
     return rows.select(F.col("_key").alias(key), "seq", "s.*", S.snippet(F.col("_text"), F.col("s.text")).alias("context"))
 
 
-def with_item_ids(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """found with an id from 0 in the order of (key, seq)."""
-    return numbered(found, [], key, ["seq"], "id").withColumn("id", F.col("id") - 1)
+def with_item_ids(found: DataFrame, key: str = "doc_id", keys: DataFrame | None = None) -> DataFrame:
+    """found with an id from 0 in the order of (key, seq). keys: see numbered()."""
+    return numbered(found, [], key, ["seq"], "id", keys=keys).withColumn("id", F.col("id") - 1)
 
 
-def with_placeholders(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """found with a placeholder for each group_key, numbered per category in the order of first appearance by (key, seq)."""
+def with_placeholders(found: DataFrame, key: str = "doc_id", keys: DataFrame | None = None) -> DataFrame:
+    """found with a placeholder for each group_key, numbered per category in the order of first appearance by (key, seq). keys: see numbered()."""
     order = F.struct(key, "seq")
     first = found.groupBy("group_key").agg(F.min(F.struct(order.alias("at"), "category", "text", "source")).alias("f")).select("group_key", "f.*")
     counted = ~(((F.col("source") == "list") & S.is_numbered(F.col("category"))) | F.col("category").isin(list(L.GENERATORS)))
     own = first.withColumn("_k", F.col(f"at.{key}"))
-    rows = numbered(own.where(counted), ["category"], "_k", ["at"], "n").unionByName(own.where(~counted).withColumn("n", F.lit(0).cast("long")))
+    rows = numbered(own.where(counted), ["category"], "_k", ["at"], "n", keys=keys.select(F.col(key).alias("_k")) if keys is not None else None).unionByName(own.where(~counted).withColumn("n", F.lit(0).cast("long")))
     named = rows.select("group_key", S.placeholder(F.col("category"), F.col("text"), F.col("source"), F.col("n")).alias("placeholder"))
     return found.join(named, "group_key").withColumn("category", F.when(F.col("category").startswith("="), "Custom").otherwise(F.col("category")))
 

@@ -1,4 +1,4 @@
-"""Numbers in an order that is too long for one task: range-partitioned, counted, and numbered inside of the ranges."""
+"""Numbers in an order that is too long for one task: parted into ranges, counted, and numbered inside of the ranges."""
 
 from __future__ import annotations
 
@@ -38,21 +38,27 @@ def range_of(key: Column, cuts: list[str], kind: T.DataType) -> Column:
     constant = lambda text, k: F.from_json(F.lit(f'{{"b":{text}}}'), T.StructType([T.StructField("b", k)]))["b"]
     heads = constant(f"[{','.join(cuts[::SIDE])}]", T.ArrayType(kind))
     inner = constant("[" + ",".join(f"[{','.join(cuts[i : i + SIDE])}]" for i in range(0, len(cuts), SIDE)) + "]", T.ArrayType(T.ArrayType(kind)))
-    under = lambda bounds: F.size(F.filter(bounds, lambda c: c <= key))
-    return let(under(heads), lambda i: F.when(i == 0, F.lit(0)).otherwise((i - 1) * SIDE + under(F.get(inner, i - 1))))
+    # The key is bound first: the optimiser misses columns that only a lambda's body names, and a union behind then fails.
+    under = lambda bounds, k: F.size(F.filter(bounds, lambda c: c <= k))
+    return let(key, lambda k: let(under(heads, k), lambda i: F.when(i == 0, F.lit(0)).otherwise((i - 1) * SIDE + under(F.get(inner, i - 1), k))))
 
 
-def numbered(rows: DataFrame, groups: list[str], key: str, order: list[str], name: str, size: int = ROWS) -> DataFrame:
+def numbered(rows: DataFrame, groups: list[str], key: str, order: list[str], name: str, size: int = ROWS, keys: DataFrame | None = None) -> DataFrame:
     """rows with the place of each, from 1, in its group by key and order, nulls first.
 
-    Rows are dealt by ranges of (groups, key, order), whose bounds come from a sample and whose sizes are even whatever the keys look like; a
-    frequent group or key is in several ranges, parted by what stands behind it in the order. A row's place is the rows of its group in the
-    ranges before, and its place within its range. So no task has more than a range, and none sees more than a count of each range and group.
+    Rows are dealt by ranges of (key, order), whose bounds come from a sample and whose sizes are even whatever the keys look like; a frequent key
+    is in several ranges, parted by what stands behind it in the order, and so is a frequent group. A row's place is the rows of its group
+    in the ranges before, and its place within its range. So no task has more than a range, and none sees more than a count of each
+    range and group. keys: a table whose column key is spread as that of rows is; then the sample costs no second look at rows.
     """
-    place = F.struct(*groups, key, *order)
-    keyed = rows.select(place.alias("k"))
+    place = F.struct(key, *order)
+    kind = T.StructType([T.StructField(f.name, f.dataType) for f in rows.select(key, *order).schema.fields])
+    if keys is None:
+        keyed = rows.select(place.alias("k"))
+    else:
+        keyed = keys.select(F.struct(F.col(key).cast(kind[0].dataType), *(F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields[1:])).alias("k"))
     cuts = ranges(keyed, size)
-    own = rows.withColumn("_b", range_of(place, cuts, keyed.schema["k"].dataType))
+    own = rows.withColumn("_b", range_of(place, cuts, kind))
     inside = F.row_number().over(Window.partitionBy("_b", *groups).orderBy(key, *order))
     if not cuts:
         return own.withColumn(name, inside.cast("long")).drop("_b")

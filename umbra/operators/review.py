@@ -45,8 +45,8 @@ def with_reasons(files: DataFrame, texts: DataFrame) -> DataFrame:
     return files.join(texts.select("file_index", F.col("text").alias("_t")), "file_index", "left").withColumn("skip_reason", office.skip_reason(F.col("extension"), F.col("_t"))).drop("_t")
 
 
-def scan(texts: DataFrame, entities: M.Entities = (), use_regex: bool = True, tagger: ner.Tagger | None = None, address_only: bool = True, sheets: DataFrame | None = None) -> DataFrame:
-    """Review items of a batch: ITEMS. texts: file_index, file_name, text; sheets: of office.sheet_ranges().
+def scan(texts: DataFrame, entities: M.Entities = (), use_regex: bool = True, tagger: ner.Tagger | None = None, address_only: bool = True, sheets: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """Review items of a batch: ITEMS. texts: file_index, file_name, text; sheets: of office.sheet_ranges(); keys: the batch's file_index column, where that is at hand.
 
     Placeholders are given over the whole batch, ids in the order of files and of claims within a file.
     """
@@ -54,7 +54,8 @@ def scan(texts: DataFrame, entities: M.Entities = (), use_regex: bool = True, ta
     if tagger is not None:
         own, found = ner.tagged(own, tagger, address_only, "file_index"), "found"
     items = M.items(own, entities, use_regex, "file_index", found=found)
-    named = M.with_item_ids(M.with_placeholders(items, "file_index"), "file_index")
+    keys = texts.select("file_index") if keys is None else keys
+    named = M.with_item_ids(M.with_placeholders(items, "file_index", keys), "file_index", keys)
     named = named.join(texts.select("file_index", "file_name"), "file_index")
     if sheets is not None:
         # The first place of an item's text, not that of the claim.
