@@ -88,3 +88,17 @@ def test_union_of_numbered_rows(spark):
     both = N.numbered(rows.where("g = 'a'"), ["g"], "k", ["o"], "n", size=100).unionByName(rows.where("g = 'b'").withColumn("n", F.lit(0).cast("long")))
     got = both.join(rows.select("o", F.col("g").alias("h")), "o").where("n = 0 or g = 'a'")
     assert got.count() == 4000 and got.agg(F.max("n")).first()[0] == 2000
+
+
+def test_columns_of_any_name(spark):
+    """Over many ranges the columns of its own are none of the rows'."""
+    rows = spark.createDataFrame([(i % 7, i, -i) for i in range(400)], "_b long, _c0 long, _r long")
+    for name in ("_n", "_g0", "_C1"):
+        got = N.numbered(rows, ["_b"], "_c0", ["_r"], name, size=50)
+        assert got.columns == [*rows.columns, name] and sorted(map(tuple, got.collect())) == sorted((i % 7, i, -i, i // 7 + 1) for i in range(400))
+
+
+def test_folder_names_over_many_ranges(spark):
+    names = [f"f{i % 9000} (1).txt" if i % 5 == 0 else f"f{i % 9000}.txt" for i in range(110_000)]
+    files = spark.range(len(names)).selectExpr("id as i", "concat('f', id % 9000, if(id % 5 = 0, ' (1)', ''), '.txt') as name")
+    assert [x.folder_name for x in N.folder_names(files, "name", "i").orderBy("i").collect()] == plain_folder(names)

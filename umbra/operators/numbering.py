@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,20 +60,26 @@ def numbered(rows: DataFrame, groups: list[str], key: str, order: list[str], nam
     else:
         keyed = keys.select(F.struct(F.col(key).cast(kind[0].dataType), *(F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields[1:])).alias("k"))
     cuts = ranges(keyed, size)
-    own = rows.withColumn("_b", range_of(place, cuts, kind))
-    inside = F.row_number().over(Window.partitionBy("_b", *groups).orderBy(key, *order))
+    r, at, c, a, n, *names = _free([*rows.columns, name], 5 + len(groups))
+    own = rows.withColumn(r, range_of(place, cuts, kind))
+    inside = F.row_number().over(Window.partitionBy(r, *groups).orderBy(key, *order))
     if not cuts:
-        return own.withColumn(name, inside.cast("long")).drop("_b")
-    names = [f"_g{i}" for i in range(len(groups))]
-    sizes = own.groupBy(*(F.col(g).alias(n) for g, n in zip(groups, names, strict=True)), F.col("_b").alias("_r")).agg(F.count("*").alias("_c"))
+        return own.withColumn(name, inside.cast("long")).drop(r)
+    sizes = own.groupBy(*(F.col(g).alias(own_g) for g, own_g in zip(groups, names, strict=True)), F.col(r).alias(at)).agg(F.count("*").alias(c))
     # At most MOST rows a group.
-    ahead = Window.partitionBy(*(names or [F.lit(0)])).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select(*names, "_r", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_a"))
-    met = F.col("_b") == F.col("_r")
-    for g, n in zip(groups, names, strict=True):
-        met &= F.col(g).eqNullSafe(F.col(n))
-    joined = own.withColumn("_n", inside).join(bases if groups else F.broadcast(bases), met)
-    return joined.withColumn(name, F.col("_a") + F.col("_n")).drop("_a", "_b", "_n", "_r", *names)
+    ahead = Window.partitionBy(*(names or [F.lit(0)])).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(*names, at, F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(a))
+    met = F.col(r) == F.col(at)
+    for g, own_g in zip(groups, names, strict=True):
+        met &= F.col(g).eqNullSafe(F.col(own_g))
+    joined = own.withColumn(n, inside).join(bases if groups else F.broadcast(bases), met)
+    return joined.withColumn(name, F.col(a) + F.col(n)).drop(r, at, a, n, *names)
+
+
+def _free(taken: list[str], n: int) -> list[str]:
+    """n column names that are none of those taken, in any case."""
+    low = {c.lower() for c in taken}
+    return list(itertools.islice((c for c in (f"_c{i}" for i in itertools.count()) if c not in low), n))
 
 
 def parted(name: Column) -> tuple[Column, Column]:
