@@ -171,3 +171,31 @@ def test_many_candidates_in_a_text(spark):
     df = spark.createDataFrame(list(enumerate(all_)), "i int, s array<struct<start:int,end:int>>")
     for row in M.arbitrated(df, F.col("s"), "kept").collect():
         assert [tuple(x) for x in row.kept] == plain(all_[row.i])
+
+
+@pytest.mark.parametrize("path", ["automaton", "join"])
+@pytest.mark.parametrize("single", [True, False])
+def test_places_of_long_lists(spark, monkeypatch, path, single):
+    """Places told by words are those that the patterns find, letters included that fold in more ways than one."""
+    r = random.Random(5)
+    listed = [("kelvin", "a"), ("Class", "b"), ("is", "c"), ("class", "d"), ("x_1", "e"), ("ka", "f"), ("s", "g"), ("Strasse", "h")]
+    listed += [] if single else [("is class", "i"), ("a-a", "j"), ("Straße", "k"), ("Σas", "l"), ("é", "m"), ("İs", "n"), ("class - is", "o")]
+    parts = ["kelvin", "\u212aelvin", "KELVIN", "class", "Class", "is", "x_1", "x_1x", "Ka", "s", "a-a-a", "a-a", "straße", "STRAẞE", "σας", "ΣΑΣ", "É", "-", " ", " ", "\x1c", "\u3000", "\n", "ß"]
+    parts += ["claſs", "İs", "ıs", "ſ"] if path == "automaton" else []
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(400)] + ["", None, "is class", "is class"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = [rows(f(docs, listed)) for f in (lambda d, x: M.claims(d, x), M.verify)]
+    monkeypatch.setattr(E, "LITERAL", 2)
+    if path == "join":
+        monkeypatch.setattr(E, "AUTOMATON", 0)
+    assert [rows(f(docs, listed)) for f in (lambda d, x: M.claims(d, x), M.verify)] == want
+
+
+def test_texts_of_many_listed_words(spark, monkeypatch):
+    """No pattern is made for a word of a plain text, however many of the list it has."""
+    monkeypatch.setattr(M.S, "flexible", lambda value: F.raise_error(F.lit("a pattern for each entity")).cast("string"))
+    words = [f"w{i}" for i in range(3000)]
+    docs = spark.createDataFrame([(1, " ".join(words) + " straße")], "doc_id long, text string")
+    for limit in (1 << 20, 0):
+        monkeypatch.setattr(E, "AUTOMATON", limit)
+        assert M.claims(docs, [(w, "c") for w in words], use_regex=False).count() == M.verify(docs, [(w, "c") for w in words]).first().n_leaks == 3000

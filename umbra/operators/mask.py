@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from ..functions import scalars as S
-from .entities import LITERAL, entity_rows, known_entities, listed, squashed, with_near  # noqa: F401
+from .entities import LITERAL, SPAN, entity_rows, known_entities, listed, squashed, with_near  # noqa: F401
 from .numbering import folder_names, numbered, zip_names  # noqa: F401
 
-SPAN = "struct<tier:int,start:int,end:int,text:string,category:string,source:string,group_key:string>"
 NONE = f"cast(array() as array<{SPAN}>)"
 #: A code point that is no character, and so in hardly any text.
 EDGE = "\ufdd0"
@@ -65,15 +64,17 @@ def spans(text: Column, pattern: Column, tier: Column, category: Column, source:
     return S.let(F.when(F.contains(text, F.lit(EDGE)), S.let(F.regexp_extract_all(text, pattern, F.lit(0)), woven)).otherwise(edged), placed)
 
 
-def detected(text: Column, near: Column | None = None, detectors: tuple[str | Detector, ...] = tuple(DETECTORS), found: Column | None = None) -> Column:
+def detected(text: Column, near: Column | None = None, detectors: tuple[str | Detector, ...] = tuple(DETECTORS), found: Column | None = None, hits: Column | None = None) -> Column:
     """Candidates in the order of their claims: known entities (longest first), email, phone, UEN, ABN, then what a tagger found or else addresses.
 
     near: array of value and category. detectors: those that run, by category; functions among them go last, in their order. found: array of text, category, start, end, from ner.candidates().
+    hits: the known entities' claims where they are settled; null where those in near are to be found.
     """
     out = []
     if near is not None:
         group = lambda e: F.concat(F.lit("list:"), F.lower(S.squeeze(e["value"])))
-        out.append(F.flatten(F.transform(near, lambda e: spans(text, S.flexible(e["value"]), F.lit(0), e["category"], "list", group(e)))))
+        listed_spans = F.flatten(F.transform(near, lambda e: spans(text, S.flexible(e["value"]), F.lit(0), e["category"], "list", group(e))))
+        out.append(listed_spans if hits is None else F.when(hits.isNotNull(), hits).otherwise(listed_spans))
     for tier, (category, pattern) in enumerate(DETECTORS.items(), 1):
         if category not in detectors or (category == "Address" and found is not None):
             continue
@@ -196,8 +197,8 @@ def _each(rows: DataFrame, found: Column, *keep: str) -> DataFrame:
 def _kept(docs: DataFrame, entities: Entities, use_regex: bool, key: str, text: str, detectors: tuple[str | Detector, ...], found: str | None) -> DataFrame:
     """_key, _text and _kept, the claims, of each row whose text is not null."""
     given = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), *([F.col(found).alias("_found")] if found else []))
-    own, near = with_near(given, entities, "_text")
-    candidates = detected(F.col("_text"), near, detectors if use_regex else (), F.col("_found") if found else None)
+    own, near, hits = with_near(given, entities, "_text")
+    candidates = detected(F.col("_text"), near, detectors if use_regex else (), F.col("_found") if found else None, hits)
     return arbitrated(own, candidates, "_kept").select("_key", "_text", "_kept")
 
 
@@ -355,9 +356,9 @@ def verified(docs: DataFrame, entities: Entities, text: str = "text") -> DataFra
     """docs with values: the known entities that a text still holds, longest first. A row for each text that is not null."""
     if not isinstance(entities, DataFrame) and len(entities) <= LITERAL:
         return docs.where(F.col(text).isNotNull()).withColumn("values", _held(text, sorted(entities, key=lambda e: -len(e[0]))))
-    own, near = with_near(docs, entities, text)
-    hits = F.transform(F.filter(near, lambda e: F.rlike(F.col(text), S.flexible(e["value"]))), lambda e: e["value"])
-    return own.select(*(F.col(f"`{c}`") for c in docs.columns), hits.alias("values"))
+    own, near, hits = with_near(docs, entities, text, "values")
+    held = F.transform(F.filter(near, lambda e: F.rlike(F.col(text), S.flexible(e["value"]))), lambda e: e["value"])
+    return own.select(*(F.col(f"`{c}`") for c in docs.columns), (held if hits is None else F.when(hits.isNotNull(), hits).otherwise(held)).alias("values"))
 
 
 def _held(text: str, entities: list[tuple[str, str]]) -> Column:
