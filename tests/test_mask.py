@@ -83,3 +83,11 @@ def test_own_detectors(spark):
     docs = spark.createDataFrame([(1, "T-1 of x@y.com, T-22")], "doc_id long, text string")
     got = M.claims(docs, detectors=("Email", tickets)).orderBy("seq").collect()
     assert [(r.category, r.text, r.start) for r in got] == [("Email", "x@y.com", 7), ("Ticket", "T-1", 0), ("Ticket", "T-22", 16)]
+
+
+def test_lines_whose_words_are_parted_otherwise(spark):
+    """A pair is looked for by its characters but white space: no line here has an original as it is written."""
+    texts = ["of\nthe x", "OFTHE", "of  the", "of　the", "off the", "o f the", None]
+    pairs = F.array(*(F.struct(F.lit(o).alias("o"), F.lit(p).alias("p")) for o, p in (("of the", "$1"), (" ", "no"), ("de la", "2"))))
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(M.masked_lines(F.col("t"), pairs).alias("m")).collect()
+    assert [r.m for r in got] == ["$1 x", "$1", "$1", "$1", "off the", "o f the", None]

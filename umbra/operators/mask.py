@@ -320,7 +320,8 @@ def masked_any_case(text: Column, pairs: Column) -> Column:
 
 def masked_lines(text: Column, pairs: Column) -> Column:
     """As masked(), but a pair is found as a known entity is: in any case, with any white space or none between its words. For recognised lines."""
-    step = lambda t, m: F.when(F.contains(F.lower(t), F.lower(m["o"])), F.regexp_replace(t, S.flexible(m["o"]), S.literal(m["p"]))).otherwise(t)
+    near = lambda t, m: F.contains(squashed(t), squashed(m["o"])) & (S.strip(m["o"]) != "")
+    step = lambda t, m: F.when(near(t, m), F.regexp_replace(t, S.flexible(m["o"]), S.literal(m["p"]))).otherwise(t)
     return F.aggregate(pairs, text, step)
 
 
