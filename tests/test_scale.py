@@ -199,3 +199,25 @@ def test_texts_of_many_listed_words(spark, monkeypatch):
     for limit in (1 << 20, 0):
         monkeypatch.setattr(E, "AUTOMATON", limit)
         assert M.claims(docs, [(w, "c") for w in words], use_regex=False).count() == M.verify(docs, [(w, "c") for w in words]).first().n_leaks == 3000
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_mappings_that_tasks_hold(spark, monkeypatch, limit):
+    """As pair after pair: cascades, pairs that change nothing, shades, empty placeholders, keys without a mapping."""
+    monkeypatch.setattr(M.mapped, "HELD", limit)
+    r = random.Random(9)
+    words = ["Acme", "Client", "A", "us", "café", "x-y", "New York", "York", "(b)", "b", "_1", "same", "-x-"]
+    items = [(k, i, w, r.choice(["Client", "Address"]), "same" if w == "same" else r.choice(["Client A", "Address", "us", "", "<b>", "\\0 $1"])) for k in ("k", "l") for i, w in enumerate(r.sample(words, 10))]
+    reviewed = spark.createDataFrame(items, "doc_id string, seq long, text string, category string, placeholder string")
+    docs = spark.createDataFrame([(r.choice(["k", "l", "m", None]), "".join(r.choice([*words, " ", "-", " "]) for _ in range(r.randint(0, 14)))) for _ in range(300)] + [("k", None), ("l", "")], "doc_id string, text string")
+    want = M.apply(docs, reviewed)
+    assert rows(M.apply(docs, reviewed, many=True)) == rows(want) and want.where("changed").count() > 50
+
+
+def test_a_text_of_many_mapped_words(spark, monkeypatch):
+    """A mapping that tasks hold makes no pattern for a word."""
+    monkeypatch.setattr(M, "replace_word", lambda t, o, p: F.raise_error(F.lit("a pattern for each pair")).cast("string"))
+    words = [f"w{i}" for i in range(2000)]
+    reviewed = spark.createDataFrame([(1, i, w, "Client", f"<{w.upper()}>") for i, w in enumerate(words)], "doc_id long, seq long, text string, category string, placeholder string")
+    got = M.apply(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"), reviewed, many=True).first()
+    assert got.masked == " ".join(f"<{w.upper()}>" for w in words) and got.changed

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import lexicons as L
 from ..functions import scalars as S
+from . import mapped
 from .entities import LITERAL, SPAN, entity_rows, known_entities, listed, squashed, with_near  # noqa: F401
 from .numbering import folder_names, numbered, zip_names  # noqa: F401
 
@@ -330,14 +332,33 @@ def chosen(reviewed: DataFrame) -> DataFrame:
     return reviewed.where(F.coalesce(F.col("include"), F.lit(True))) if "include" in reviewed.columns else reviewed
 
 
+def _held_mappings(docs: DataFrame, items: DataFrame, key: str) -> dict | None:
+    """The pairs of all mappings by key, in their order; None if they are more than tasks should hold, or keys and texts are of kinds that are compared otherwise."""
+    kinds = [df.schema[key].dataType for df in (docs, items)]
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    if not (all(isinstance(k, whole) for k in kinds) or all(k == T.StringType() for k in kinds)):
+        return None
+    size = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("placeholder"), F.lit(0)) + 64)).first()[0] or 0
+    if size > mapped.HELD:
+        return None
+    rows = mapping(items.where(F.col(key).isNotNull()), key).select(F.col(key), F.transform("pairs", lambda p: F.struct(p["o"].alias("o"), p["p"].alias("p"), p["grey"].alias("grey"))).alias("pairs")).collect()
+    pairs = {r[0]: [(p["o"], p["p"], p["grey"]) for p in r[1]] for r in rows}
+    return None if any(None in p for own in pairs.values() for p in own) else pairs
+
+
 def apply(docs: DataFrame, reviewed: DataFrame, key: str = "doc_id", text: str = "text", many: bool = False) -> DataFrame:
     """docs whose mapping is not empty, with masked text, changed and any_grey. reviewed: key, seq, text, category, placeholder, include.
 
     docs may hold a document in several rows (cells, paragraphs), each masked by the mapping of the document. A null text stays null.
-    many: mappings have hundreds of entries or more, so that each text is first told which of them concern it; the result is the same.
+    many: mappings have hundreds of entries or more. Up to mapped.HELD bytes of them are held by the tasks; of more, each text is first told which
+    entries concern it. The result is the same.
     """
-    joined = indexed(docs, chosen(reviewed), key, text) if many else docs.join(mapping(chosen(reviewed), key), key)
-    done = joined.withColumn("_m", folded(F.col(text), F.col("pairs")))
+    held = _held_mappings(docs, chosen(reviewed), key) if many else None
+    if held is not None:
+        done = mapped.apply(docs, held, key, text)
+    else:
+        joined = indexed(docs, chosen(reviewed), key, text) if many else docs.join(mapping(chosen(reviewed), key), key)
+        done = joined.withColumn("_m", folded(F.col(text), F.col("pairs")))
     return done.select(*docs.columns, F.col("_m.text").alias("masked"), F.col("_m.changed").alias("changed"), F.col("_m.grey").alias("any_grey"))
 
 
