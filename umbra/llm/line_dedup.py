@@ -23,6 +23,8 @@ CELLS = 1 << 20
 CHUNK = 1 << 10
 #: A token in the prefixes of more classes is handled in rounds.
 HOT = 256
+#: Tokens from which a line has twice as wide a bitmap.
+LONG = 64
 #: Longs of the bitmaps of lines with hot tokens, of which the pairs of a group of near copies are told apart.
 WIDE = 8
 #: Lines of a token that settle later ones in each round but the first, which has one.
@@ -43,19 +45,20 @@ def _own(docs: DataFrame) -> DataFrame:
     return own.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("text")), "\n").alias("text"))
 
 
-def _parts(line: Column) -> Column:
-    """The words of a line, and empty strings. A split at one plain character is twice as fast as one at a pattern."""
-    return F.split(reduce(lambda x, c: F.replace(x, F.lit(c), F.lit(" ")), "\t\v\f\r", line), " ")
+def _blanks(line: Column) -> Column:
+    """A line with blanks for its other white space. A split at one plain character is twice as fast as one at a pattern."""
+    return reduce(lambda x, c: F.replace(x, F.lit(c), F.lit(" ")), "\t\v\f\r", line)
 
 
-def _hashes(line: Column) -> Column:
-    return F.transform(F.array_remove(_parts(line), ""), lambda w: F.xxhash64(w))
+def _words(line: Column) -> Column:
+    """The words of a line that has been through _blanks(), each once."""
+    return F.array_distinct(F.array_remove(F.split(line, " "), ""))
 
 
 def _ranks(classes: DataFrame) -> DataFrame:
     """The rank of each cell by the tokens in it, rare first (three times the binary logarithm of their count), as one array of bytes."""
     cell = F.xxhash64("w").bitwiseAND(CELLS - 1)
-    words = classes.select(F.explode(_parts(F.col("line"))).alias("w")).where("w <> ''")
+    words = classes.select(F.explode(F.split("line", " ")).alias("w"))  # empty ones too: they are no tokens, so their rank is not asked for
     counts = words.groupBy(cell.alias("cell")).count().unionByName(classes.sparkSession.range(CELLS).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("count")))
     rank = F.floor(3 * F.log2(F.sum("count") + 1)).cast("byte").alias("rank")
     chunk = F.floor(F.col("cell") / CHUNK).alias("chunk")
@@ -68,19 +71,27 @@ def _need(n: Column) -> Column:
     return F.floor((OVER * n + OVER + UNDER - 1) / (OVER + UNDER))
 
 
-def _bits(hashes: Column) -> Column:
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
+def _flipped(hashes: Column, by) -> Column:
+    """64 bits, of which each hash flips the one of its lowest six bits if by(hash) is 1, not if it is 0."""
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", by(h), h.bitwiseAND(63).cast("int"))))
 
 
 def _wide(hashes: Column) -> list[Column]:
     """The bitmap of hashes, of 64 * WIDE bits."""
-    return [_bits(F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(WIDE - 1) == k)).alias(f"wide{k}") for k in range(WIDE)]
+    return [_flipped(F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(WIDE - 1) == k), lambda h: F.lit(1).cast("long")).alias(f"wide{k}") for k in range(WIDE)]
+
+
+def _differ(a: str, b: str, bitmap: list[str]) -> Column:
+    """Bits in which the bitmaps of two lines differ. Each word that only one of them has flips one bit, so there are as many such words at least."""
+    x = [F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in bitmap]
+    if bitmap != ["sig", "half"]:
+        return reduce(Column.__add__, map(F.bit_count, x))
+    return F.when(F.least(f"{a}.n", f"{b}.n") >= LONG, F.bit_count(x[0].bitwiseXOR(x[1])) + F.bit_count(x[1])).otherwise(F.bit_count(x[0]))
 
 
 def _filters(a: str, b: str, bitmap: list[str]) -> Column:
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = reduce(Column.__add__, (F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in bitmap))
-    return (UNDER * F.least(na, nb) >= OVER * F.greatest(na, nb)) & (differ <= na + nb - 2 * _need(na + nb))
+    return (UNDER * F.least(na, nb) >= OVER * F.greatest(na, nb)) & (_differ(a, b, bitmap) <= na + nb - 2 * _need(na + nb))
 
 
 def _reach(a: str, b: str) -> Column:
@@ -99,62 +110,57 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     own = _own(docs)
     each = own.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("at", "line"))
     classes = each.groupBy("line").agg(F.min("doc_id").alias("doc"), F.min_by("at", "doc_id").alias("at"))
-    classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "doc", "at", "line"), "lines")
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "doc", "at", _blanks(F.col("line")).alias("line")), "lines")
     ranks = stored(_ranks(classes), "ranks").scalar()  # a subquery: a megabyte that plans do not print
-    words = F.array_remove(_parts(F.col("line")), "")
-    key = lambda h: F.shiftleft(F.get("ranks", h.bitwiseAND(CELLS - 1).cast("int")).cast("long"), 55).bitwiseOR(F.shiftrightunsigned(h, 9))
-    tokens = classes.select("id", "line", ranks.alias("ranks")).select("id", F.sort_array(F.transform(F.array_distinct(_hashes(F.col("line"))), key)).alias("tokens")).withColumn("n", F.size("tokens"))
+    rank = lambda h: F.coalesce(F.get("ranks", h.bitwiseAND(CELLS - 1).cast("int")), F.lit(0).cast("byte")).cast("long")
+    key = lambda w: F.shiftleft(rank(F.xxhash64(w)), 55).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 9))
+    tokens = classes.select("id", "line", ranks.alias("ranks")).select("id", F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split("line", " "), ""), key))).alias("tokens"))
     prefix = F.col("n") - F.floor((OVER * F.col("n") + UNDER - 1) / UNDER).cast("int") + 1
-    rows = tokens.select("id", "n", _bits(F.col("tokens")).alias("sig"), F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("pos", "key")).where(F.col("key").isNotNull())
+    # Bitmaps come before the prefix is taken apart, or they would be made for each row of it: one of all tokens, and of long lines one of those of every other hash.
+    sig, half = _flipped(F.col("tokens"), lambda h: F.lit(1).cast("long")), _flipped(F.col("tokens"), lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(1))
+    tokens = tokens.select("id", "tokens", F.size("tokens").alias("n"), sig.alias("sig"), F.when(F.size("tokens") >= LONG, half).otherwise(0).alias("half"))
+    rows = tokens.select("id", "n", "sig", "half", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("pos", "key"))
     counted = rows.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
     # One query over one exchange, which the same columns on both sides make possible: candidate pairs (x, y) of the others, and the rows of hot tokens.
     a, b = counted.where(F.col("c") <= HOT).alias("a"), counted.where(F.col("c") <= HOT).alias("b")
-    possible = (F.col("a.id") < F.col("b.id")) & _filters("a", "b", ["sig"]) & _reach("a", "b")
+    possible = (F.col("a.id") < F.col("b.id")) & _filters("a", "b", ["sig", "half"]) & _reach("a", "b")
     null = F.lit(None).cast("long")
     cold = a.join(b, (F.col("a.key") == F.col("b.key")) & possible).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
-    cold = cold.select("x", "y", null.alias("key"), null.alias("n"), null.alias("sig"), null.alias("pos"))
-    warm = counted.where(F.col("c") > HOT).select(F.col("id").alias("x"), null.alias("y"), "key", F.col("n").cast("long").alias("n"), "sig", F.col("pos").cast("long").alias("pos"))
+    cold = cold.select("x", "y", null.alias("key"), null.alias("pos"))
+    warm = counted.where(F.col("c") > HOT).select(F.col("id").alias("x"), null.alias("y"), "key", F.col("pos").cast("long").alias("pos"))
     both = stored(cold.unionByName(warm), "candidates")
     pairs = both.where("key is null").select("x", "y")
-    hot = both.where("key is not null").select("key", F.col("x").alias("id"), "n", "pos")
-
-    wide = [f"wide{k}" for k in range(WIDE)]
+    hot = both.where("key is not null").select("key", F.col("x").alias("id"), "pos")
 
     def ids_of(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id")))
 
-    def lines_of(ids: DataFrame) -> DataFrame:
+    def lines_of(ids: DataFrame, lines: DataFrame) -> DataFrame:
         ids = stored(ids.distinct(), "ids")
-        return classes.join(F.broadcast(ids) if ids.count() <= SMALL else ids, "id", "left_semi")
-
-    def with_bitmaps(lines: DataFrame) -> DataFrame:
-        h = lines.select("id", "doc", "at", F.array_distinct(_hashes(F.col("line"))).alias("h"))
-        return h.select("id", "doc", "at", F.size("h").alias("n"), *_wide(F.col("h")))
+        return lines.join(F.broadcast(ids) if ids.count() <= SMALL else ids, "id", "left_semi")
 
-    def narrowed(pairs: DataFrame) -> DataFrame:
-        """Those pairs (x, y) that wide bitmaps leave possible: the narrow ones of long lines are nearly full."""
-        maps = stored(with_bitmaps(lines_of(ids_of(pairs))).drop("doc", "at"), "bitmaps")
-        a, b = maps.alias("a"), maps.alias("b")
-        return pairs.join(a, F.col("x") == F.col("a.id")).join(b, F.col("y") == F.col("b.id")).where(_filters("a", "b", wide)).select("x", "y")
+    # Most lines are in no pair and have no hot token. The others are put aside once, with their words.
+    near = stored(lines_of(ids_of(pairs).unionByName(hot.select("id")), classes).select("id", "doc", "at", _words(F.col("line")).alias("words")), "near")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The later line of each pair (x, y) that is similar. Only lines in pairs have their words fetched."""
-        pairs = stored(pairs.distinct(), "pairs")
-        sets = lines_of(ids_of(pairs)).select("id", "doc", "at", F.array_distinct(words).alias("words"))
+        """The later line of each pair (x, y) that is similar."""
+        sets = lines_of(ids_of(pairs), near)
         first = sets.select(F.col("id").alias("x"), F.struct("doc", "at").alias("p"), F.col("words").alias("u"))
         second = sets.select(F.col("id").alias("y"), F.struct("doc", "at").alias("q"), F.col("words").alias("v"))
         found = pairs.join(first, "x").join(second, "y").where(_similar(F.col("u"), F.col("v")))
         return found.select(F.when(F.col("p") > F.col("q"), F.col("x")).otherwise(F.col("y")).alias("id")).distinct()
 
-    found = stored(verified(narrowed(pairs)), "found")
+    found = stored(verified(pairs), "found")
     # Hot tokens: in rounds, the first open lines of each token settle those later ones that are similar to them, which takes a group of
     # near copies a few rows a line. When a round settles little, what is open is compared with all earlier lines of its tokens.
-    hot = stored(hot.drop("n").join(with_bitmaps(lines_of(hot.select("id"))), "id").select("key", "id", "n", "pos", "doc", "at", *wide), "hot")
+    wide = [f"wide{k}" for k in range(WIDE)]
+    h = lines_of(hot.select("id"), near).select("id", "doc", "at", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    hot = stored(hot.join(h.select("id", "doc", "at", F.size("h").alias("n"), *_wide(F.col("h"))), "id").select("key", "id", "n", "pos", "doc", "at", *wide), "hot")
     place = lambda x: F.struct(f"{x}.doc", f"{x}.at")
 
     def similar(late: DataFrame, early: DataFrame) -> DataFrame:
         near = late.alias("l").join(early.alias("e"), (F.col("l.key") == F.col("e.key")) & (place("e") < place("l")) & _filters("l", "e", wide) & _reach("l", "e"))
-        return verified(near.select(F.col("l.id").alias("y"), F.col("e.id").alias("x")))
+        return verified(stored(near.select(F.col("l.id").alias("y"), F.col("e.id").alias("x")).distinct(), "pairs"))
 
     still = hot.join(F.broadcast(found) if found.count() <= SMALL else found, "id", "left_anti")
     source, rounds, most = still, [], 1
