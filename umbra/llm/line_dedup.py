@@ -126,8 +126,9 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     possible = (F.col("a.id") < F.col("b.id")) & _filters("a", "b", ["sig", "half"]) & _reach("a", "b")
     null = F.lit(None).cast("long")
     cold = a.join(b, (F.col("a.key") == F.col("b.key")) & possible).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
-    cold = cold.select("x", "y", null.alias("key"), null.alias("pos"))
-    warm = counted.where(F.col("c") > HOT).select(F.col("id").alias("x"), null.alias("y"), "key", F.col("pos").cast("long").alias("pos"))
+    cold = cold.select("x", "y", *[null.alias(c) for c in ("key", "n", "sig", "half", "pos")])
+    # All columns, needed or not: without them there would be another exchange, and all tokens made again for it.
+    warm = counted.where(F.col("c") > HOT).select(F.col("id").alias("x"), null.alias("y"), "key", F.col("n").cast("long").alias("n"), "sig", "half", F.col("pos").cast("long").alias("pos"))
     both = stored(cold.unionByName(warm), "candidates")
     pairs = both.where("key is null").select("x", "y")
     hot = both.where("key is not null").select("key", F.col("x").alias("id"), "pos")
